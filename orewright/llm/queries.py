@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orewright.llm import docpairs, pieces
+from orewright.llm import docpairs, pieces, qapairs
 from orewright.session import table
 
 
@@ -23,6 +23,10 @@ def p1_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.split_texts(_texts(spark, sf).distinct(), table(spark, sf, "piece_limits"))
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return qapairs.defective(table(spark, sf, "poler_chat"))
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return docpairs.documented(table(spark, sf, "defs"), table(spark, sf, "source_files"), with_code=False).select("def_id").distinct()
 
@@ -31,7 +35,7 @@ def p6_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return docpairs.documented(table(spark, sf, "defs"), table(spark, sf, "source_files"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p6_found": p6_found, "p6_pairs": p6_pairs}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p6_found": p6_found, "p6_pairs": p6_pairs}
 
 SQL = {
     "p1_found": r"""
