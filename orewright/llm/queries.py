@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orewright.llm import docpairs, pieces, qapairs
+from orewright.llm import docpairs, langid, pieces, qapairs
 from orewright.session import table
 
 
@@ -27,6 +27,20 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return qapairs.defective(table(spark, sf, "poler_chat"))
 
 
+def _languages(spark: SparkSession, sf: str) -> DataFrame:
+    notes = table(spark, sf, "poler_notes").select(F.lit("poler_notes").alias("src"), F.col("id").alias("item_id"), F.col("body").alias("text"), F.col("lang").alias("label"))
+    chat = table(spark, sf, "poler_chat").select(F.lit("poler_chat").alias("src"), F.col("id").alias("item_id"), F.col("answer").alias("text"), F.col("answer_lang").alias("label"))
+    return langid.label_texts(notes.unionByName(chat))
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return langid.mislabelled(_languages(spark, sf))
+
+
+def p4_stretches(spark: SparkSession, sf: str) -> DataFrame:
+    return _languages(spark, sf).distinct()
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return docpairs.documented(table(spark, sf, "defs"), table(spark, sf, "source_files"), with_code=False).select("def_id").distinct()
 
@@ -35,7 +49,7 @@ def p6_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return docpairs.documented(table(spark, sf, "defs"), table(spark, sf, "source_files"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p6_found": p6_found, "p6_pairs": p6_pairs}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p4_found": p4_found, "p4_stretches": p4_stretches, "p6_found": p6_found, "p6_pairs": p6_pairs}
 
 SQL = {
     "p1_found": r"""
