@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orewright.llm import docpairs, langid, pieces, qapairs
+from orewright.llm import docpairs, langid, pieces, qapairs, spans
 from orewright.session import table
 
 
@@ -49,7 +49,19 @@ def p6_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return docpairs.documented(table(spark, sf, "defs"), table(spark, sf, "source_files"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p4_found": p4_found, "p4_stretches": p4_stretches, "p6_found": p6_found, "p6_pairs": p6_pairs}
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return spans.sharing_pairs(table(spark, sf, "documents"))
+
+
+def p9_spans(spark: SparkSession, sf: str) -> DataFrame:
+    return spans.maximal_spans(table(spark, sf, "documents"))
+
+
+def p9_share(spark: SparkSession, sf: str) -> DataFrame:
+    return spans.shared_share(table(spark, sf, "documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p4_found": p4_found, "p4_stretches": p4_stretches, "p6_found": p6_found, "p6_pairs": p6_pairs, "p9_found": p9_found, "p9_spans": p9_spans, "p9_share": p9_share}
 
 SQL = {
     "p1_found": r"""
@@ -60,4 +72,9 @@ WITH item AS (
 SELECT src, item_id, CASE WHEN list_max(list_transform(string_split(regexp_replace(text, '([.!?…])(\s)', '\1' || chr(10) || '\2', 'g'), chr(10)), lambda x: length(x))) > max_chars
   THEN 'forced' ELSE 'natural' END AS cut
 FROM item JOIN piece_limits USING (src) WHERE length(text) > max_chars""",
+    "p9_found": """
+WITH doc AS (SELECT doc_id, text FROM documents WHERE length(text) >= 300 AND doc_id IS NOT NULL),
+gram AS (SELECT DISTINCT doc_id, hash(substring(text, i, 300)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM doc)),
+hit AS (SELECT h FROM gram GROUP BY h HAVING count(*) > 1)
+SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM gram a JOIN hit USING (h) JOIN gram b ON a.h = b.h AND a.doc_id < b.doc_id""",
 }
