@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orewright.llm import docpairs, langid, pieces, qapairs, spans
+from orewright.llm import docpairs, langid, mixing, packing, pieces, qapairs, spans
 from orewright.session import table
 
 
@@ -49,6 +49,22 @@ def p6_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return docpairs.documented(table(spark, sf, "defs"), table(spark, sf, "source_files"))
 
 
+def p7_packed(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(table(spark, sf, "documents"), table(spark, sf, "containers"))
+
+
+def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.fill_report(p7_packed(spark, sf))
+
+
+def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.share_report(p8_mix(spark, sf), table(spark, sf, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return spans.sharing_pairs(table(spark, sf, "documents"))
 
@@ -61,7 +77,7 @@ def p9_share(spark: SparkSession, sf: str) -> DataFrame:
     return spans.shared_share(table(spark, sf, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p4_found": p4_found, "p4_stretches": p4_stretches, "p6_found": p6_found, "p6_pairs": p6_pairs, "p9_found": p9_found, "p9_spans": p9_spans, "p9_share": p9_share}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p4_found": p4_found, "p4_stretches": p4_stretches, "p6_found": p6_found, "p6_pairs": p6_pairs, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_spans": p9_spans, "p9_share": p9_share}
 
 SQL = {
     "p1_found": r"""
