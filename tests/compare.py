@@ -72,8 +72,11 @@ if __name__ == "__main__":
 
     import __spark_entry__ as e
 
+    import logging
+
+    logging.disable(logging.CRITICAL)
     spark = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     sf = sys.argv[1]
     con = duck(sf)
     for n in e.queries():
@@ -81,4 +84,4 @@ if __name__ == "__main__":
             try:
                 print(n, compare(spark, n, sf, con), flush=True)
             except Exception as x:
-                print(n, "ERROR", str(x)[:1500], flush=True)
+                print(n, "ERROR", str(x)[:400], flush=True)
