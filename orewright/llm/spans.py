@@ -268,10 +268,20 @@ def shard_spans(rows: Iterable[tuple[int, int, int, str]], least: int) -> Iterat
 _SPANS = "doc_a bigint, doc_b bigint, start_a int, start_b int, length int"
 
 
-def _shard(least: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = zip(pdf["doc_id"].tolist(), pdf["place"].tolist(), pdf["at"].tolist(), pdf["ctx"].tolist(), strict=True)
-        return pd.DataFrame(list(shard_spans(rows, least)), columns=["doc_a", "doc_b", "start_a", "start_b", "length"])
+def _shards(least: int):
+    """Resolves the shards of a partition whose rows come sorted by anchor, one after another."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        anchor, rows, out = None, [], []
+        for pdf in batches:
+            for h, *row in zip(pdf["h"].tolist(), pdf["doc_id"].tolist(), pdf["place"].tolist(), pdf["at"].tolist(), pdf["ctx"].tolist(), strict=True):
+                if h != anchor:
+                    out += shard_spans(rows, least)
+                    anchor, rows = h, []
+                rows.append(row)
+            yield pd.DataFrame(out, columns=["doc_a", "doc_b", "start_a", "start_b", "length"])
+            out = []
+        yield pd.DataFrame(list(shard_spans(rows, least)), columns=["doc_a", "doc_b", "start_a", "start_b", "length"])
 
     return run
 
@@ -355,7 +365,7 @@ def shared_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
     own = rows.join(shared, "h").groupBy("doc_id").agg(F.collect_list(F.struct("h", "n", "place")).alias("own"))
     ctx = texts.join(own, "doc_id").mapInPandas(_contexts(least), "doc_id bigint, h bigint, n bigint, place int, at int, ctx string")
     ctx = materialize(ctx.distinct(), "contexts")
-    small = ctx.where(F.col("n") <= SHARD).groupBy("h").applyInPandas(_shard(least), _SPANS)
+    small = ctx.where(F.col("n") <= SHARD).repartition("h").sortWithinPartitions("h").mapInPandas(_shards(least), _SPANS)
     return small.unionByName(_large_shards(ctx.where(F.col("n") > SHARD), least))
 
 
