@@ -52,11 +52,17 @@ def has_literals(text: Column, words: Sequence[str], every: bool = True) -> Colu
 
 def phrase_positions(toks: Column, query: Sequence[str]) -> Column:
     """Positions at which the tokens of `query` stand one after another."""
-    k = len(query)
-    want = F.array(*[F.lit(q) for q in query])
-    starts = F.when(F.size(toks) >= k, F.sequence(F.lit(0), F.size(toks) - k)).otherwise(F.array().cast("array<int>"))
-    # the first token is compared before a slice is made
-    return F.filter(starts, lambda i: (F.get(toks, i) == query[0]) & (F.slice(toks, i + 1, k) == want))
+    # shifted copies side by side: the tokens are made once a row, never inside the lambda
+    shifted = [toks if j == 0 else F.slice(toks, j + 1, 1 << 30) for j in range(len(query))]
+    side = F.arrays_zip(*[c.alias(f"t{j}") for j, c in enumerate(shifted)])
+
+    def equal(x: Column) -> Column:
+        out = x["t0"] == query[0]
+        for j in range(1, len(query)):
+            out = out & (x[f"t{j}"] == query[j])
+        return out
+
+    return F.filter(F.transform(side, lambda x, i: F.when(equal(x), i)), lambda v: v.isNotNull())
 
 
 def phrase_hits(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text") -> DataFrame:

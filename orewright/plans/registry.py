@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with QUERIES (name -> callable) and SQL (name -> DuckDB SQL).
-MODULES = ("general", "textual")
+MODULES = ("general", "textual", "searching")
 
 
 def _all(what: str) -> dict:
