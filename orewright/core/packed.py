@@ -78,8 +78,8 @@ def _plain(raw: str, mark: str) -> str:
     return raw.replace(mark * 2, mark)
 
 
-def parse(body: str, seps: tuple[str, ...], quote: str) -> list[str]:
-    """The values of `body` under one dialect."""
+def parse(body: str, seps: tuple[str, ...], quote: str) -> list[tuple[str, bool]]:
+    """The values of `body` under one dialect, and whether each stood in quotes."""
     sep = re.compile("|".join(SEPARATORS[s] for s in seps)) if seps else None
     end = re.compile(r"\s*(?:$|" + "|".join(SEPARATORS[s] for s in seps) + ")") if seps else re.compile(r"\s*$")
     out, i, n = [], 0, len(body)
@@ -103,18 +103,19 @@ def parse(body: str, seps: tuple[str, ...], quote: str) -> list[str]:
                 else:
                     k += 1
         m = sep.search(body, i) if sep else None
-        if value is None:
+        quoted = value is not None
+        if not quoted:
             value = body[i : m.start() if m else n]
         value = value.strip().lstrip("#").strip()
         if value:
-            out.append(value)
+            out.append((value, quoted))
         if not m:
             break
         i = max(m.end(), i + 1)
     return out
 
 
-def parses(field: str) -> list[tuple[str, float, list[str]]]:
+def parses(field: str) -> list[tuple[str, float, list[tuple[str, bool]]]]:
     """(dialect, its bits, values) of every different parse, simple dialects first."""
     body = _inside(field)
     seps = [k for k, p in _found.items() if p.search(body)]
@@ -126,14 +127,21 @@ def parses(field: str) -> list[tuple[str, float, list[str]]]:
     for s in sets:
         for q in ["", *marks]:
             values = parse(body, s, q)
-            if (t := tuple(values)) not in seen:
+            if (t := tuple(v for v, _ in values)) not in seen:
                 seen.add(t)
                 out.append(("+".join(s) + ("" if not q else " " + q), 1.0 + 3.0 * len(s) + 2.0 * bool(q), values))
     return out if any(v for _, _, v in out) else []
 
 
-def spelling_bits(value: str) -> float:
-    return NEW_BITS + CHAR_BITS * len(value) + (MARK_BITS - CHAR_BITS) * len(_marks.findall(value))
+_seam = re.compile(r"[\"'”»’`]\s*(?:[,;|\t\r\n、，；•‣]|[·/–—-]\s)\s*[\"'“«„‘`]")
+
+
+def spelling_bits(value: str, quoted: bool) -> float:
+    """Bits of a value that has no code: quotes make separators cheap, but not a seam of two quoted values."""
+    plain = NEW_BITS + CHAR_BITS * len(value)
+    if quoted:
+        return plain + 6.0 + 2 * MARK_BITS * len(_seam.findall(value))
+    return plain + (MARK_BITS - CHAR_BITS) * len(_marks.findall(value))
 
 
 _PARSES = "field string, n bigint, k int, no int, dialect string, bits double, vals array<string>, spelled array<double>"
@@ -144,12 +152,9 @@ def _parse_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for field, n in zip(pdf["field"], pdf["n"], strict=True):
-            # a bare quote mark is dear only where the quoting of the dialect hasn't taken it away
             found = parses(field)
             for no, (dialect, bits, values) in enumerate(found):
-                quoted = " " in dialect
-                spelled = [min(spelling_bits(v), NEW_BITS + CHAR_BITS * len(v) + 6.0) if quoted and v not in field.replace('""', "") else spelling_bits(v) for v in values]
-                rows.append((field, n, len(found), no, dialect, bits, values, spelled))
+                rows.append((field, n, len(found), no, dialect, bits, [v for v, _ in values], [spelling_bits(*v) for v in values]))
         yield pd.DataFrame(rows, columns=names)
 
 

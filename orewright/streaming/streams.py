@@ -51,7 +51,7 @@ def decaying(events: DataFrame, key: str, order: str, value: str, phi: float) ->
 
     def step(k: tuple, batches, state: GroupState):  # noqa: ANN001, ANN202
         r = state.get[0] if state.exists else 0.0
-        pdf = pd.concat(list(batches)).sort_values(order, ignore_index=True)
+        pdf = pd.concat([b for b in batches if len(b)] or [pd.DataFrame(columns=[key, order, value])]).sort_values(order, ignore_index=True)
         out = []
         for v in pdf[value]:
             r = float(v) + phi * r
@@ -65,11 +65,20 @@ def decaying(events: DataFrame, key: str, order: str, value: str, phi: float) ->
 
 
 def run(stream: DataFrame, name: str, mode: str = "append", spark: SparkSession | None = None) -> DataFrame:
-    """Runs a stream over what there is now into a table in memory and gives that table."""
+    """Runs a stream over what there is now into a table of the shared folder and gives that table.
+
+    A batch replaces its own folder, so one that is repeated after a failure counts once; in
+    complete mode the last batch has everything.
+    """
     s = spark or stream.sparkSession
-    q: StreamingQuery = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{shared_dir(s)}/orewright/stream-{name}").trigger(availableNow=True).start()
+    at = f"{shared_dir(s)}/orewright/stream-{name}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/table/{'all' if mode == 'complete' else f'batch={number}'}")
+
+    q: StreamingQuery = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return s.table(name)
+    return s.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{at}/table")
 
 
 def incremental(spark: SparkSession, source: str, sink: str, key: str, digest: str, checkpoint: str) -> StreamingQuery:
