@@ -107,6 +107,8 @@ def cut(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]]:
             end = places[max(late, key=lambda k: (strength[k], places[k]))]
         elif ahead - last <= limit:  # within the limit if this piece overlaps less
             end, start = ahead, ahead - limit
+            if end == length:
+                break
         else:  # equal parts of the run without a boundary
             parts = -(-(ahead - last) // step)
             end, how = _forced(text, last, min(hi, last - (last - ahead) // parts)), "forced"
