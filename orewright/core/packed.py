@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orewright.session import materialize
+from orewright.session import cores, materialize
 
 #: Separators by name: the pattern that ends a value. Fixed values.
 SEPARATORS = {
@@ -181,6 +181,8 @@ def split_packed(df: DataFrame, key: str, field: str, rounds: int = 2) -> DataFr
     """(key, pos, value, dialect): the values of `field`, one a row, in their order."""
     rows = df.select(F.col(key).alias("key"), F.col(field).alias("field")).where(r"field is not null and field rlike '\\S'").distinct()
     fields = rows.groupBy("field").agg(F.count("*").alias("n"))
+    # small rows, dear to parse: spread over all cores whatever their bytes
+    fields = fields.repartition(3 * cores(df.sparkSession), "field")
     parsed = materialize(fields.mapInPandas(_parse_all, _PARSES), "packed")
     single = parsed.where("k = 1")
     pick = parsed.select("field", "no", "vals", (F.col("n") / F.col("k")).alias("w"))

@@ -69,7 +69,8 @@ QUERIES = {
     "page_blocks": lambda s, d: W.clean_blocks(_pages(s, d), "doc_id", "html"),
     "robots_allowed": lambda s, d: W.robots_allowed(_paths(s, d), W.robots_rules(_robots(s, d), "orewright")),
     "simhash": lambda s, d: W.simhash_rows(table(s, d, "documents"), "doc_id", "text"),
-    "simhash_duplicates": lambda s, d: W.fingerprint_duplicates(W.simhash_rows(table(s, d, "documents"), "doc_id", "text"), "doc_id"),
+    "simhash_lookup": lambda s, d: _lookup(s, d),
+    "near_duplicates": lambda s, d: W.near_duplicates(table(s, d, "documents"), "doc_id", "text"),
     "exact_duplicates": lambda s, d: W.exact_duplicates(table(s, d, "documents"), "doc_id", "text"),
     "chunks_markdown": lambda s, d: C.chunks(_specs(s, d), "id", "text"),
     "chunks_code": lambda s, d: C.chunks(table(s, d, "source_files"), "path", "text", markdown=False, code=True),
@@ -84,6 +85,11 @@ QUERIES = {
 }
 
 
+def _lookup(s, d):
+    fps = W.simhash_rows(table(s, d, "documents"), "doc_id", "text")
+    return W.fingerprint_lookup(fps, fps.where("doc_id % 100 = 0"), "doc_id")
+
+
 def _hamming(s, d):
     v = _vec(s, d).select("vec_id", V.sign_code(F.col("embedding"), 64).alias("c"))
     q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("c").alias("qc"))
@@ -118,6 +124,11 @@ SQL = {
 SELECT doc_id, md5(trim(regexp_replace({_ENT}, '\\s+', ' ', 'g'))) AS h FROM p""",
     "robots_allowed": "SELECT 'h' AS host, '/' || path AS path, CASE WHEN starts_with(path, 'tools/bum/') THEN true WHEN starts_with(path, 'tools/') THEN false WHEN regexp_matches(path, '^crates/.*/attic/') THEN false ELSE true END AS allowed FROM source_files",
     "exact_duplicates": "SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(text)) AS canonical FROM documents WHERE text IS NOT NULL",
+    "near_duplicates": r"""WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS t FROM documents WHERE text IS NOT NULL),
+sh AS MATERIALIZED (SELECT DISTINCT doc_id, CASE WHEN len(t) < 5 THEN array_to_string(t, ' ') ELSE array_to_string(t[i:i + 4], ' ') END AS s FROM (SELECT doc_id, t, unnest(range(1, greatest(len(t) - 3, 2))) AS i FROM t WHERE len(t) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id), p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id != b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE c >= 0.8 * (a.n + b.n - c)),
+r(id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.x, r.c FROM r JOIN l ON l.y = r.id) SELECT id AS doc_id, min(c) AS class_id FROM r GROUP BY id""",
     "chunks_fixed": f"SELECT id, i::INT AS idx, md5(substring(text, (i * 500 + 1)::BIGINT, 500)) AS h FROM (SELECT id, text, unnest(range(0, (length(text) - 1) // 500 + 1)) AS i FROM {_SP} WHERE length(text) > 0)",
     "sections": f"""WITH l AS (SELECT id, line_no, CASE WHEN regexp_matches(line, '^[ \\t]*#{{1,6}}[ \\t]') THEN trim(regexp_replace(line, '^[ \\t]*#{{1,6}}[ \\t]+|\\r$', '', 'g')) END AS head FROM ({_LN.format(k='id', t='text', f=_SP)})),
 s AS (SELECT *, count(head) OVER (PARTITION BY id ORDER BY line_no) AS section FROM l) SELECT id, section, min(line_no)::INT AS first_line, count(*) AS lines, max(head) AS heading FROM s GROUP BY id, section""",
