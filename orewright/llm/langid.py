@@ -32,7 +32,7 @@ from orewright.llm.sentences import prose, sentences
 
 LANGUAGES = ("de", "en", "es", "ru", "uk")
 #: Hashed features, n-gram lengths, letters a text needs, rows of each language to learn from.
-BITS, LENGTHS, LEAST_LETTERS, ROWS_PER_LANGUAGE = 16, (1, 2, 3, 4), 20, 1000
+BITS, LENGTHS, LEAST_LETTERS, ROWS_PER_LANGUAGE = 16, (1, 2, 3, 4), 20, 500
 #: Names and codes of the languages. Fixed values.
 LABELS = {
     "de": "de deu ger german deutsch alemán aleman немецкий німецька germanisch",
