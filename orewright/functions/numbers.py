@@ -7,17 +7,29 @@ come out as decimal strings.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import wraps
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orewright.functions.exact import factors, matrix, prime, zeta_of
 
 
-def _udf(kind: str):
-    return lambda f: F.pandas_udf(f, kind)
+def _udf(kind: str | T.DataType):
+    """Marks a batch function; the Arrow function is made where it is used, as that needs a session."""
+
+    def mark(f: Callable) -> Callable[..., Column]:
+        @wraps(f)
+        def use(*columns: Column | str) -> Column:
+            return F.pandas_udf(f, kind)(*columns)
+
+        return use
+
+    return mark
 
 
 @_udf("bigint")
@@ -121,12 +133,12 @@ def zeta(s: pd.Series) -> pd.Series:
 MATRIX = T.ArrayType(T.ArrayType(T.DoubleType()))
 
 
-@F.pandas_udf(T.DoubleType())
+@_udf(T.DoubleType())
 def det(m: pd.Series) -> pd.Series:
     return m.map(lambda v: float(np.linalg.det(matrix(v))))
 
 
-@F.pandas_udf(MATRIX)
+@_udf(MATRIX)
 def inv(m: pd.Series) -> pd.Series:
     def one(v):  # noqa: ANN001, ANN202
         try:
@@ -137,18 +149,18 @@ def inv(m: pd.Series) -> pd.Series:
     return m.map(one)
 
 
-@F.pandas_udf(MATRIX)
+@_udf(MATRIX)
 def pinv(m: pd.Series) -> pd.Series:
     return m.map(lambda v: np.linalg.pinv(matrix(v)).tolist())
 
 
-@F.pandas_udf("struct<sign double, ln double>")
+@_udf("struct<sign double, ln double>")
 def logdet(m: pd.Series) -> pd.DataFrame:
     pairs = [np.linalg.slogdet(matrix(v)) for v in m]
     return pd.DataFrame({"sign": [float(p[0]) for p in pairs], "ln": [float(p[1]) for p in pairs]})
 
 
-@F.pandas_udf("array<double>")
+@_udf("array<double>")
 def lsolve(m: pd.Series, b: pd.Series) -> pd.Series:
     def one(a, y):  # noqa: ANN001, ANN202
         try:
@@ -159,18 +171,18 @@ def lsolve(m: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(a, y) for a, y in zip(m, b, strict=True)])
 
 
-@F.pandas_udf("array<struct<re double, im double>>")
+@_udf("array<struct<re double, im double>>")
 def eigen(m: pd.Series) -> pd.Series:
     """Eigenvalues by real, then imaginary part."""
     return m.map(lambda v: [{"re": float(z.real), "im": float(z.imag)} for z in sorted(np.linalg.eigvals(matrix(v)), key=lambda z: (round(z.real, 9), z.imag))])
 
 
-@F.pandas_udf("array<double>")
+@_udf("array<double>")
 def eigen_symmetric(m: pd.Series) -> pd.Series:
     return m.map(lambda v: np.linalg.eigvalsh(matrix(v)).tolist())
 
 
-@F.pandas_udf("array<double>")
+@_udf("array<double>")
 def charpoly(m: pd.Series) -> pd.Series:
     """Coefficients from the highest power, by Faddeev and LeVerrier."""
 
@@ -186,7 +198,7 @@ def charpoly(m: pd.Series) -> pd.Series:
     return m.map(one)
 
 
-@F.pandas_udf(MATRIX)
+@_udf(MATRIX)
 def expm(m: pd.Series) -> pd.Series:
     """Matrix exponential by scaling, squaring and a [6/6] Pade quotient."""
 
@@ -207,12 +219,12 @@ def expm(m: pd.Series) -> pd.Series:
     return m.map(one)
 
 
-@F.pandas_udf(MATRIX)
+@_udf(MATRIX)
 def kron(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([np.kron(matrix(x), matrix(y)).tolist() for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf("array<struct<re double, im double>>")
+@_udf("array<struct<re double, im double>>")
 def poly_roots(c: pd.Series) -> pd.Series:
     """Roots of a polynomial by its coefficients from the highest power."""
     return c.map(lambda v: [{"re": float(z.real), "im": float(z.imag)} for z in sorted(np.roots(np.asarray(v, float)), key=lambda z: (round(z.real, 9), z.imag))])

@@ -104,15 +104,3 @@ def top_per_key(hits: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
     w = Window.partitionBy(key).orderBy(F.desc(F.round("resonance", 6)), "pos")
     return hits.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
 
-
-def psi_fold(observations: Column, gamma: float = 0.3, rho: float = 0.8, eta: float = 0.1, memory: int = 8) -> Column:
-    """The psi field: ``dp = -2 (p - o) + gamma * sum of rho^k (p - s_{t-k})`` for o = tanh of the
-    observation over the last `memory` states, p clamped to [-1, 1]."""
-    start = F.struct(F.lit(0.0).alias("p"), F.array().cast("array<double>").alias("past"))
-
-    def step(a: Column, x: Column) -> Column:
-        pull = F.aggregate(F.transform(a["past"], lambda s, i: F.pow(F.lit(rho), i + 1) * (a["p"] - s)), F.lit(0.0), lambda u, v: u + v)
-        p = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), a["p"] + eta * (-2 * (a["p"] - F.tanh(x)) + gamma * pull)))
-        return F.struct(p.alias("p"), F.slice(F.concat(F.array(F.tanh(x)), a["past"]), 1, memory).alias("past"))
-
-    return F.aggregate(observations, start, step, lambda a: a["p"])

@@ -185,22 +185,6 @@ def mask_simple(text: Column) -> Column:
     return out
 
 
-def mask_spans(text: str) -> str:
-    """All classes masked; overlaps go to the span that starts first, then to the longer one."""
-    spans = []
-    for pattern, label in ((SECRET, "[SECRET]"), (EMAIL, "[EMAIL]"), (IP, "[IP]"), (PHONE, "[PHONE]"), (CARD, "[CARD]")):
-        for m in re.finditer(pattern, text, re.ASCII):
-            if label == "[PHONE]" and sum(c.isdigit() for c in m.group()) < 9:
-                continue
-            spans.append((m.start(), -m.end(), len(spans), label))
-    out, last = [], 0
-    for s, e, _, label in sorted(spans, key=lambda x: x[:2]):
-        if s >= last:
-            out += [text[last:s], label]
-            last = -e
-    return "".join(out) + text[last:]
-
-
 def script_language(text: Column) -> Column:
     """The fallback of language detection: ru if Cyrillic is over a fifth of the letters, else en."""
     cyr = F.length(F.regexp_replace(text, "[^Ѐ-ӿ]", ""))

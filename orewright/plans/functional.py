@@ -24,18 +24,14 @@ def _r(df, n=6, keep=("event_id",)):
     return df.select(*keep, *[F.round(c, n).alias(c) for c in df.columns if c not in keep])
 
 
-def _cols(**f):
+def _cols(make):
     def run(s, d, n=6):
+        f = make(*[F.col(c) for c in ("x", "y", "lat1", "lon1", "lat2", "lon2", "ts")])
         return _r(_ev(s, d).select("event_id", *[v.alias(k) for k, v in f.items()]), n)
 
     return run
 
 
-x, y = F.col("x"), F.col("y")
-la1, lo1, la2, lo2 = (F.col(c) for c in ("lat1", "lon1", "lat2", "lon2"))
-ts = F.col("ts")
-
-
 def _int(s, d):
     return table(s, d, "events").select("event_id", (F.col("event_id") % 997).alias("a"), (F.col("event_id") % 360 + 1).alias("b"))
 
@@ -52,22 +48,22 @@ def _matrix(s, d):
 
 
 QUERIES = {
-    "fn_trig": _cols(sin=F.sin(x), cos=F.cos(x), tan_y=F.tan(y), atan=F.atan(x), atan2=F.atan2(y, x + 0.5), sinh=F.sinh(y), cosh=F.cosh(y), tanh=F.tanh(y), asinh=F.asinh(y), sind=S.sind(x), cosd=S.cosd(x), tand=S.tand(y), atan2d=S.atan2d(y, x + 0.5), rad=F.radians(x), deg=F.degrees(y)),
-    "fn_inverse": _cols(asin=S.asin(y), acos=S.acos(y), acosh=S.acosh(y), atanh=F.when(F.abs(y) != 1, S.atanh(y)), casin_re=S.casin(y)["re"], casin_im=S.casin(y)["im"]),
-    "fn_log": _cols(ln=F.when(y != 0, S.ln(y)), log=F.when(y != 0, S.log(y)), log2=F.when(y != 0, S.log2(y)), log_base3=S.log(y, 3), exp=F.exp(y), sqrt=S.sqrt(y), csqrt_im=S.csqrt(y)["im"], cln_im=F.when(y != 0, S.cln(y)["im"]), cbrt=F.cbrt(y), hypot=S.hypot(x, y), pow=F.pow(F.abs(y), 1.5)),
-    "fn_round": _cols(floor=F.floor(y), ceil=F.ceil(y), round=F.round(y), sign=F.signum(y), fract=S.fract(y), mod=S.mod(y, F.lit(0.7)), mod_neg=S.mod(x, F.lit(-3.0)), clamp=S.clamp(y, -1.0, 1.0), least=F.least(x, y), greatest=F.greatest(x, y), abs=F.abs(y)),
-    "fn_special": _cols(erf=S.erf(y), erfc=S.erfc(y), lorentz=F.when(F.abs(y) != 1, S.lorentz(y))),
-    "fn_logdomain": _cols(logpow=S.logpow(2.0, x), logaddexp=S.logaddexp(x, y), logsubexp=S.logsubexp(y + 3, y), expneg=-F.abs(y), lpsum=S.lpsum(F.array(x, y, y + 1))),
+    "fn_trig": _cols(lambda x, y, la1, lo1, la2, lo2, ts: dict(sin=F.sin(x), cos=F.cos(x), tan_y=F.tan(y), atan=F.atan(x), atan2=F.atan2(y, x + 0.5), sinh=F.sinh(y), cosh=F.cosh(y), tanh=F.tanh(y), asinh=F.asinh(y), sind=S.sind(x), cosd=S.cosd(x), tand=S.tand(y), atan2d=S.atan2d(y, x + 0.5), rad=F.radians(x), deg=F.degrees(y))),
+    "fn_inverse": _cols(lambda x, y, la1, lo1, la2, lo2, ts: dict(asin=S.asin(y), acos=S.acos(y), acosh=S.acosh(y), atanh=F.when(F.abs(y) != 1, S.atanh(y)), casin_re=S.casin(y)["re"], casin_im=S.casin(y)["im"])),
+    "fn_log": _cols(lambda x, y, la1, lo1, la2, lo2, ts: dict(ln=F.when(y != 0, S.ln(y)), log=F.when(y != 0, S.log(y)), log2=F.when(y != 0, S.log2(y)), log_base3=S.log(y, 3), exp=F.exp(y), sqrt=S.sqrt(y), csqrt_im=S.csqrt(y)["im"], cln_im=F.when(y != 0, S.cln(y)["im"]), cbrt=F.cbrt(y), hypot=S.hypot(x, y), pow=F.pow(F.abs(y), 1.5))),
+    "fn_round": _cols(lambda x, y, la1, lo1, la2, lo2, ts: dict(floor=F.floor(y), ceil=F.ceil(y), round=F.round(y), sign=F.signum(y), fract=S.fract(y), mod=S.mod(y, F.lit(0.7)), mod_neg=S.mod(x, F.lit(-3.0)), clamp=S.clamp(y, -1.0, 1.0), least=F.least(x, y), greatest=F.greatest(x, y), abs=F.abs(y))),
+    "fn_special": _cols(lambda x, y, la1, lo1, la2, lo2, ts: dict(erf=S.erf(y), erfc=S.erfc(y), lorentz=F.when(F.abs(y) != 1, S.lorentz(y)))),
+    "fn_logdomain": _cols(lambda x, y, la1, lo1, la2, lo2, ts: dict(logpow=S.logpow(2.0, x), logaddexp=S.logaddexp(x, y), logsubexp=S.logsubexp(y + 3, y), expneg=-F.abs(y), lpsum=S.lpsum(F.array(x, y, y + 1)))),
     "fn_list_stats": lambda s, d: _r(_list(s, d).select("user_id", S.list_mean(F.col("v")).alias("mean"), S.list_median(F.col("v")).alias("median"), S.list_std(F.col("v")).alias("std"), S.norm2(F.col("v")).alias("norm")), 4, ("user_id",)),
     "fn_group_stats": lambda s, d: _r(table(s, d, "events").groupBy("event_type").agg(F.avg("value").alias("mean"), F.median("value").alias("median"), F.stddev_pop("value").alias("std"), F.min("value").alias("lo"), F.max("value").alias("hi")), 4, ("event_type",)),
-    "fn_geodesy": _cols(dist=G.dist(la1, lo1, la2, lo2), bearing=G.bearing(la1, lo1, la2, lo2), mid_lat=G.midpoint(la1, lo1, la2, lo2)["lat"], dest_lat=G.dest(la1, lo1, F.lit(33.0), F.lit(500.0))["lat"], dest_lon=G.dest(la1, lo1, F.lit(33.0), F.lit(500.0))["lon"], earth=G.earth_radius(la1)),
-    "fn_sun": _cols(jd=G.julian_day(ts), lon=G.sun_lon(ts), ra=G.sun_ra(ts), dec=G.sun_dec(ts)),
-    "fn_moon": _cols(lon=G.moon_lon(ts), lat=G.moon_lat(ts), dist=G.moon_dist(ts), phase=G.moon_phase(ts), illum=G.moon_illum(ts), age=G.moon_age(ts), dec=G.moon_dec(ts)),
-    "fn_sunrise": lambda s, d: _r(_ev(s, d).select("event_id", G.sunrise(ts, la1, lo1).alias("rise"), G.sunset(ts, la1, lo1).alias("set"))),
+    "fn_geodesy": _cols(lambda x, y, la1, lo1, la2, lo2, ts: dict(dist=G.dist(la1, lo1, la2, lo2), bearing=G.bearing(la1, lo1, la2, lo2), mid_lat=G.midpoint(la1, lo1, la2, lo2)["lat"], dest_lat=G.dest(la1, lo1, F.lit(33.0), F.lit(500.0))["lat"], dest_lon=G.dest(la1, lo1, F.lit(33.0), F.lit(500.0))["lon"], earth=G.earth_radius(la1))),
+    "fn_sun": _cols(lambda x, y, la1, lo1, la2, lo2, ts: dict(jd=G.julian_day(ts), lon=G.sun_lon(ts), ra=G.sun_ra(ts), dec=G.sun_dec(ts))),
+    "fn_moon": _cols(lambda x, y, la1, lo1, la2, lo2, ts: dict(lon=G.moon_lon(ts), lat=G.moon_lat(ts), dist=G.moon_dist(ts), phase=G.moon_phase(ts), illum=G.moon_illum(ts), age=G.moon_age(ts), dec=G.moon_dec(ts))),
+    "fn_sunrise": lambda s, d: _r(_ev(s, d).select("event_id", G.sunrise(F.col("ts"), F.col("lat1"), F.col("lon1")).alias("rise"), G.sunset(F.col("ts"), F.col("lat1"), F.col("lon1")).alias("set"))),
     "fn_hex": lambda s, d: _int(s, d).select("event_id", G.hexdist(F.col("a"), F.col("b"), F.col("b"), F.col("a")).alias("dist"), F.size(G.hexdisk(F.col("a"), F.col("b"), 3)).alias("disk"), F.size(G.hexring(F.col("a"), F.col("b"), 3)).alias("ring"), G.h3parent(F.col("a"), F.col("b"))["q"].alias("pq"), G.h3parent(F.col("a"), F.col("b"))["r"].alias("pr")),
     "fn_hex_children": lambda s, d: _int(s, d).select("event_id", F.inline(G.h3children(F.col("a"), F.col("b")))),
     "fn_trits": lambda s, d: _int(s, d).select("event_id", G.trits(F.col("a") - 500).alias("t"), G.trit_val(G.trit_not(G.trits(F.col("a") - 500))).alias("neg"), G.trit_and(G.trits(F.col("a")), G.trits(F.col("b"))).alias("t_and"), G.trit_or(G.trits(F.col("a")), G.trits(F.col("b"))).alias("t_or")),
-    "fn_units": _cols(mi_km=G.convert(x, "mi", "km"), lb_kg=G.convert(x, "lb", "kg"), f_c=G.convert(x, "degF", "degC"), deg_rad=G.convert(x, "deg", "rad"), gib_mb=G.convert(x, "GiB", "MB"), yr_day=G.convert(x, "yr", "day")),
+    "fn_units": _cols(lambda x, y, la1, lo1, la2, lo2, ts: dict(mi_km=G.convert(x, "mi", "km"), lb_kg=G.convert(x, "lb", "kg"), f_c=G.convert(x, "degF", "degC"), deg_rad=G.convert(x, "deg", "rad"), gib_mb=G.convert(x, "GiB", "MB"), yr_day=G.convert(x, "yr", "day"))),
     "fn_units_table": lambda s, d: _ev(s, d).join(F.broadcast(G.units_table(s).where("kind = 'length' and factor between 0.001 and 10000")), F.lit(True)).select("event_id", "unit", F.round(F.col("x") * F.col("factor") + F.col("shift"), 4).alias("si")).groupBy("unit").agg(F.count("*").alias("n"), F.round(F.max("si"), 2).alias("top")),
     "fn_integers": lambda s, d: _int(s, d).select("event_id", N.gcd("a", "b").alias("gcd"), N.lcm("a", "b").alias("lcm")),
     "fn_primes": lambda s, d: _int(s, d).select("a").distinct().select("a", N.is_prime("a").alias("is_prime"), N.next_prime("a").alias("next"), N.prev_prime("a").alias("prev"), F.array_join(N.factorize("a"), ",").alias("factors")),

@@ -14,7 +14,10 @@ def _t(name):
 
 
 lineitem, orders, customer, supplier, nation, region, part, events = (_t(n) for n in "lineitem orders customer supplier nation region part events".split())
-REV = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+
+
+def revenue():
+    return F.col("l_extendedprice") * (1 - F.col("l_discount"))
 
 
 def _r(df, *cols, n=2):
@@ -25,12 +28,12 @@ def _r(df, *cols, n=2):
 
 def pricing_summary(s, d):
     li = lineitem(s, d).where("l_shipdate <= timestamp_ntz'1998-09-02 00:00:00'")
-    out = li.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("qty"), F.sum("l_extendedprice").alias("price"), F.sum(REV).alias("revenue"), F.avg("l_discount").alias("disc"), F.count("*").alias("n"))
+    out = li.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("qty"), F.sum("l_extendedprice").alias("price"), F.sum(revenue()).alias("revenue"), F.avg("l_discount").alias("disc"), F.count("*").alias("n"))
     return _r(out, "qty", "price", "revenue", n=1).withColumn("disc", F.round("disc", 6))
 
 
 def nation_revenue(s, d):
-    j = lineitem(s, d).select("l_orderkey", "l_suppkey", REV.alias("rev")).join(orders(s, d).select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    j = lineitem(s, d).select("l_orderkey", "l_suppkey", revenue().alias("rev")).join(orders(s, d).select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
     j = j.join(customer(s, d).select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey").join(supplier(s, d).select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey")
     j = j.where("c_nationkey = s_nationkey").join(nation(s, d).select(F.col("n_nationkey").alias("s_nationkey"), "n_name", "n_regionkey"), "s_nationkey").join(region(s, d).select(F.col("r_regionkey").alias("n_regionkey"), "r_name"), "n_regionkey")
     return _r(j.groupBy("r_name", "n_name").agg(F.sum("rev").alias("revenue"), F.count("*").alias("n")), "revenue", n=1)

@@ -6,10 +6,10 @@ import io
 import re
 import tarfile
 import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Folders that are never walked, and extensions read by default. Fixed values.
@@ -143,6 +143,10 @@ def pdb_info(atoms: DataFrame) -> DataFrame:
     return atoms.groupBy("path").agg(F.count("*").alias("atoms"), F.countDistinct("chain").alias("chains"), F.countDistinct("chain", "res_seq").alias("residues"), F.round(F.avg("b"), 4).alias("mean_b"))
 
 
+def _shift(cell: Column) -> Callable[[Column], Column]:
+    return lambda d: cell + d
+
+
 def within_radius(atoms: DataFrame, centres: DataFrame, radius: float) -> DataFrame:
     """Atoms within `radius` of the centres (cx, cy, cz) by cells of that width and exact distance."""
     cell = lambda c: F.floor(F.col(c) / radius).cast("bigint")
@@ -150,7 +154,7 @@ def within_radius(atoms: DataFrame, centres: DataFrame, radius: float) -> DataFr
     near = F.array(F.lit(-1), F.lit(0), F.lit(1))
     c = centres
     for src, dst in (("cx", "i"), ("cy", "j"), ("cz", "k")):
-        c = c.withColumn(dst, F.explode(F.transform(near, lambda d, src=src: cell(src) + d)))
+        c = c.withColumn(dst, F.explode(F.transform(near, _shift(cell(src)))))
     j = a.join(c, ["i", "j", "k"]).drop("i", "j", "k")
     d2 = (F.col("x") - F.col("cx")) ** 2 + (F.col("y") - F.col("cy")) ** 2 + (F.col("z") - F.col("cz")) ** 2
     return j.withColumn("dist", F.sqrt(d2)).where(F.col("dist") <= radius)
