@@ -58,24 +58,21 @@ def _words(text: str) -> list[str]:
 
 
 def tiled(a: list[str], b: list[str], least: int) -> int:
-    """Words of `a` covered by tiles, longest first, that also stand in `b`; tiles of `b`
-    may serve again. Runs below `least` words don't count."""
-    if not a or not b:
-        return 0
-    runs: dict[tuple[str, ...], list[int]] = {}
+    """Words of `a` that tiles cover: runs of `least` words or more that also stand in `b`.
+
+    Tiles are found by the hashes of all runs of `least` words; runs that follow each other
+    in both texts make one tile, and a stretch of `b` may serve several tiles, so an echo
+    given twice counts twice. Linear in both texts.
+    """
     least = min(least, len(b))
-    for i in range(len(b) - least + 1):
-        runs.setdefault(tuple(b[i : i + least]), []).append(i)
-    covered, i = 0, 0
-    while i <= len(a) - least:
-        best = 0
-        for j in runs.get(tuple(a[i : i + least]), ())[:64]:
-            n = least
-            while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
-                n += 1
-            best = max(best, n)
-        covered += best
-        i += best or 1
+    if not least or len(a) < least:
+        return 0
+    runs = {hash(tuple(b[i : i + least])) for i in range(len(b) - least + 1)}
+    covered = end = 0
+    for i in range(len(a) - least + 1):
+        if hash(tuple(a[i : i + least])) in runs:
+            covered += i + least - max(end, i)
+            end = i + least
     return covered
 
 

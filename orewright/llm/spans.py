@@ -93,19 +93,32 @@ def anchors(texts: list[str], least: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return own, at - (ends - sizes)[own], h[at].view(np.int64)
 
 
+#: Characters that are hashed at once; a longer text goes in stretches that overlap by a span.
+STRETCH = 1 << 20
+
+
+def _stretches(texts: list[str], least: int) -> Iterator[tuple[int, int, str]]:
+    """(number of the text, offset, stretch) of all texts."""
+    for i, t in enumerate(texts):
+        for at in range(0, max(1, len(t) - least + 1), STRETCH - least + 1):
+            yield i, at, t[at : at + STRETCH]
+
+
 def _anchor_rows(least: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ids, texts = pdf["doc_id"].to_numpy(), pdf["text"].tolist()
-            at = 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) <= 1 << 20):
-                    size += len(texts[end])
-                    end += 1
-                own, place, h = anchors(texts[at:end], least)
-                yield pd.DataFrame({"doc_id": ids[at:end][own], "place": place.astype(np.int32), "h": h})
-                at = end
+            ids = pdf["doc_id"].to_numpy()
+            held: list[tuple[int, int, str]] = []
+            size = 0
+            for part in [*_stretches(pdf["text"].tolist(), least), None]:
+                if held and (part is None or size + len(part[2]) > STRETCH):
+                    own, place, h = anchors([x for *_, x in held], least)
+                    number, offset = np.array([x[0] for x in held]), np.array([x[1] for x in held])
+                    yield pd.DataFrame({"doc_id": ids[number[own]], "place": (place + offset[own]).astype(np.int32), "h": h})
+                    held, size = [], 0
+                if part:
+                    held.append(part)
+                    size += len(part[2])
 
     return run
 
@@ -362,7 +375,7 @@ def shared_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
     texts = docs.select("doc_id", "text").where((F.col("doc_id").isNotNull()) & (F.length("text") >= least))
     rows = materialize(texts.mapInPandas(_anchor_rows(least), "doc_id bigint, place int, h bigint"), "anchors")
     shared = rows.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("h", "n")
-    own = rows.join(shared, "h").groupBy("doc_id").agg(F.collect_list(F.struct("h", "n", "place")).alias("own"))
+    own = rows.join(shared, "h").distinct().groupBy("doc_id").agg(F.collect_list(F.struct("h", "n", "place")).alias("own"))
     ctx = texts.join(own, "doc_id").mapInPandas(_contexts(least), "doc_id bigint, h bigint, n bigint, place int, at int, ctx string")
     ctx = materialize(ctx.distinct(), "contexts")
     small = ctx.where(F.col("n") <= SHARD).repartition("h").sortWithinPartitions("h").mapInPandas(_shards(least), _SPANS)

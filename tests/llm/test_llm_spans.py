@@ -56,6 +56,16 @@ def test_maximal_spans_and_share(spark):
     assert share == {1: 1500, 2: 1500, 3: 0}
 
 
+def test_long_texts_go_in_stretches(spark, rows, monkeypatch):
+    monkeypatch.setattr(S, "STRETCH", 1000)
+    docs = [d for d in corpus(7) if d[1]][:9]
+    df = spark.createDataFrame([(i, prose(random.Random(1000 + i), 150) + t + prose(random.Random(2000 + i), 150)) for i, t in docs], "doc_id bigint, text string")
+    texts = dict(rows(df))
+    want = [(a, b) for a in texts for b in texts if a < b and longest_common(texts[a][1000:-1000], texts[b][1000:-1000]) >= 300]
+    assert rows(S.sharing_pairs(df)) == sorted(want)
+    assert [(i, at, len(x)) for i, at, x in S._stretches(["y" * 1702, "z" * 300], 300)] == [(0, 0, 1000), (0, 701, 1000), (0, 1402, 300), (1, 0, 300)]
+
+
 def test_empty(spark, rows):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert rows(S.sharing_pairs(df)) == [] and rows(S.shared_share(df)) == []
