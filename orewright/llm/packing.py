@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orewright.llm.tokens import sized
-from orewright.session import materialize
+from orewright.session import cores, materialize
 
 #: Tokens of a group, nodes of a search, fillings tried at a node, fill from which a container is done.
 GROUP_TOKENS, NODES, WIDTH, GOOD = 1_000_000, 1_000, 3, 0.995
@@ -209,8 +209,12 @@ _PACKED = "container string, capacity_tokens int, bin_id string, bin_tokens bigi
 
 
 def _in_groups(items: DataFrame, total: int, salt: int) -> DataFrame:
+    """Items with the group they are dealt to; groups are spread over all cores, as they are few bytes and much work."""
     n = max(1, round(total / GROUP_TOKENS))
-    return items.withColumn("grp", F.concat(F.lit(f"{salt}-"), F.pmod(F.xxhash64("doc_id", "piece_no", "tokens", F.lit(salt)), F.lit(n))))
+    spark = items.sparkSession
+    parts = min(n, max(3 * cores(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    dealt = items.withColumn("grp", F.concat(F.lit(f"{salt}-"), F.pmod(F.xxhash64("doc_id", "piece_no", "tokens", F.lit(salt)), F.lit(n))))
+    return dealt.repartition(parts, "grp")
 
 
 def pack(docs: DataFrame, containers: DataFrame, vocabulary: str | None = None) -> DataFrame:
