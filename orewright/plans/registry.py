@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with QUERIES (name -> callable) and SQL (name -> DuckDB SQL).
-MODULES = ("general", "textual", "scanning", "searching", "functional", "structural", "relations", "streamed", "extended")
+MODULES = ("general", "textual", "scanning", "searching", "functional", "structural", "relations", "streamed", "extended", "symbols")
 
 
 def _all(what: str) -> dict:
