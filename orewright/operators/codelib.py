@@ -47,7 +47,7 @@ def _block_end(text: str, at: int, nested: bool) -> int:
     return i
 
 
-def _pair_end(mask: str, at: int, opening: str, closing: str) -> int:
+def bracket_end(mask: str, at: int, opening: str, closing: str) -> int:
     """The place behind the bracket that closes the one at `at`."""
     depth = 0
     for m in re.compile(f"[{re.escape(opening + closing)}]").finditer(mask, at):
@@ -76,7 +76,7 @@ def islands(text: str, lang: str) -> tuple[str, list[tuple[str, int, int]]]:
         elif kind == "attr":
             after = re.compile(r"[ \t]*\(").match(text, e)
             if after:
-                e = _pair_end(text, after.end() - 1, "(", ")")
+                e = bracket_end(text, after.end() - 1, "(", ")")
         out.append((kind, s, e))
         parts += [text[done:s], re.sub(r"[^\r\n]", " ", text[s:e])]
         done = i = max(e, s + 1)
@@ -105,8 +105,8 @@ def body_end(text: str, mask: str, lang: str, m: re.Match, which: str) -> int:
     """Where the function of a signature ends: its balanced body, or its indented block."""
     if lang != "python":
         brace = re.compile(r"[{;]").search(mask, m.end() - (which == "name3"))
-        return _pair_end(mask, brace.start(), "{", "}") if brace and brace.group() == "{" else brace.end() if brace else len(text)
-    colon = mask.find(":", _pair_end(mask, mask.find("(", m.end("name")), "(", ")"))
+        return bracket_end(mask, brace.start(), "{", "}") if brace and brace.group() == "{" else brace.end() if brace else len(text)
+    colon = mask.find(":", bracket_end(mask, mask.find("(", m.end("name")), "(", ")"))
     at = line_start(text, m.start("name"))
     indent = len(mask[at:]) - len(mask[at:].lstrip(" \t"))
     for nxt in re.compile(r"(?:\r\n|\r|\n)([ \t]*)(?=[^\s#])").finditer(mask, max(colon, 0)):
