@@ -32,85 +32,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orewright.operators.codelib import bracket_end, body_end, islands, language_of, line_start, signatures
 from orewright.session import materialize
 
-#: Languages by label and by ending. Fixed values.
-LANGS = {"rust": "rust", "rs": "rust", "typescript": "ts", "ts": "ts", "tsx": "ts", "javascript": "ts", "js": "ts", "go": "go", "golang": "go", "python": "python", "py": "python"}
-
 #: Kinds of definitions that are functions or methods. Fixed values.
 FUNCTION_KINDS = ("fn", "function", "method", "def", "func")
 
-_S = r'"(?:[^"\\]|\\.)*"'
-_LEX = {
-    "rust": re.compile(rf'(?P<line>//[^\r\n]*)|(?P<block>/\*)|(?P<str>b?r(?P<h>#*)".*?"(?P=h)|b?{_S}|b?\'(?:[^\'\\\r\n]|\\[^\r\n]{{1,10}}?)\')|(?P<attr>#!?\[)', re.S),
-    "ts": re.compile(rf"(?P<line>//[^\r\n]*)|(?P<block>/\*)|(?P<str>`(?:[^`\\]|\\.)*`|{_S}|'(?:[^'\\\r\n]|\\.)*')|(?P<attr>@[A-Za-z_][\w.]*)", re.S),
-    "go": re.compile(rf"(?P<line>//[^\r\n]*)|(?P<block>/\*)|(?P<str>`[^`]*`|{_S}|'(?:[^'\\\r\n]|\\[^\r\n]{{1,10}}?)')", re.S),
-    "python": re.compile(r"(?P<line>\#[^\r\n]*)|(?P<str>(?<![A-Za-z0-9_])(?P<p>[rRuUbBfF]{0,2})(?:\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?'''|\"(?:[^\"\\\r\n]|\\.)*\"|'(?:[^'\\\r\n]|\\.)*'))", re.S),
-}
-_SIG = {
-    "rust": re.compile(r"(?<![\w#])(?P<mods>(?:(?:pub(?:\s*\([^()]*\))?|default|async|const|unsafe|extern(?:\s+ +)?|extern)\s+)*)fn\s+(?:r#)?(?P<name>\w+)\s*(?=[<(])"),
-    "ts": re.compile(
-        r"(?<![\w.$])(?P<mods>(?:(?:export|default|declare|async|public|private|protected|static|abstract|override|readonly)\s+)*)"
-        r"(?:function\s*\*?\s*(?P<name>[\w$]+)\s*(?=[<(])|(?:const|let|var)\s+(?P<name2>[\w$]+)\s*(?::[^=;{}]*)?=\s*(?:async\s+)?(?:function\b|(?:<[^<>()]*>\s*)?\([^()]*(?:\([^()]*\)[^()]*)*\)\s*(?::[^={};]*)?=>|[\w$]+\s*=>)"
-        r"|(?<=[\r\n{};])[ \t]*(?P<mods2>(?:(?:async|public|private|protected|static|abstract|override|readonly|get|set)\s+)*)\*?\s*(?P<name3>#?[\w$]+)\s*(?:<[^<>()]*>)?\([^()]*(?:\([^()]*\)[^()]*)*\)\s*(?::[^={};()]*)?\{)"
-    ),
-    "go": re.compile(r"(?<![\w.])func\s+(?:\([^()]*\)\s*)?(?P<name>\w+)\s*(?=[\[(])"),
-    "python": re.compile(r"(?<![^\r\n])[ \t]*(?:async[ \t]+)?def[ \t]+(?P<name>\w+)\s*(?=[\[(])"),
-}
-_NOT_METHODS = {"if", "for", "while", "switch", "catch", "function", "return", "with", "do", "else", "try", "new", "typeof", "await", "super"}
-
-
-def _block_end(text: str, at: int, nested: bool) -> int:
-    """The end of the comment that begins with ``/*`` at `at`."""
-    depth, i = 1, at + 2
-    while depth:
-        close = text.find("*/", i)
-        if close < 0:
-            return len(text)
-        inner = text.find("/*", i, close) if nested else -1
-        if inner >= 0:
-            depth, i = depth + 1, inner + 2
-        else:
-            depth, i = depth - 1, close + 2
-    return i
-
-
-def _pair_end(mask: str, at: int, opening: str, closing: str) -> int:
-    """The place behind the bracket that closes the one at `at`."""
-    depth = 0
-    for m in re.compile(f"[{re.escape(opening + closing)}]").finditer(mask, at):
-        depth += 1 if m.group() == opening else -1
-        if not depth:
-            return m.end()
-    return len(mask)
-
-
-def islands(text: str, lang: str) -> tuple[str, list[tuple[str, int, int]]]:
-    """The text with comments and strings blanked, and (kind, start, end) of the islands."""
-    out, parts, i, done = [], [], 0, 0
-    lex = _LEX[lang]
-    while m := lex.search(text, i):
-        kind, s, e = m.lastgroup if m.lastgroup not in ("h", "p") else "str", m.start(), m.end()
-        if kind == "block":
-            e = _block_end(text, s, lang == "rust")
-        elif kind == "attr" and lang == "rust":
-            e = s + 1
-            depth = 0
-            for t in re.compile(rf"{_S}|[\[\]]", re.S).finditer(text, s):
-                depth += (t.group() == "[") - (t.group() == "]")
-                if t.group() == "]" and not depth:
-                    e = t.end()
-                    break
-        elif kind == "attr":
-            after = re.compile(r"[ \t]*\(").match(text, e)
-            if after:
-                e = _pair_end(text, after.end() - 1, "(", ")")
-        out.append((kind, s, e))
-        parts += [text[done:s], re.sub(r"[^\r\n]", " ", text[s:e])]
-        done = i = max(e, s + 1)
-    return "".join(parts) + text[done:], out
-
-
 def _clean(raw: str) -> str:
     """The words of a documentation comment without its markers."""
     if raw.startswith("/*"):
@@ -175,40 +102,29 @@ def functions(text: str, lang: str) -> Iterator[tuple[str, int, int, str, int]]:
     mask, found = islands(text, lang)
     ends = {e: (k, s, e) for k, s, e in found}
     starts = {s: (k, s, e) for k, s, e in found}
-    for m in _SIG[lang].finditer(mask):
-        groups = m.groupdict()
-        which = next(k for k in ("name", "name2", "name3") if groups.get(k))
-        name = groups[which]
-        if which == "name3" and name in _NOT_METHODS:
-            continue
-        at = m.start(which)
-        line = max(text.rfind("\n", 0, at), text.rfind("\r", 0, at)) + 1
+    for m, which, name in signatures(mask, lang):
+        line, end = line_start(text, m.start(which)), body_end(text, mask, lang, m, which)
         if lang == "python":
-            close = _pair_end(mask, mask.find("(", m.end("name")), "(", ")")
-            colon = mask.find(":", close)
-            if colon < 0:
-                continue
-            p = colon + 1
-            doc, indent = "", len(mask[line:at]) - len(mask[line:at].lstrip())
-            while t := re.compile(r"\s*").match(text, p):
-                p = t.end()
-                if (c := starts.get(p)) and c[0] == "line":
-                    p = c[2]
-                    continue
-                if c and c[0] == "str":
-                    doc = _docstring(text[c[1] : c[2]]) if re.match(r"[ \t]*(?:[\r\n;#]|$)", text[c[2] : c[2] + 200]) else ""
-                break
-            end = len(text)
-            for nxt in re.compile(r"(?:\r\n|\r|\n)([ \t]*)(?=[^\s#])").finditer(mask, colon):
-                if len(nxt.group(1)) <= indent:
-                    end = nxt.start()
-                    break
-            yield name, line, end, doc, line
+            yield name, line, end, _first_string(text, mask, starts, m), line
+        else:
+            doc, begin = _before(text, m.start() + len(m.group()) - len(m.group().lstrip()), lang, ends)
+            yield name, line, end, doc, begin
+
+
+def _first_string(text: str, mask: str, starts: dict[int, tuple[str, int, int]], m: re.Match) -> str:
+    """The string that is the first statement behind a signature, comments left aside."""
+    colon = mask.find(":", bracket_end(mask, mask.find("(", m.end("name")), "(", ")"))
+    p = colon + 1
+    while colon >= 0:
+        p = re.compile(r"\s*").match(text, p).end()
+        c = starts.get(p)
+        if c and c[0] == "line":
+            p = c[2]
             continue
-        doc, begin = _before(text, m.start() + len(m.group()) - len(m.group().lstrip()), lang, ends)
-        brace = re.compile(r"[{;]").search(mask, m.end() - (which == "name3"))
-        end = _pair_end(mask, brace.start(), "{", "}") if brace and brace.group() == "{" else brace.end() if brace else len(text)
-        yield name, line, end, doc, begin
+        if c and c[0] == "str" and re.match(r"[ \t]*(?:[\r\n;#]|$)", text[c[2] : c[2] + 200]):
+            return _docstring(text[c[1] : c[2]])
+        break
+    return ""
 
 
 def _docstring(raw: str) -> str:
@@ -261,7 +177,7 @@ def _extractor(with_code: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, lang, text in zip(pdf["path"], pdf["lang"], pdf["text"], strict=True):
-                kind = LANGS.get((lang or "").strip().lower()) or LANGS.get((path or "").rpartition(".")[2].lower())
+                kind = language_of(lang, path)
                 rows, seen = [], {}
                 if kind and text:
                     last, nbyte, nline = 0, 0, 1
