@@ -66,11 +66,13 @@ def k_hop(edges: DataFrame, starts: DataFrame, k: int, want: int | None = None,
     e = e.select("src", "dst").distinct()
     if both:
         e = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    if k > 1:
+        e = materialize(e, "arcs")
     seen = starts.select("id", F.lit(0).alias("depth")).distinct()
     frontier = seen.select("id")
     for hop in range(1, k + 1):
         nxt = frontier.join(e, frontier["id"] == e["src"]).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
-        if hop % 3 == 0 and hop < k:
+        if hop < k:  # else each hop would be made again by all that follow
             nxt = materialize(nxt, "frontier")
         seen = seen.unionByName(nxt.select("id", F.lit(hop).alias("depth")))
         frontier = nxt
@@ -110,25 +112,27 @@ def weighted_page_rank(nodes: DataFrame, edges: DataFrame, iterations: int, damp
     e = signed(edges).where("signed_weight != 0")
     if want is not None:
         e = e.where(F.signum("signed_weight") == want)
-    e = e.groupBy("src", "dst").agg(F.sum(F.abs("signed_weight")).alias("w"))
+    e = materialize(e.groupBy("src", "dst").agg(F.sum(F.abs("signed_weight")).alias("w")), "arcs")
     out = e.groupBy("src").agg(F.sum("w").alias("out"))
     link = materialize(e.join(out, "src").select("src", "dst", (F.col("w") / F.col("out")).alias("p")), "links")
     size = nodes.agg(F.count("*").alias("n"))
-    sinks = nodes.join(out, nodes["id"] == out["src"], "left_anti").select("id")
-    rank = nodes.crossJoin(F.broadcast(size)).select("id", (1.0 / F.col("n")).alias("rank"))
+    node = materialize(nodes.join(out, nodes["id"] == out["src"], "left").crossJoin(F.broadcast(size)).select("id", F.col("out").isNull().alias("sink"), "n"), "nodes")
+    rank = node.select("id", "sink", (1.0 / F.col("n")).alias("rank"))
     for i in range(iterations):
-        loose = rank.join(sinks, "id", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("loose"))
-        flow = link.join(rank, link["src"] == rank["id"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("p")).alias("flow"))
-        j = nodes.join(flow, nodes["id"] == flow["dst"], "left").crossJoin(F.broadcast(size)).crossJoin(F.broadcast(loose))
-        rank = j.select("id", ((1 - d) / F.col("n") + d * F.coalesce("flow", F.lit(0.0)) + d * F.col("loose") / F.col("n")).alias("rank"))
-        if i % 2 == 1 and i < iterations - 1:
+        loose = rank.where("sink").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("loose"))
+        flow = link.join(rank.select("id", "rank"), link["src"] == rank["id"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("p")).alias("flow"))
+        j = node.join(flow, node["id"] == flow["dst"], "left").crossJoin(F.broadcast(loose))
+        rank = j.select("id", "sink", ((1 - d) / F.col("n") + d * F.coalesce("flow", F.lit(0.0)) + d * F.col("loose") / F.col("n")).alias("rank"))
+        if i < iterations - 1:  # a round reads the ranks twice
             rank = materialize(rank, "rank")
-    return rank
+    return rank.select("id", "rank")
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, steps: int, gamma: float = 0.5, leak: float = 0.9) -> DataFrame:
     """(id, x) after `steps` of x <- leak x + gamma A x over signed weights, seeds at 1, kept within 1e15."""
     e = signed(edges).where("signed_weight != 0").groupBy("src", "dst").agg(F.sum("signed_weight").alias("w"))
+    if steps > 1:
+        e = materialize(e, "arcs")
     x = seeds.select("id", F.lit(1.0).alias("x")).distinct()
     for i in range(steps):
         push = x.join(e, x["id"] == e["src"]).select(F.col("dst").alias("id"), (gamma * F.col("x") * F.col("w")).alias("x"))
@@ -167,12 +171,13 @@ def danger(files: Column) -> Column:
 
 def impact(calls: DataFrame, symbols: DataFrame, depth: int) -> DataFrame:
     """(symbol, callers, files, danger): what calls each of `symbols` (id), directly or through others."""
-    e = calls.where("src is not null").select(F.col("dst").alias("src"), F.col("src").alias("dst")).distinct()
+    e = materialize(calls.where("src is not null").select(F.col("dst").alias("src"), F.col("src").alias("dst")).distinct(), "arcs")
     starts = symbols.select("id")
     reach = starts.select(F.col("id").alias("root"), F.col("id"), F.lit(0).alias("depth"))
     frontier = reach.select("root", "id")
     for hop in range(1, depth + 1):
         nxt = frontier.join(e, frontier["id"] == e["src"]).select("root", F.col("dst").alias("id")).distinct().join(reach.select("root", "id"), ["root", "id"], "left_anti")
+        nxt = materialize(nxt, "reach")
         reach = reach.unionByName(nxt.withColumn("depth", F.lit(hop)))
         frontier = nxt
     up = reach.where("depth > 0").groupBy("root").agg(F.count("*").alias("callers"))

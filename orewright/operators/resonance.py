@@ -8,6 +8,7 @@ and ``rarity = max(0, ln N - ln freq)``; a bonus may be added. Resonance follows
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -50,14 +51,20 @@ def fold(values: Column, phi: float = PHI) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: x + phi * a)
 
 
+def memory_of(phi: float) -> int:
+    """Values back at which a value's weight falls below 1e-13 of its own."""
+    phi = min(max(phi, 0.0), 0.999)
+    return 1 if phi < 1e-13 else max(1, math.ceil(math.log(1e-13) / math.log(phi)))
+
+
 def resonance_at_hits(hits: DataFrame, phi: float = PHI, key: str = "doc_id", value: str = "density") -> DataFrame:
     """`hits` with ``resonance``, folded over each document's hits in their order."""
-    w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(key).orderBy("pos").rowsBetween(1 - memory_of(phi), 0)
     return hits.withColumn("resonance", fold(F.collect_list(value).over(w), phi))
 
 
-def density_field(docs: DataFrame, query: str, radius: int = RADIUS, kappa: float = KAPPA, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, pos, density) at every token, in linear work.
+def density_field(docs: DataFrame, query: str, radius: int = RADIUS, kappa: float = KAPPA, key: str = "doc_id", text: str = "text", corpus: DataFrame | None = None) -> DataFrame:
+    """(key, pos, density) at every token of `docs`, in linear work; rarities come from `corpus` or else `docs`.
 
     An occurrence is the first of its token in the windows whose centres lie in
     [max(p - r, previous + r + 1), p + r]; it adds its rarity^2 there. So each occurrence
@@ -67,7 +74,7 @@ def density_field(docs: DataFrame, query: str, radius: int = RADIUS, kappa: floa
     ts = T.token_stream(docs, key, text)
     before = F.lag("pos").over(Window.partitionBy(key, "tok").orderBy("pos"))
     ts = ts.withColumn("lo", F.greatest(F.col("pos") - radius, F.coalesce(before + radius + 1, F.lit(0)), F.lit(0)))
-    ts = ts.join(rarities(docs, None, text), "tok", "left").withColumn("own", F.col("tok").isin(q))
+    ts = ts.join(rarities(docs if corpus is None else corpus, None, text), "tok", "left").withColumn("own", F.col("tok").isin(q))
     gain = F.when(F.col("own"), 0.0).otherwise(F.coalesce("rarity", F.lit(0.0)) ** 2)
     kw = F.col("own").cast("int")
     steps = F.array(
@@ -83,16 +90,18 @@ def density_field(docs: DataFrame, query: str, radius: int = RADIUS, kappa: floa
     return s.select(key, F.col("at").alias("pos"), (kappa * (1 + F.ln(F.col("kw") + 1.0)) * F.greatest("sum", F.lit(0.0))).alias("density"))
 
 
-def field_resonance(docs: DataFrame, query: str, radius: int = RADIUS, phi: float = PHI, memory: int = 160, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, pos, density, resonance) at the hits, the recurrence running over every token.
-    Older tokens than `memory` weigh less than a double can tell for the default phi."""
+def field_resonance(docs: DataFrame, query: str, radius: int = RADIUS, phi: float = PHI, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, pos, density, resonance) at the hits, the recurrence running over every token. The
+    field is made only for texts that hold the literals; rarities come from all."""
     q = T.query_tokens(query)
-    f = density_field(docs, query, radius, KAPPA, key, text)
-    w = Window.partitionBy(key).orderBy("pos").rowsBetween(-(memory - 1), 0)
-    hits = T.phrase_hits(docs, query, key, text)
-    f = f.join(hits.select(key).distinct(), key, "left_semi")
-    f = f.withColumn("resonance", fold(F.collect_list("density").over(w), phi))
-    return f.join(hits, [key, "pos"])
+    some = docs.where(T.has_literals(F.col(text), q))
+    hits = T.phrase_hits(some, query, key, text)
+    f = density_field(some, query, radius, KAPPA, key, text, corpus=docs)
+    w = Window.partitionBy(key).orderBy("pos").rowsBetween(1 - memory_of(phi), 0)
+    # the fold is made for the hits alone: the lists of the other tokens are never read
+    hit = hits.withColumn("hit", F.lit(True))
+    f = f.join(hit, [key, "pos"], "left").withColumn("near", F.collect_list("density").over(w)).where("hit")
+    return f.select(key, "pos", "density", fold(F.col("near"), phi).alias("resonance"))
 
 
 def top_hits(hits: DataFrame, n: int, order: Sequence[str] = ("doc_id", "pos")) -> DataFrame:

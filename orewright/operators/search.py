@@ -80,14 +80,15 @@ def phrase_filter(docs: DataFrame, scored: DataFrame, phrase: Sequence[str], key
 def page_rank(nodes: DataFrame, edges: DataFrame, iterations: int = 10, damping: float = 0.85) -> DataFrame:
     """(id, rank): start 1, base (1 - d) / n, links to oneself count in the out-degree alone,
     the mass of pages without links isn't spread. Lineage is cut every four rounds."""
-    e = edges.select("src", "dst").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
+    size = nodes.agg(F.count("*").alias("n"))
+    node = materialize(nodes.crossJoin(F.broadcast(size)), "nodes")
+    e = materialize(edges.select("src", "dst").join(node.select(F.col("id").alias("dst")), "dst", "left_semi"), "arcs")
     out = e.groupBy("src").agg(F.count("*").alias("out"))
     link = materialize(e.where("src != dst").join(out, "src").groupBy("src", "dst", "out").agg(F.count("*").alias("m")), "links")
-    base = nodes.agg(F.count("*").alias("n"))
-    rank = nodes.select("id", F.lit(1.0).alias("rank"))
+    rank = node.select("id", F.lit(1.0).alias("rank"))
     for i in range(iterations):
         flow = link.join(rank, link["src"] == rank["id"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("m") / F.col("out")).alias("flow"))
-        rank = nodes.join(flow, nodes["id"] == flow["dst"], "left").crossJoin(F.broadcast(base)).select("id", ((1 - damping) / F.col("n") + damping * F.coalesce("flow", F.lit(0.0))).alias("rank"))
+        rank = node.join(flow, node["id"] == flow["dst"], "left").select("id", ((1 - damping) / F.col("n") + damping * F.coalesce("flow", F.lit(0.0))).alias("rank"))
         if i % 4 == 3 and i < iterations - 1:
             rank = materialize(rank, "rank")
     return rank
