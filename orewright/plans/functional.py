@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from orewright.functions import calc as K
 from orewright.functions import geo as G
 from orewright.functions import numbers as N
 from orewright.functions import planets as P
@@ -61,6 +62,7 @@ QUERIES = {
     "fn_sun": _cols(lambda x, y, la1, lo1, la2, lo2, ts: dict(jd=G.julian_day(ts), lon=G.sun_lon(ts), ra=G.sun_ra(ts), dec=G.sun_dec(ts))),
     "fn_moon": _cols(lambda x, y, la1, lo1, la2, lo2, ts: dict(lon=G.moon_lon(ts), lat=G.moon_lat(ts), dist=G.moon_dist(ts), phase=G.moon_phase(ts), illum=G.moon_illum(ts), age=G.moon_age(ts), dec=G.moon_dec(ts))),
     "fn_sunrise": lambda s, d: _r(_ev(s, d).select("event_id", G.sunrise(F.col("ts"), F.col("lat1"), F.col("lon1")).alias("rise"), G.sunset(F.col("ts"), F.col("lat1"), F.col("lon1")).alias("set"))),
+    "fn_calculator": lambda s, d: _r(_ev(s, d).select("event_id", *[K.calc(t, {"x": F.col("x"), "y": F.col("y")}).alias(n) for n, t in (("a", "2 x^2 - sqrt(abs(y)) + log(100)"), ("b", "r = x + 1; pi r^2 / 2!"), ("c", "1 km + 200 m to mi"), ("d", "-y^2 + max(x, y, 3)"))])),
     "fn_planets": lambda s, d: _r(_ev(s, d).select("event_id", *[P.planet(n, G.julian_day(F.col("ts")))[c].alias(f"{n}_{c}") for n, c in (("mars", "lon"), ("mars", "dist"), ("jupiter", "lon"), ("saturn", "dist"), ("venus", "lat"))])),
     "fn_constants": lambda s, d: _r(_ev(s, d).crossJoin(F.broadcast(P.constants_table(s).where("name in ('pi', 'phi', 'g0', 'trit')"))).groupBy("name").agg(F.sum(F.col("y") * F.col("value")).alias("total")), 3, ("name",)),
     "fn_hex": lambda s, d: _int(s, d).select("event_id", G.hexdist(F.col("a"), F.col("b"), F.col("b"), F.col("a")).alias("dist"), F.size(G.hexdisk(F.col("a"), F.col("b"), 3)).alias("disk"), F.size(G.hexring(F.col("a"), F.col("b"), 3)).alias("ring"), G.h3parent(F.col("a"), F.col("b"))["q"].alias("pq"), G.h3parent(F.col("a"), F.col("b"))["r"].alias("pr")),
@@ -120,6 +122,7 @@ round(degrees(asin(sin(radians(lon)) * cos(radians(lat)) * sin(tilt) + sin(radia
     "fn_sunrise": f"""WITH a AS (SELECT *, 2 * pi() / 365 * (dayofyear(ts) - 1) AS g FROM {_EV}), b AS (SELECT *, 229.18 * (0.000075 + 0.001868 * cos(g) - 0.032077 * sin(g) - 0.014615 * cos(2 * g) - 0.040849 * sin(2 * g)) AS eq,
 0.006918 - 0.399912 * cos(g) + 0.070257 * sin(g) - 0.006758 * cos(2 * g) + 0.000907 * sin(2 * g) - 0.002697 * cos(3 * g) + 0.00148 * sin(3 * g) AS decl FROM a), c AS (SELECT *, cos(radians(90.833)) / (cos(radians(lat1)) * cos(decl)) - tan(radians(lat1)) * tan(decl) AS h FROM b)
 SELECT event_id, round(CASE WHEN h BETWEEN -1 AND 1 THEN 12 - lon1 / 15 - eq / 60 - degrees(acos(h)) / 15 END, 6) AS rise, round(CASE WHEN h BETWEEN -1 AND 1 THEN 12 - lon1 / 15 - eq / 60 + degrees(acos(h)) / 15 END, 6) AS set FROM c""",
+    "fn_calculator": _sql(a="2 * x * x - sqrt(abs(y)) + 2", b="pi() * (x + 1) * (x + 1) / 2", c="1200 / 1609.344", d="greatest(x, y, 3) - y * y"),
     "fn_constants": f"WITH c(name, value) AS (VALUES ('pi', pi()), ('phi', (1 + sqrt(5)) / 2), ('g0', 9.80665::DOUBLE), ('trit', log2(3))) SELECT name, round(sum(y * value), 3) AS total FROM {_EV}, c GROUP BY name",
     "fn_hex": f"SELECT event_id, (abs(a - b) + abs(b - a) + abs((a - b) + (b - a))) // 2 AS dist, 37::INT AS disk, 18::INT AS ring, floor((a + 1) / 3)::BIGINT AS pq, floor((b + 1) / 3)::BIGINT AS pr FROM {_INT}",
     "fn_hex_children": f"SELECT event_id, 3 * a + i AS q, 3 * b + j AS r FROM {_INT}, (VALUES (-1), (0), (1)) u(i), (VALUES (-1), (0), (1)) v(j)",

@@ -360,3 +360,25 @@ def test_nothing_else_imports_the_llm_subpackage():
             assert not re.search(r"(?:import|from)[^\n]*llm", p.read_text()), p
     code = "import sys; sys.modules['orewright.llm'] = None; import __spark_entry__ as e; print(len(e.queries()) > 100 and not any(k.startswith(('p1_', 'p9_')) for k in e.queries()))"
     assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True).stdout.strip() == "True"
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("2(3+4)", 14), ("-2^2", -4), ("2^3^2", 512), ("5!", 120), ("2 x^2 - x", 15), ("sin(pi/2) + log(100)", 3), ("r = 2; pi r^2", 4 * math.pi), ("1 km + 200 m to km", 1.2), ("3 km / 2 to mi", 1500 / 1609.344),
+        ("212 degF to degC", 100), ("max(1, x, 2) × 2 ÷ 4", 1.5), ("1/0", None), ("2 m * 3 m / (6 m) to cm", 100), ("x x", 9), ("(-1)^2", 1), (".5e1", 5),
+    ],
+)
+def test_calculator(spark, text, want):
+    from orewright.functions.calc import calc
+
+    got = spark.createDataFrame([(3.0,)], "x double").select(calc(text, {"x": F.col("x")})).first()[0]
+    assert got is None if want is None else got == pytest.approx(want)
+
+
+@pytest.mark.parametrize("text", ["", "2 +", "1 km + 1 kg", "1 km to kg", "nope", "sin()", "sin(1 m)", "(1", "1 )", "2^(1 m)", "max(1)"])
+def test_calculator_refuses(spark, text):
+    from orewright.functions.calc import calc
+
+    with pytest.raises(ValueError):
+        calc(text)
