@@ -53,7 +53,7 @@ QUERIES = {
     "fn_trig": _cols(lambda x, y, la1, lo1, la2, lo2, ts: dict(sin=F.sin(x), cos=F.cos(x), tan_y=F.tan(y), atan=F.atan(x), atan2=F.atan2(y, x + 0.5), sinh=F.sinh(y), cosh=F.cosh(y), tanh=F.tanh(y), asinh=F.asinh(y), sind=S.sind(x), cosd=S.cosd(x), tand=S.tand(y), atan2d=S.atan2d(y, x + 0.5), rad=F.radians(x), deg=F.degrees(y))),
     "fn_inverse": _cols(lambda x, y, la1, lo1, la2, lo2, ts: dict(asin=S.asin(y), acos=S.acos(y), acosh=S.acosh(y), atanh=F.when(F.abs(y) != 1, S.atanh(y)), casin_re=S.casin(y)["re"], casin_im=S.casin(y)["im"])),
     "fn_log": _cols(lambda x, y, la1, lo1, la2, lo2, ts: dict(ln=F.when(y != 0, S.ln(y)), log=F.when(y != 0, S.log(y)), log2=F.when(y != 0, S.log2(y)), log_base3=S.log(y, 3), exp=F.exp(y), sqrt=S.sqrt(y), csqrt_im=S.csqrt(y)["im"], cln_im=F.when(y != 0, S.cln(y)["im"]), cbrt=F.cbrt(y), hypot=S.hypot(x, y), pow=F.pow(F.abs(y), 1.5))),
-    "fn_round": _cols(lambda x, y, la1, lo1, la2, lo2, ts: dict(floor=F.floor(y), ceil=F.ceil(y), round=F.round(y), sign=F.signum(y), fract=S.fract(y), mod=S.mod(y, F.lit(0.7)), mod_neg=S.mod(x, F.lit(-3.0)), clamp=S.clamp(y, -1.0, 1.0), least=F.least(x, y), greatest=F.greatest(x, y), abs=F.abs(y))),
+    "fn_round": _cols(lambda x, y, la1, lo1, la2, lo2, ts: dict(floor=F.floor(y).cast("double"), ceil=F.ceil(y).cast("double"), round=F.round(y), sign=F.signum(y), fract=S.fract(y), mod=S.mod(y, F.lit(0.7)), mod_neg=S.mod(x, F.lit(-3.0)), clamp=S.clamp(y, -1.0, 1.0), least=F.least(x, y), greatest=F.greatest(x, y), abs=F.abs(y))),
     "fn_special": _cols(lambda x, y, la1, lo1, la2, lo2, ts: dict(erf=S.erf(y), erfc=S.erfc(y), lorentz=F.when(F.abs(y) != 1, S.lorentz(y)))),
     "fn_logdomain": _cols(lambda x, y, la1, lo1, la2, lo2, ts: dict(logpow=S.logpow(2.0, x), logaddexp=S.logaddexp(x, y), logsubexp=S.logsubexp(y + 3, y), expneg=-F.abs(y), lpsum=S.lpsum(F.array(x, y, y + 1)))),
     "fn_list_stats": lambda s, d: _r(_list(s, d).select("user_id", S.list_mean(F.col("v")).alias("mean"), S.list_median(F.col("v")).alias("median"), S.list_std(F.col("v")).alias("std"), S.norm2(F.col("v")).alias("norm")), 4, ("user_id",)),

@@ -139,6 +139,71 @@ def pdb(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def parse_mmcif(text: str) -> Iterator[dict[str, str]]:
+    """Rows of the atom loop of an mmCIF file, by field name without the category."""
+    lines = iter(text.splitlines())
+    for line in lines:
+        if line.strip() != "loop_":
+            continue
+        fields: list[str] = []
+        row = next(lines, "")
+        while row.strip().startswith("_"):
+            fields.append(row.split()[0].lower())
+            row = next(lines, "")
+        if "_atom_site.cartn_x" not in fields:
+            continue
+        names = [f.split(".", 1)[1] for f in fields]
+        while row.strip() and not row.startswith(("#", "_", "loop_", "data_")):
+            cells = [a or b or c for a, b, c in re.findall(r"'([^']*)'|\"([^\"]*)\"|(\S+)", row)]
+            if len(cells) == len(names):
+                yield dict(zip(names, cells, strict=True))
+            row = next(lines, "")
+
+
+def mmcif(spark: SparkSession, path: str) -> DataFrame:
+    """Atoms of mmCIF files, with the columns of :func:`pdb`."""
+    cols = ["path", "record", "serial", "name", "res_name", "chain", "res_seq", "x", "y", "z", "occ", "b", "element"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def num(v: str | None, kind: type) -> float | int | None:
+            try:
+                return kind(v)
+            except (TypeError, ValueError):
+                return None
+
+        for pdf in batches:
+            rows = []
+            for p, t in zip(pdf["path"], pdf["text"], strict=True):
+                for a in parse_mmcif(t):
+                    chain, seq = a.get("auth_asym_id") or a.get("label_asym_id"), a.get("auth_seq_id") or a.get("label_seq_id")
+                    rows.append((p, a.get("group_pdb", "ATOM"), num(a.get("id"), int), a.get("label_atom_id"), a.get("label_comp_id"), chain, num(seq, int), *(num(a.get(k), float) for k in ("cartn_x", "cartn_y", "cartn_z", "occupancy", "b_iso_or_equiv")), a.get("type_symbol")))
+            out = pd.DataFrame(rows, columns=cols)
+            yield out.astype({"serial": "Int64", "res_seq": "Int64"})
+
+    schema = "path string, record string, serial int, name string, res_name string, chain string, res_seq int, x double, y double, z double, occ double, b double, element string"
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).mapInPandas(run, schema)
+
+
+def sqlite_rows(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """(path, row): the rows of a table of SQLite files as JSON, read in memory where the file is."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import json
+        import sqlite3
+
+        for pdf in batches:
+            for p, data in zip(pdf["path"], pdf["content"], strict=True):
+                con = sqlite3.connect(":memory:")
+                con.deserialize(bytes(data))
+                cur = con.execute('SELECT * FROM "' + table.replace('"', '""') + '"')
+                names = [c[0] for c in cur.description]
+                while part := cur.fetchmany(5000):
+                    yield pd.DataFrame({"path": p, "row": [json.dumps(dict(zip(names, r, strict=True)), ensure_ascii=False, default=lambda b: b.hex()) for r in part]})
+                con.close()
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, row string")
+
+
 def pdb_info(atoms: DataFrame) -> DataFrame:
     return atoms.groupBy("path").agg(F.count("*").alias("atoms"), F.countDistinct("chain").alias("chains"), F.countDistinct("chain", "res_seq").alias("residues"), F.round(F.avg("b"), 4).alias("mean_b"))
 

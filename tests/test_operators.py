@@ -327,6 +327,21 @@ def test_molecule_files(spark, rows, tmp_path):
     assert "## 1" in "".join(p.read_text() for p in (tmp_path / "out").glob("part-*"))
 
 
+def test_mmcif_and_sqlite(spark, rows, tmp_path):
+    import sqlite3
+
+    cif = "data_X\nloop_\n_entity.id\n1\n#\nloop_\n_atom_site.group_PDB\n_atom_site.id\n_atom_site.type_symbol\n_atom_site.label_atom_id\n_atom_site.label_comp_id\n_atom_site.auth_asym_id\n_atom_site.auth_seq_id\n_atom_site.Cartn_x\n_atom_site.Cartn_y\n_atom_site.Cartn_z\n_atom_site.occupancy\n_atom_site.B_iso_or_equiv\nATOM 1 N \"N'\" THR A 1 17.047 14.099 3.625 1.00 13.79\nHETATM 2 O O HOH B ? 1.0 2.0 3.0 1.00 .\n#\n"
+    (tmp_path / "a.cif").write_text(cif)
+    got = rows(readers.mmcif(spark, str(tmp_path / "a.cif")).select("record", "serial", "name", "chain", "res_seq", "x", "b"))
+    assert got == [("ATOM", 1, "N'", "A", 1, 17.047, 13.79), ("HETATM", 2, "O", "B", None, 1.0, None)]
+    con = sqlite3.connect(tmp_path / "v.sqlite")
+    con.execute("create table videos (id integer, title text)")
+    con.executemany("insert into videos values (?, ?)", [(1, "ж"), (2, None)])
+    con.commit()
+    con.close()
+    assert [r[1] for r in rows(readers.sqlite_rows(spark, str(tmp_path / "v.sqlite"), "videos"))] == ['{"id": 1, "title": "ж"}', '{"id": 2, "title": null}']
+
+
 # ---- streams ------------------------------------------------------------------------------
 
 
