@@ -87,6 +87,43 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine"
     return out.select("qid", "vec_id", "rank", (-F.col("score") if metric == "l2" else F.col("score")).alias("score"))
 
 
+def _ranked(pairs: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "vec_id")
+    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "vec_id", "rank", "score")
+
+
+def _kth(ranked: DataFrame, qids: np.ndarray, k: int) -> np.ndarray:
+    """The k-th score of each query, minus infinity where fewer are known."""
+    known = {r["qid"]: r["score"] for r in ranked.where(F.col("rank") == k).collect()}
+    return np.array([known.get(i, -np.inf) for i in qids.tolist()])
+
+
+def _query_blocks(queries: DataFrame, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(vectors, ids) of the queries, a fixed number at a time."""
+    numbered = materialize(queries.select("vec_id", "embedding").where("vec_id is not null and embedding is not null").distinct(), "queries")
+    blocks = max(1, -(-numbered.count() // block))
+    for b in range(blocks):
+        rows = numbered.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id").collect()
+        if rows:
+            yield np.stack([np.asarray(r["embedding"], np.float64) for r in rows]), np.array([r["vec_id"] for r in rows], np.int64)
+
+
+def _kept(ids: np.ndarray, top: np.ndarray, own: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of those kept so far and of further scores."""
+    ids, top = np.concatenate([ids, np.broadcast_to(own, s.shape)], axis=1), np.concatenate([top, s], axis=1)
+    order = np.lexsort((ids, -np.round(top, 9)), axis=1)[:, :k]
+    return np.take_along_axis(ids, order, 1), np.take_along_axis(top, order, 1)
+
+
+def _best_rows(qids: np.ndarray, ids: np.ndarray, top: np.ndarray) -> pd.DataFrame:
+    ok = np.isfinite(top)
+    return pd.DataFrame({"qid": np.repeat(qids, top.shape[1])[ok.ravel()], "vec_id": ids[ok], "score": top[ok]})
+
+
+#: Angle and score by which bounds are wider than computed, for what rounding takes.
+SLACK = 1e-7
+
+
 # ---- one bit a dimension ------------------------------------------------------------------
 
 
@@ -237,26 +274,69 @@ def fit_cells(vectors: DataFrame, cells: int, rows: int = FIT_ROWS) -> np.ndarra
 
 
 def assign_cells(vectors: DataFrame, centres: np.ndarray, probes: int = 1) -> DataFrame:
-    """(vec_id, embedding, cell): each vector in its nearest cell, or in the `probes` nearest ones."""
+    """(vec_id, embedding, cell, angle): each vector in its nearest cell, or in the `probes` nearest ones, with
+    the angle to the centre."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
                 x = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-                near = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :probes]
-                yield pd.DataFrame({"vec_id": np.repeat(pdf["vec_id"].to_numpy(), near.shape[1]), "embedding": np.repeat(pdf["embedding"].to_numpy(), near.shape[1]), "cell": near.ravel().astype(np.int32)})
+                angle = _angles(x, centres)
+                near = np.argsort(angle, axis=1, kind="stable")[:, :probes]
+                yield pd.DataFrame({"vec_id": np.repeat(pdf["vec_id"].to_numpy(), near.shape[1]), "embedding": np.repeat(pdf["embedding"].to_numpy(), near.shape[1]), "cell": near.ravel().astype(np.int32), "angle": np.take_along_axis(angle, near, 1).ravel()})
+
+    return vectors.select("vec_id", "embedding").where("vec_id is not null and embedding is not null and size(embedding) > 0").mapInPandas(run, "vec_id bigint, embedding array<float>, cell int, angle double")
+
+
+def _angles(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(x @ centres.T / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300), -1.0, 1.0))
 
-    return vectors.select("vec_id", "embedding").where("vec_id is not null and embedding is not null").mapInPandas(run, "vec_id bigint, embedding array<float>, cell int")
 
+def _scan_cells(queries: np.ndarray, qids: np.ndarray, open_: np.ndarray, k: int):
+    """A pass over the lists keeping for each query the k best of the partition, from the cells open to it."""
+    qn = np.linalg.norm(queries, axis=1)
 
-def cell_search(vectors: DataFrame, queries: DataFrame, k: int, cells: int = 16, probes: int = 6) -> DataFrame:
-    """(qid, vec_id, rank, score): nearest vectors within the probed cells, by exact cosine."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, top = np.zeros((len(qids), 0), np.int64), np.zeros((len(qids), 0))
+        for pdf in batches:
+            for cell, part in pdf.groupby("cell"):
+                ask = np.flatnonzero(open_[:, cell])
+                if len(ask):
+                    x, own = np.stack(part["embedding"].to_numpy()).astype(np.float64), part["vec_id"].to_numpy(np.int64)
+                    s = np.full((len(qids), len(own)), -np.inf)
+                    s[ask] = queries[ask] @ x.T / np.maximum(qn[ask, None] * np.linalg.norm(x, axis=1), 1e-300)
+                    s[own[None, :] == qids[:, None]] = -np.inf
+                    ids, top = _kept(ids, top, own, s, k)
+        yield _best_rows(qids, ids, top)
+
+    return run
+
+
+def cell_search(vectors: DataFrame, queries: DataFrame, k: int, cells: int = 16, probes: int = 6, block: int = 512) -> DataFrame:
+    """(qid, vec_id, rank, score): the k nearest other vectors by exact cosine.
+
+    The `probes` nearest cells of a query are searched first. A further cell is searched too unless
+    its bound rules it out: no vector of it is nearer to the query than the angle to its centre less
+    the angle of its outermost vector, so it can't reach the k-th score found.
+    """
     centres = fit_cells(vectors, cells)
-    lists = assign_cells(vectors, centres)
-    q = assign_cells(queries, centres, probes).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"), "cell")
-    j = lists.join(q, "cell").where("vec_id != qid").select("qid", "vec_id", cosine(F.col("embedding"), F.col("qv")).alias("score"))
-    w = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "vec_id")
-    return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "vec_id", "rank", "score")
+    lists = materialize(assign_cells(vectors, centres), "lists")
+    radius, filled = np.zeros(len(centres)), np.zeros(len(centres), bool)
+    for r in lists.groupBy("cell").agg(F.max("angle").alias("radius")).collect():
+        radius[r["cell"]], filled[r["cell"]] = r["radius"], True
+    parts = None
+    for qm, qids in _query_blocks(queries.where("size(embedding) > 0"), block):
+        angle = _angles(qm, centres)
+        near = np.zeros(angle.shape, bool)
+        np.put_along_axis(near, np.argsort(angle, axis=1, kind="stable")[:, :probes], True, axis=1)
+        first = materialize(_ranked(lists.mapInPandas(_scan_cells(qm, qids, near, k), _BEST), k), "first")
+        bound = np.cos(np.maximum(angle - radius - SLACK, 0.0)) + SLACK
+        rest = filled & ~near & ~(bound < _kth(first, qids, k)[:, None])
+        one = first.select("qid", "vec_id", "score").unionByName(lists.mapInPandas(_scan_cells(qm, qids, rest, k), _BEST))
+        parts = one if parts is None else parts.unionByName(one)
+    if parts is None:
+        return vectors.sparkSession.createDataFrame([], "qid bigint, vec_id bigint, rank int, score double")
+    return _ranked(parts, k)
 
 
 def hash_embed(docs: DataFrame, key: str, text: str, dim: int = 64, seed: int = 0) -> DataFrame:

@@ -159,6 +159,21 @@ def test_vector_search(spark, cloud, rows):
     assert rows(vectors.top_k(bad, bad, 3)) == []
 
 
+@pytest.fixture(scope="module")
+def shapeless(spark):
+    """Vectors without clusters, of different lengths, one of them zero."""
+    x = np.random.default_rng(6).normal(size=(1200, 64)) * np.linspace(0.5, 2, 1200)[:, None]
+    x[7] = 0
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x.astype(np.float32))], "vec_id bigint, embedding array<float>").persist()
+
+
+def test_cells_equal_brute_force(shapeless, rows):
+    q, few = shapeless.where("vec_id % 60 = 7"), shapeless.where("vec_id < 9")
+    want = rows(vectors.top_k(shapeless, q, 10).select("qid", "rank", "vec_id"))
+    assert len(want) == 200 and rows(vectors.cell_search(shapeless, q, 10).select("qid", "rank", "vec_id")) == want
+    assert len(rows(vectors.cell_search(few, few, 10))) == 72
+
+
 def test_rotation_keeps_length():
     x = np.random.default_rng(1).normal(size=(5, 50))
     y = vectors.rotate(x, vectors.rotation_signs(7, 64))
