@@ -228,27 +228,59 @@ def _adc(queries: np.ndarray, qids: np.ndarray, signs: np.ndarray, keep: int):
     return run
 
 
+def _reranked(queries: np.ndarray, qids: np.ndarray, signs: np.ndarray, kth: np.ndarray, k: int):
+    """A pass over codes with their vectors: exact scores of all pairs whose bound reaches the k-th score
+    known, keeping for each query the k best of the partition."""
+    y = rotate(queries, signs)
+    n, s_q = len(signs), y.sum(1)
+    centred = y - y.mean(1)[:, None]
+    c2, qn = (centred**2).sum(1), np.linalg.norm(queries, axis=1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, top = np.zeros((len(qids), 0), np.int64), np.zeros((len(qids), 0))
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            words = np.stack(pdf["code"].to_numpy()).view(np.uint64)
+            sign = 2.0 * ((words[:, :, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).reshape(len(pdf), -1).astype(np.float64) - 1.0
+            mu, delta, gamma = (pdf[c].to_numpy() for c in ("mu", "delta", "gamma"))
+            along = centred @ sign.T
+            # A row is mu + gamma * sign + rest, the rest upright to sign: what is unknown of the product is that of two such rests.
+            rest = np.sqrt(np.maximum(c2[:, None] - along**2 / n, 0.0)) * np.sqrt(np.maximum(delta**2 - n * gamma**2, 0.0))
+            most = (s_q[:, None] * mu + along * gamma + rest) / np.maximum(qn[:, None] * np.sqrt(n * mu**2 + delta**2), 1e-300)
+            own = pdf["vec_id"].to_numpy(np.int64)
+            reach = ~(most + SLACK < kth[:, None]) & (own[None, :] != qids[:, None])
+            at = np.flatnonzero(reach.any(0))
+            if not len(at):
+                continue
+            x = np.stack(pdf["embedding"].to_numpy()[at]).astype(np.float64)
+            s = np.where(reach[:, at], queries @ x.T / np.maximum(qn[:, None] * np.linalg.norm(x, axis=1), 1e-300), -np.inf)
+            ids, top = _kept(ids, top, own[at], s, k)
+        yield _best_rows(qids, ids, top)
+
+    return run
+
+
 def quantised_top_k(vectors: DataFrame, codes: DataFrame, queries: DataFrame, dim: int, k: int, pool: int = 100, seed: int = 42, block: int = 512) -> DataFrame:
-    """(qid, vec_id, rank, score): candidates by asymmetric distance to the codes, the `pool`
-    best of each query ranked again by exact cosine."""
+    """(qid, vec_id, rank, score): the k nearest other vectors by exact cosine.
+
+    The `pool` best of each query by asymmetric distance to the codes give a first k-th score. Then
+    every row whose bound reaches that score is ranked by exact cosine, however many these are.
+    """
     signs = rotation_signs(seed, padded(dim))
-    numbered = materialize(queries.select("vec_id", "embedding").where(F.size("embedding") == dim).distinct(), "queries")
-    blocks = max(1, -(-numbered.count() // block))
+    coded = materialize(codes.join(vectors.select("vec_id", "embedding").where(F.size("embedding") == dim), "vec_id"), "coded")
+    w = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
     parts = None
-    for b in range(blocks):
-        rows = numbered.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect()
-        if rows:
-            qm = np.stack([np.asarray(r["embedding"], np.float64) for r in rows])
-            one = codes.mapInPandas(_adc(qm, np.array([r["vec_id"] for r in rows], np.int64), signs, pool), _BEST)
-            parts = one if parts is None else parts.unionByName(one)
+    for qm, qids in _query_blocks(queries.where(F.size("embedding") == dim), block):
+        near = coded.select("vec_id", "code", "mu", "delta", "gamma").mapInPandas(_adc(qm, qids, signs, max(pool, k)), _BEST)
+        cand = near.where("vec_id != qid").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= max(pool, k)).select("qid", "vec_id")
+        q = queries.sparkSession.createDataFrame([(int(i), v.tolist()) for i, v in zip(qids, qm, strict=True)], "qid bigint, qv array<double>")
+        exact = cand.join(coded.select("vec_id", "embedding"), "vec_id").join(q, "qid").select("qid", "vec_id", F.coalesce(cosine(F.col("embedding"), F.col("qv")), F.lit(0.0)).alias("score"))
+        one = coded.mapInPandas(_reranked(qm, qids, signs, _kth(_ranked(exact, k), qids, k), k), _BEST)
+        parts = one if parts is None else parts.unionByName(one)
     if parts is None:
         return codes.sparkSession.createDataFrame([], "qid bigint, vec_id bigint, rank int, score double")
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
-    cand = parts.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= pool).select("qid", "vec_id")
-    q = numbered.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
-    exact = cand.join(vectors.select("vec_id", "embedding"), "vec_id").join(q, "qid").select("qid", "vec_id", cosine(F.col("embedding"), F.col("qv")).alias("score"))
-    w2 = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "vec_id")
-    return exact.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= k).select("qid", "vec_id", "rank", "score")
+    return _ranked(parts, k)
 
 
 # ---- inverted lists -----------------------------------------------------------------------

@@ -174,6 +174,13 @@ def test_cells_equal_brute_force(shapeless, rows):
     assert len(rows(vectors.cell_search(few, few, 10))) == 72
 
 
+def test_codes_equal_brute_force(shapeless, rows):
+    q, few = shapeless.where("vec_id % 60 = 7"), shapeless.where("vec_id < 9")
+    want = rows(vectors.top_k(shapeless, q, 10).select("qid", "rank", "vec_id"))
+    assert len(want) == 200 and rows(vectors.quantised_top_k(shapeless, vectors.encode(shapeless, 64), q, 64, 10).select("qid", "rank", "vec_id")) == want
+    assert len(rows(vectors.quantised_top_k(few, vectors.encode(few, 64), few, 64, 10))) == 72
+
+
 def test_rotation_keeps_length():
     x = np.random.default_rng(1).normal(size=(5, 50))
     y = vectors.rotate(x, vectors.rotation_signs(7, 64))
