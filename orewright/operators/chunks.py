@@ -168,16 +168,42 @@ def sentence_count(text: Column) -> Column:
     return F.size(F.regexp_extract_all(text, F.lit(r"[.!?…]+(?:\s|$)"), F.lit(0)))
 
 
+#: Lines from its heading on in which a scene has its card.
+CARD_LINES = 60
+SUBJECTS = "Subjects|Субъекты|Суб'єкти|Subjekte|Sujetos"
+
+
+def scene_heads(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, part, scene, chapter, head): the first lines of each scene, numbered within its part.
+
+    Every heading opens a scene that ends at the next one; text before the first heading is a scene
+    too, and so is a text without headings. Level-1 headings open parts and give the chapter; before the first
+    of them it is the first heading of the text.
+    """
+    title = r"[ \t]+(\S.*?)[ \t]*$"
+    d = docs.where(F.col(text).isNotNull()).select(key, F.nullif(F.regexp_extract(text, rf"(?m)^#{{1,6}}{title}", 1), F.lit("")).alias("top"), F.posexplode(F.split(text, r"\n(?=#[ \t]+\S)")).alias("part", "body"))
+    d = d.select(key, "part", F.coalesce(F.nullif(F.regexp_extract("body", rf"(?m)\A#{title}", 1), F.lit("")), "top").alias("chapter"), "top", F.posexplode(F.split("body", r"\n(?=#{1,6}[ \t]+\S)")).alias("scene", "body"))
+    lead = (F.col("part") == 0) & (F.col("scene") == 0) & F.col("top").isNotNull() & ~F.rlike("body", F.lit(r"\S"))
+    return d.where(~lead).select(key, "part", "scene", "chapter", F.substring_index("body", "\n", CARD_LINES).alias("head"))
+
+
+def card_field(head: str, names: str) -> Column:
+    """The value after one of the names in the head of a scene."""
+    return F.nullif(F.trim(F.regexp_extract(head, rf"(?im)^\*{{0,2}}(?:{names})\s*:\s*([^*\n]+)\*{{0,2}}\s*$", 1)), F.lit(""))
+
+
+def card_subjects(head: str) -> Column:
+    return F.filter(F.transform(F.split(F.coalesce(card_field(head, SUBJECTS), F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
+
+
 def scene_cards(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, chapter, metric, location, subjects) from the head of each scene."""
-    meta = lambda names: F.nullif(F.trim(F.regexp_extract(F.col("head"), rf"(?im)^\*{{0,2}}(?:{names})\s*:\s*([^*\n]+)\*{{0,2}}\s*$", 1)), F.lit(""))
-    d = docs.where(F.col(text).isNotNull()).select(key, F.substring_index(F.col(text), "\n", 60).alias("head"))
-    return d.select(
+    return scene_heads(docs, key, text).select(
         key,
-        F.nullif(F.trim(F.regexp_extract("head", r"(?m)^#{1,6}[ \t]+(.+?)[ \t]*$", 1)), F.lit("")).alias("chapter"),
-        meta("Metric|Метрика|Metrik|Métrica").alias("metric"),
-        meta("Location|Локация|Локація|Ort|Lugar").alias("location"),
-        F.size(F.filter(F.split(F.coalesce(meta("Subjects|Субъекты|Суб'єкти|Subjekte|Sujetos"), F.lit("")), ","), lambda x: F.trim(x) != "")).alias("subjects"),
+        "chapter",
+        card_field("head", "Metric|Метрика|Metrik|Métrica").alias("metric"),
+        card_field("head", "Location|Локация|Локація|Ort|Lugar").alias("location"),
+        F.size(card_subjects("head")).alias("subjects"),
     )
 
 

@@ -61,17 +61,14 @@ def scan_diff(s, d):
 
 
 def _subjects(s, d):
-    head = F.substring_index("text", "\n", 60)
-    names = F.regexp_extract(head, r"(?im)^\*{0,2}(?:Subjects|Субъекты|Суб'єкти|Subjekte|Sujetos)\s*:\s*([^*\n]+)\*{0,2}\s*$", 1)
-    each = F.slice(F.array_distinct(F.filter(F.transform(F.split(names, ","), lambda x: F.trim(x)), lambda x: x != "")), 1, 8)
-    return _docs(s, d).where("text is not null").select("doc_id", F.explode(each).alias("name"))
+    names = F.array_distinct(C.card_subjects("head"))
+    return C.scene_heads(_docs(s, d), "doc_id", "text").select("doc_id", "part", "scene", names.alias("names")).where("size(names) > 1").distinct()
 
 
 def cooccurrence(s, d):
-    """Pairs of subjects that share scenes, of at most eight a scene, with the number of scenes."""
-    n = _subjects(s, d)
-    a, b = n.select("doc_id", F.col("name").alias("a")), n.select("doc_id", F.col("name").alias("b"))
-    return a.join(b, "doc_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("scenes"))
+    """Pairs of subjects that share scenes, with the number of scenes."""
+    n = _subjects(s, d).select("names", F.explode("names").alias("a")).select("a", F.explode("names").alias("b"))
+    return n.where("a < b").groupBy("a", "b").agg(F.count("*").alias("scenes"))
 
 
 def stride_sample(s, d):

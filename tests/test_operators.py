@@ -213,6 +213,41 @@ def test_page_blocks():
     assert web.block_score("") == 0.0 and web.block_score("many different words stand here in a row") > web.block_score("nav", linked=1.0)
 
 
+TWO_SCENES = """
+intro
+
+# Chapter 1. A
+
+**Metric: T-1**
+**Subjects: Ann, Bo**
+""" + "text\n" * 70 + """
+# Chapter 2. B
+
+**Metric: T-2**
+**Location: Pier**
+**Subjects: Cy, Dan**
+
+## Later
+no card
+"""
+
+
+def test_every_scene_has_its_card(spark, tmp_path, rows):
+    from orewright.plans import scanning
+
+    docs = [(1, TWO_SCENES), (2, "# Only\n**Metric: Т-9**"), (3, "no heading\n**Subjects: Ann, Bo**"), (4, ""), (5, None), (6, "\n### Deep\ntext\n#hash\n# Top\ntext")]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = rows(chunks.scene_cards(spark.read.parquet(f"{tmp_path}/documents.parquet"), "doc_id", "text"))
+    assert got == sorted([
+        (1, "Chapter 1. A", None, None, 0), (1, "Chapter 1. A", "T-1", None, 2), (1, "Chapter 2. B", "T-2", "Pier", 2), (1, "Chapter 2. B", None, None, 0),
+        (2, "Only", "Т-9", None, 0), (3, None, None, None, 2), (4, None, None, None, 0), (6, "Deep", None, None, 0), (6, "Top", None, None, 0),
+    ], key=repr)
+    assert rows(scanning.cooccurrence(spark, str(tmp_path))) == [("Ann", "Bo", 2), ("Cy", "Dan", 1)]
+    spark.createDataFrame([(1, "**Subjects: " + ", ".join("abcdefghij") + "**")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/ten/documents.parquet")
+    assert len(rows(scanning.cooccurrence(spark, f"{tmp_path}/ten"))) == 45
+    assert [r[0] for r in rows(scanning.temporal(spark, str(tmp_path)))] == [1, 1, 2, 3, 4, 6, 6]
+
+
 def test_near_duplicates_equal_brute_force(spark, rows):
     rng = random.Random(3)
     base = [" ".join(rng.choice("abcdefghij") + str(rng.randint(0, 40)) for _ in range(80)) for _ in range(6)]
