@@ -53,7 +53,7 @@ QUERIES = {
     "harvest_rank": lambda s, d: T.harvest(_docs(s, d), TERMS, 2),
     "harvest_top": lambda s, d: T.harvest(_docs(s, d), TERMS, 1, 10),
     "text_mask": lambda s, d: _docs(s, d).select("doc_id", F.md5(T.mask_simple(F.concat(F.coalesce("text", F.lit("")), F.lit(" mail a.b@mail.example 10.0.12.7 sk-abcdefghijklmnop")))).alias("masked")),
-    "text_script_language": lambda s, d: _docs(s, d).where("text is not null").select("doc_id", T.script_language(F.substring("text", 1, 4000)).alias("lang")),
+    "text_script_language": lambda s, d: _docs(s, d).where("text is not null").select("doc_id", T.script_language(F.col("text")).alias("lang")),
     "text_clean": lambda s, d: table(s, d, "specs").where("full_text is not null").distinct().select("id", F.md5(T.clean_text(F.col("full_text"))).alias("cleaned")),
     "text_title": lambda s, d: _docs(s, d).where("text is not null").select("doc_id", T.title_of(F.col("text")).alias("head")),
     "text_snippet": lambda s, d: _docs(s, d).where(F.contains(F.lower("text"), F.lit("heartbeat"))).select("doc_id", T.snippet(F.col("text"), "heartbeat", 80).alias("snip")),

@@ -129,6 +129,13 @@ def test_graph_small(spark, rows):
     assert rows(readers.checked_edges(e.unionByName(e.limit(1)))) == [("double_edge", 1), ("negative_weight", 0), ("null_end", 0), ("unknown_class", 0)]
 
 
+def test_script_language_reads_whole_texts(spark, tmp_path, rows):
+    from orewright.plans import textual
+
+    spark.createDataFrame([(1, "word " * 1000 + "слово " * 4000)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert rows(textual.QUERIES["text_script_language"](spark, str(tmp_path))) == [(1, "ru")]
+
+
 # ---- vectors ------------------------------------------------------------------------------
 
 
