@@ -189,7 +189,7 @@ def _open_at_end(text: str) -> str | None:
         return "quote" if stack[-1] in "«“„" else "bracket"
     if re.search(r"<[A-Za-z/][^<>]*$", bare):
         return "tag"
-    if bare.count("**") % 2 or bare.count('"') % 2 and re.search(r'"[^"]{0,400}$', bare) and not re.search(r'\d"', bare):
+    if bare.count("**") % 2 or bare.count('"') % 2 and not re.search(r'\d"', bare):
         return "emphasis"
     return None
 

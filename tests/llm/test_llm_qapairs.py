@@ -36,6 +36,12 @@ def test_operator(spark, rows):
     assert rows(Q.defective(df.limit(0))) == []
 
 
+def test_long_open_quotation():
+    said = "The panel drops it on the row. " * 40
+    assert Q.defect(ASK, f'The manual says: "{said}') == "truncated"
+    assert Q.defect(ASK, f'The manual says: "{said.rstrip()}"') is None
+
+
 def test_tiling():
     assert Q.tiled("a b c x a b c d".split(), "a b c d".split(), 3) == 7
     assert Q.tiled([], ["a"], 3) == 0
