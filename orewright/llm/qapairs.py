@@ -4,8 +4,8 @@ The checks, in this order; the first that holds is the defect:
 
 * ``empty``: the answer is null or nothing is left of it without blanks, invisible and
   punctuation characters and markup, or it is a stand-in for a missing value.
-* ``echo``: greedy string tiling covers the answer with runs of the question's words, bar
-  a short lead-in, and no more is said.
+* ``echo``: runs of three words or more of the question cover the answer, bar a short
+  lead-in, and no more is said.
 * ``refusal``: a refusal grammar derives the whole answer: each of its sentences refuses,
   apologises, gives a reason, offers other help or names the topic, and one refuses.
 * ``truncated``: a pushdown parser over fences, brackets, quotations, emphasis, tags,
@@ -15,8 +15,8 @@ The checks, in this order; the first that holds is the defect:
 
 Defined results for odd input: a null or blank question can't be echoed and has no
 language, its answer is still checked for the other defects; a null id is kept as null;
-double rows count once; texts of any length are read whole (tiling works on hashed runs
-of words and is linear). Other columns are ignored.
+double rows count once; texts of any length are read whole (coverage works on hashed
+runs of words and is linear). Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -58,11 +58,11 @@ def _words(text: str) -> list[str]:
 
 
 def tiled(a: list[str], b: list[str], least: int) -> int:
-    """Words of `a` that tiles cover: runs of `least` words or more that also stand in `b`.
+    """Words of `a` that stand in runs of `least` words which `b` has too.
 
-    Tiles are found by the hashes of all runs of `least` words; runs that follow each other
-    in both texts make one tile, and a stretch of `b` may serve several tiles, so an echo
-    given twice counts twice. Linear in both texts.
+    This is run coverage by the hashes of all runs of `least` words, not greedy string tiling:
+    no word of `b` is used up, so an echo given twice counts twice, and runs that follow each
+    other in `a` needn't do so in `b`. Linear in both texts.
     """
     least = min(least, len(b))
     if not least or len(a) < least:
