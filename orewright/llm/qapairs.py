@@ -4,31 +4,33 @@ The checks, in this order; the first that holds is the defect:
 
 * ``empty``: the answer is null or nothing is left of it without blanks, invisible and
   punctuation characters and markup, or it is a stand-in for a missing value.
-* ``echo``: runs of three words or more of the question cover the answer, bar a short
-  lead-in, and no more is said.
-* ``refusal``: a refusal grammar derives the whole answer: each of its sentences refuses,
-  apologises, gives a reason, offers other help or names the topic, and one refuses.
-* ``truncated``: a pushdown parser over fences, brackets, quotations, emphasis, tags,
-  lists and tables ends with something open, or the last sentence has no end.
+* ``echo``: greedy string tiling, longest tiles first, with tiles of three words or more,
+  covers the answer by the question, bar a short lead-in; an answer longer than the
+  question is tiled by as many copies of it as its length takes.
+* ``refusal``: the grammar of :mod:`orewright.llm.refusals` derives the whole answer.
+* ``truncated``: a pushdown parser over fences, inline code, brackets, quotations,
+  emphasis, tags, list items and table rows ends with something open, or the last sentence
+  has no end.
 * ``other_lang``: script, letters and small words put no sentence of the answer in the
   question's language, and the question asks for no other one.
 
 Defined results for odd input: a null or blank question can't be echoed and has no
 language, its answer is still checked for the other defects; a null id is kept as null;
-double rows count once; texts of any length are read whole (coverage works on hashed
-runs of words and is linear). Other columns are ignored.
+double rows count once; texts of any length are read whole. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orewright.llm.refusals import is_refusal
 from orewright.llm.sentences import language, sentences
 
 #: Stand-ins for a missing answer. Fixed values.
@@ -43,48 +45,120 @@ _tags = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]*>|&nbsp;|```[\w+-]*|~~~", re.S)
 def is_empty(answer: str | None) -> bool:
     if answer is None:
         return True
-    left = _tags.sub(" ", answer)
+    left = _tags.sub(" ", answer) if "<" in answer or "&" in answer or "`" in answer or "~" in answer else answer
     if all(unicodedata.category(c)[0] in "ZCP" or c in "`^~|=+<>$*_#" for c in left):
         return True
-    bare = " ".join(left.split()).strip(" .!?()[]{}<>\"'`*_-–—:").lower()
-    return len(bare) < 40 and (bare in STAND_INS or bare.rstrip(".") in STAND_INS)
+    bare = left.strip(" \t\r\n.!?()[]{}<>\"'`*_-–—:")
+    if len(bare) > 80:
+        return False
+    bare = " ".join(bare.split()).lower()
+    return bare in STAND_INS or bare.rstrip(".") in STAND_INS
 
 
 _word = re.compile(r"\w+")
+_joint = re.compile(r"(?<=\w)[.,'’](?=\w)")
+PRIME, BASE = (1 << 61) - 1, 1_000_003
 
 
 def _words(text: str) -> list[str]:
-    return _word.findall(re.sub(r"(?<=\w)[.,'’](?=\w)", "", text).lower())
+    return _word.findall(_joint.sub("", text).lower())
 
 
-def tiled(a: list[str], b: list[str], least: int) -> int:
-    """Words of `a` that stand in runs of `least` words which `b` has too.
+def _prefix_hashes(codes: list[int]) -> list[int]:
+    out = [0]
+    for c in codes:
+        out.append((out[-1] * BASE + c) % PRIME)
+    return out
+
+
+def _free(used: bytearray) -> list[int]:
+    """For each place the number of unmarked words from there on."""
+    out, run = [0] * len(used), 0
+    for i in range(len(used) - 1, -1, -1):
+        run = 0 if used[i] else run + 1
+        out[i] = run
+    return out
 
-    This is run coverage by the hashes of all runs of `least` words, not greedy string tiling:
-    no word of `b` is used up, so an echo given twice counts twice, and runs that follow each
-    other in `a` needn't do so in `b`. Linear in both texts.
+
+def greedy_tiles(a: list[str], b: list[str], least: int, copies: int = 1) -> list[tuple[int, int, int]]:
+    """(place in `a`, place in `b`, words) of the tiles of greedy string tiling, the longest first.
+
+    A word of `a` belongs to one tile at most, a word of `b` to one in each of its `copies`.
+    Karp-Rabin hashes of all unmarked runs of one length find the matches, whose words are
+    then compared. The longest length with a match is searched by bisection, as a match
+    holds shorter ones, and all matches of that length are marked before the next is
+    searched. Tiles of k different lengths have k * k / 2 words at least, so this takes
+    no more than about n * sqrt(n) * log(n) steps.
     """
     least = min(least, len(b))
-    if not least or len(a) < least:
-        return 0
-    runs = {hash(tuple(b[i : i + least])) for i in range(len(b) - least + 1)}
-    covered = end = 0
-    for i in range(len(a) - least + 1):
-        if hash(tuple(a[i : i + least])) in runs:
-            covered += i + least - max(end, i)
-            end = i + least
-    return covered
+    if least < 1 or len(a) < least:
+        return []
+    ids: dict[str, int] = {}
+    x = [ids.setdefault(w, len(ids) + 1) for w in a]
+    y = ([*(ids.setdefault(w, len(ids) + 1) for w in b), 0] * copies)[:-1]
+    used_x, used_y = bytearray(len(x)), bytearray(c == 0 for c in y)
+    hx, hy = _prefix_hashes(x), _prefix_hashes(y)
+    tiles: list[tuple[int, int, int]] = []
+    top = min(len(a), len(b))
+    while top >= least:
+        free_x, free_y = _free(used_x), _free(used_y)
+
+        def starts(h: list[int], free: list[int], n: int) -> Iterator[tuple[int, int]]:
+            power = pow(BASE, n, PRIME)
+            return (((h[i + n] - h[i] * power) % PRIME, i) for i in range(len(free)) if free[i] >= n)
+
+        def common(n: int) -> bool:
+            have = {k for k, _ in starts(hy, free_y, n)}  # noqa: B023
+            return any(k in have for k, _ in starts(hx, free_x, n))  # noqa: B023
+
+        # the longest length with a match: lengths fall in `range`, so the first that matches
+        lengths = range(top, least - 1, -1)
+        at = bisect_left(lengths, True, key=common)
+        if at == len(lengths):
+            break
+        n = lengths[at]
+        places: dict[int, list[int]] = {}
+        for k, j in starts(hy, free_y, n):
+            places.setdefault(k, []).append(j)
+        for left in places.values():
+            left.reverse()
+        end = 0
+        for k, i in starts(hx, free_x, n):
+            if i < end or k not in places:
+                continue
+            left = places[k]
+            while left and (used_y[left[-1]] or used_y[left[-1] + n - 1]):
+                left.pop()
+            if left and x[i : i + n] == y[left[-1] : left[-1] + n]:
+                j = left.pop()
+                used_x[i : i + n] = used_y[j : j + n] = b"\x01" * n
+                tiles.append((i, j % (len(b) + 1), n))
+                end = i + n
+        top = n - 1
+    return tiles
+
+
+def tiled(a: list[str], b: list[str], least: int) -> int:
+    """Words of `a` that tiles of `least` words or more from copies of `b` cover."""
+    return sum(n for _, _, n in greedy_tiles(a, b, least, max(1, -(-len(a) // max(1, len(b))))))
+
+
+_lead = re.compile(r"[^\n:]{0,60}:\s")
 
 
 def is_echo(question: str | None, answer: str) -> bool:
     q, a = _words(question or ""), _words(answer)
     if len(q) < 2 or not a:
         return False
-    lead = re.match(r"[^\n:]{0,60}:\s", answer)
-    if lead and len(_word.findall(lead.group())) <= 7 and len(a) > len(_words(lead.group())) and tiled(_words(lead.group()), q, 3) == 0:
-        a = a[len(_words(lead.group())) :]
-    rest = len(a) - tiled(a, q, 3)
-    return len(a) >= min(len(q), 4) and rest <= max(1, 0.1 * len(a)) and len(a) >= 0.5 * _question_size(question or "", len(q))
+    have = set(q)
+    if sum(w not in have for w in a) > max(1, 0.1 * len(a)) + 7:
+        return False  # a word that the question lacks is in no tile, and a lead-in has seven words at most
+    lead = _lead.match(answer)
+    if lead and (n := len(_words(lead.group()))) <= 7 and len(a) > n and not greedy_tiles(a[:n], q, 3):
+        a = a[n:]
+    if len(a) < min(len(q), 4) or len(a) < 0.5 * _question_size(question or "", len(q)):
+        return False
+    return len(a) - tiled(a, q, 3) <= max(1, 0.1 * len(a))
 
 
 def _question_size(question: str, n: int) -> int:
@@ -93,135 +167,130 @@ def _question_size(question: str, n: int) -> int:
     return len(_words(question[parts[-1][0] : parts[-1][1]])) if parts else n
 
 
-#: Refusals, and what may stand beside one. Fixed patterns by language.
-REFUSALS = {
-    "en": r"\b(?:am|are|'m|’m|was) (?:not able|unable|not in a position|not allowed|not permitted) to (?:answer|help|assist|comply|provide|discuss|do|fulfil|share|say|talk|respond|continue|support|give|offer)"
-    r"|\b(?:can't|can’t|cannot|can not|won't|won’t|will not|could not|couldn't|must not|may not)(?: be able to)? (?:help|assist|comply|provide|answer|discuss|share|do (?:that|this|so)|fulfil|continue|support|respond|offer|give (?:that|this|you)|talk about)"
-    r"|\b(?:have|has|need|must|am forced|am obliged)(?: to)? (?:decline|refuse|pass)|\brather not (?:discuss|answer|say|talk|go into|share)|\bleave (?:this|that|the|your) (?:request|question|one) (?:unanswered|open)"
-    r"|\b(?:guidelines|rules|policy|policies|instructions)\b[^.!?]* (?:do not|don't|does not|doesn't|won't) (?:permit|allow|let)|\bi (?:decline|refuse)\b|\b(?:is|are) not something i (?:can|will|may)",
-    "ru": r"\bне (?:могу|смогу|сможем|можем) (?:с этим |вам |в этом |на это |этого |такое |об этом |тут |здесь )*(?:помочь|ответить|выполнить|предоставить|обсуждать|отвечать|сделать|дать|говорить|помогать)|\bне в состоянии (?:ответить|помочь|выполнить)"
-    r"|\b(?:обсуждать|отвечать|говорить|помогать)[^.!?]{0,20} не (?:стану|буду|могу)|\bне (?:стану|буду) (?:это |об этом |на это )?(?:обсуждать|отвечать|говорить)|просьбу (?:не получится|невозможно|нельзя|не могу)|\bправила (?:этого|такого|мне этого) не (?:допускают|позволяют|разрешают)"
-    r"|\bоставлю [^.!?]{0,30}без ответа|\bвынужден[аы]? (?:отказаться|отклонить|отказать)|\b(?:предоставить|дать|сообщить) (?:такое|это|этого) мне нельзя|\bотказываюсь\b|\bдолж(?:ен|на) отказаться",
-    "uk": r"\bне (?:можу|зможу|можемо) (?:з цим |вам |у цьому |на це |цього |таке |про це |тут )*(?:допомогти|відповісти|виконати|надати|обговорювати|відповідати|зробити|дати|говорити|допомагати)|\bне в змозі (?:відповісти|допомогти|виконати)|\bне в стані (?:відповісти|допомогти)"
-    r"|\b(?:обговорювати|відповідати|говорити)[^.!?]{0,20} не (?:буду|стану|можу)|\bне (?:стану|буду) (?:це |про це |на це )?(?:обговорювати|відповідати|говорити)|прохання не (?:вийде|вдасться|можна)|\bправила (?:цього|такого|мені цього) не (?:дозволяють|допускають)"
-    r"|\bзалишу [^.!?]{0,30}без відповіді|\b(?:мушу|змушен(?:ий|а)) (?:відмовитис[яь]|відмовити|відхилити)|\b(?:надати|дати|повідомити) (?:таке|це|цього) мені не можна|\bвідмовляюс[яь]\b",
-    "de": r"\bkann (?:ich )?(?:dabei|dazu|damit|hier|dir|ihnen|da|das|dem|leider|dies)?[^.!?]{0,25}(?:nicht|nichts) (?:helfen|nachkommen|beantworten|erfüllen|liefern|sagen|bereitstellen|anbieten|dienen|tun)|\bdarf [^.!?]{0,25}(?:nichts|nicht) (?:liefern|sagen|beantworten|helfen|besprechen|geben)"
-    r"|\b(?:richtlinien|regeln|vorgaben) (?:lassen|erlauben|gestatten) (?:es|das|dies) nicht|\blasse (?:ich )?(?:diese|die|deine|ihre) (?:anfrage|bitte|frage) unbeantwortet|\bmuss (?:ich )?(?:leider )?(?:[^.!?]{0,20} )?(?:ablehnen|verweigern|passen)|\bnicht in der lage|\bmöchte (?:ich )?[^.!?]{0,25}(?:nicht|lieber nicht)[^.!?]{0,12} (?:besprechen|sprechen|reden|erörtern)|\blehne [^.!?]{0,25}\bab\b",
-    "es": r"\bno (?:puedo|podré|podemos) (?:ayudar|cumplir|responder|ofrecer|hablar|dar|proporcionar|atender|contestar|facilitar)|\bprefiero no (?:hablar|responder|comentar|tratar|entrar)|\bdejaré [^.!?]{0,30}sin respuesta|\b(?:normas|reglas|pautas|directrices) no (?:lo |me lo |me )?(?:admiten|permiten|dejan)"
-    r"|\bno (?:me )?es posible (?:ofrecer|responder|ayudar|dar|proporcionar|atender)|\bno estoy en condiciones de|\b(?:debo|tengo que|he de) (?:declinar|rechazar|negarme)|\bno estoy autorizad[oa]|\bme niego\b|\bno se me permite",
-}
-ASIDES = {
-    "en": r"sorry|apolog|unfortunately|regret|thank(?:s| you)|i (?:understand|see|appreciate)|as an? (?:assistant|ai|model|helper)|because i (?:have|lack)|as it (?:may|might|could)|since it|goes beyond|not allowed|unsafe|no access|please (?:ask|contact|consult|try)|colleague|anything else|something else|at this time|happy to help|let me know|outside (?:my|the)",
-    "ru": r"сожалени|прост(?:и|ите)|извини|прошу прощения|спасибо|понимаю|как (?:помощник|ассистент)|поскольку|так как|небезопасно|рамки дозволенного|нет доступа|обратитесь|коллег|чем ещ[её]|помочь\?|в данный момент|выходит за",
-    "uk": r"на жаль|вибач|пробач|перепрошую|прошу вибачення|дякую|розумію|як (?:помічник|асистент)|оскільки|адже|небезпечно|межі дозволеного|не маю доступу|зверніться|колег|чим (?:іще|ще)|на цю мить|виходить за",
-    "de": r"leider|tut mir leid|verzeih|entschuldig|nachsicht|danke|verstehe|als (?:assistent|helfer)|nach den regeln|weil (?:es|mir)|denn es|unsicher|rahmen|zugriff|bitte (?:frage|wende)|team|sonst (?:etwas|noch)|zum jetzigen zeitpunkt|das zu beantworten|bedaure",
-    "es": r"lo siento|disculp|perd[oó]n|desgracia|lament|gracias|entiendo|como asistente|porque|pues|ya que|inseguro|excede|permitido|no tengo acceso|consulta|equipo|algo más|en este momento|por ahora",
-}
-_refuse = re.compile("|".join(REFUSALS.values()), re.I)
-_aside = re.compile(r"(?:^|\b)(?:" + "|".join(ASIDES.values()) + ")", re.I)
-
-
-def is_refusal(answer: str) -> bool:
-    m = _refuse.search(answer)
-    if not m:
+#: Elements of markup whose end must be written, and closing marks by opening ones. Fixed values.
+ELEMENTS = frozenset(
+    "a abbr article aside b big blockquote body button center cite code dd del details div dl em fieldset figure footer form h1 h2 h3 h4 h5 h6 head header html i ins kbd label main mark "
+    "nav ol pre q s samp section small span strike strong sub summary sup table tbody textarea thead tt u ul var".split()
+) - {"dd", "body", "head", "html", "tbody", "thead"}
+CLOSES = {")": "(", "]": "[", "}": "{", "»": "«", "”": "“„"}
+
+_lexer = re.compile(
+    r"^[ \t]*(?P<fence>```+|~~~+)(?P<info>[^\n]*)$"
+    r"|^[ \t]*(?P<row>\|[^\n]*)$"
+    r"|^(?P<indent>[ \t]*)(?P<item>[-*•+]|\d{1,3}[.)])(?=[ \t]|$)"
+    r"|(?P<blank>\n(?:[ \t\r]*\n)+)"
+    r"|(?P<code>(?P<ticks>`+)(?!`)[^\n]*?(?<!`)(?P=ticks)(?!`))|(?P<tick>`+)"
+    r"|<!--(?P<comment>.*?)-->|<(?P<slash>/?)(?P<tag>[A-Za-z][A-Za-z0-9-]*)(?P<attrs>\s[^<>]*|/)?>|(?P<cut><(?:[A-Za-z/][^<>\n]*)?\Z)"
+    r"|(?P<bold>\*\*)|[:;]-?[()]|(?P<close>[)\]}»”])|(?P<open>[(\[{«„])|(?P<quote>[\"“])",
+    re.S | re.M,
+)
+_bars = re.compile(r"(?<!\\)\|")
+
+
+class Parse:
+    """A pushdown parse of one text: `stack` holds (symbol, mark, place) of what is open at its end."""
+
+    def __init__(self, text: str):
+        self.stack: list[tuple[str, str, int]] = []
+        self.items: list[tuple[int, int]] = []  # place and indent of the list items
+        self.rows: list[str] = []  # rows of the table that the text ends in
+        at = 0
+        while m := _lexer.search(text, at):
+            at = self._step(text, m)
+
+    def _pop(self, symbol: str, marks: str) -> bool:
+        """Closes the innermost such symbol and what is still open inside it."""
+        for k in range(len(self.stack) - 1, -1, -1):
+            if self.stack[k][0] == symbol and self.stack[k][1] in marks:
+                del self.stack[k:]
+                return True
         return False
-    refused = False
-    for part in re.split(r"(?<=[.!?…])\s+|\n+|(?<=\w[:;])\s+", answer.strip()):
-        p = part.strip(" \t*_>\"'«»„“”()-")
-        if not p:
-            continue
-        if _refuse.search(p):
-            # a refusal with a further statement behind it is an answer that holds back a part
-            refused = refused or len(_words(p)) <= 40
-            if len(_words(p)) > 40:
-                return False
-        elif _aside.search(p) and len(_words(p)) <= 16:
-            continue
-        elif not refused and re.search(r"[:…]$", p) and len(_words(p)) <= 8:
-            continue
-        elif len(_words(p)) <= 1:
-            continue
-        else:
-            return False
-    return refused
 
-
-_PAIRS = {")": "(", "]": "[", "}": "{", "»": "«", "”": "“"}
-_END = re.compile(r"[.!?…。！？][\"'”»“)\]}*_`>]*$")
-_ITEM = re.compile(r"\s*(?:[-*•+]|\d{1,3}[.)])(?:\s|$)")
-
-
-def _open_at_end(text: str) -> str | None:
-    """What a pushdown parse of the text leaves open: ``fence``, ``inline``, ``bracket``, ``quote``, ``tag`` or ``emphasis``."""
-    fence = None
-    stack: list[str] = []
-    for line in text.split("\n"):
-        m = re.match(r"\s*(```+|~~~+)(.*)$", line)
-        if fence:
-            if m and m.group(1).startswith(fence) and not m.group(2).strip():
-                fence = None
-            continue
-        if m and m.group(1)[0] not in m.group(2):
-            fence = m.group(1)
-            continue
-        bare = re.sub(r"`[^`]*`", "", line)
-        if bare.count("`") % 2 and not re.match(r"\s*```", bare):
-            stack.append("`")
-        if not bare.strip():
-            stack.clear()  # brackets and quotes don't reach beyond a paragraph
-        for c in re.sub(r"[:;]-?[()]|\w\)|^\s*\w{1,3}\)", lambda x: x.group() if x.group()[0].isalnum() and len(x.group()) == 2 else " ", bare):
-            if c in "([{«“":
-                stack.append(c)
-            elif c in _PAIRS and _PAIRS[c] in stack:
-                while stack.pop() != _PAIRS[c]:
-                    pass
-            elif c == "“" and "„" in stack:
-                stack.remove("„")
-            elif c == "„":
-                stack.append(c)
-    if fence:
-        return "fence"
-    last = re.split(r"\n\s*\n", text.rstrip())[-1]
-    bare = re.sub(r"`[^`]*`", "", last)
-    if "`" in stack and "`" in bare:
-        return "inline"
-    if any(c in bare for c in stack):
-        return "quote" if stack[-1] in "«“„" else "bracket"
-    if re.search(r"<[A-Za-z/][^<>]*$", bare):
-        return "tag"
-    if bare.count("**") % 2 or bare.count('"') % 2 and not re.search(r'\d"', bare):
-        return "emphasis"
-    return None
+    def _step(self, text: str, m: re.Match) -> int:
+        kind, s, e = m.lastgroup, m.start(), m.end()
+        if m["fence"] and m["fence"][0] not in m["info"]:
+            close = re.compile(rf"^[ \t]*{m['fence'][0]}{{{len(m['fence'])},}}[ \t\r]*$", re.M).search(text, min(e + 1, len(text)))
+            if not close:
+                self.stack.append(("fence", m["fence"], s))
+                return len(text)
+            return max(close.end(), e)
+        if m["row"]:
+            if not self.rows or text[self._row_end : s].strip():
+                self.rows = []
+            self.rows.append(m["row"].strip())
+            self._row_end = e
+            return e
+        if m["item"]:
+            self.items.append((e, len(m["indent"].expandtabs(4))))
+        elif m["blank"]:  # emphasis and inline code end with their paragraph, whether closed or not
+            self.stack = [x for x in self.stack if x[0] not in ("emphasis", "inline")]
+            return e - 1 if e < len(text) else e
+        elif m["tick"]:
+            if not self._pop("inline", m["tick"]):
+                self.stack.append(("inline", m["tick"], s))
+        elif m["tag"]:
+            name = m["tag"].lower()
+            if name in ELEMENTS and m["slash"]:
+                self._pop("tag", name) if any(x[:2] == ("tag", name) for x in self.stack) else None
+            elif name in ELEMENTS and not (m["attrs"] or "").endswith("/"):
+                self.stack.append(("tag", name, s))
+        elif m["cut"]:
+            self.stack.append(("tag", "<", s))
+        elif m["bold"]:
+            if not self._pop("emphasis", "**"):
+                self.stack.append(("emphasis", "**", s))
+        elif m["close"]:
+            self._pop("quote" if m["close"] in "»”" else "bracket", CLOSES[m["close"]])
+        elif m["open"]:
+            self.stack.append(("quote" if m["open"] in "«„" else "bracket", m["open"], s))
+        elif m["quote"] == "“":  # closes a low quotation mark, opens else
+            if not self._pop("quote", "„"):
+                self.stack.append(("quote", "“", s))
+        elif m["quote"]:
+            opens = (s == 0 or text[s - 1].isspace() or text[s - 1] in "([{<>*_-–—«/=:'") and s + 1 < len(text) and not text[s + 1].isspace()
+            again = opens and any(x[:2] == ("quote", '"') for x in self.stack)
+            if again and not text[:s].rstrip(" \t").endswith("\n"):  # no opening inside an open one: it closes
+                self._pop("quote", '"')
+            elif opens and not again:
+                self.stack.append(("quote", '"', s))
+            elif not opens:  # a mark of inches or seconds closes nothing where nothing is open
+                self._pop("quote", '"')
+        return max(e, s + 1) if kind else e
 
 
 def is_truncated(answer: str) -> bool:
     text = answer.rstrip().rstrip("​﻿­").rstrip()
-    if _open_at_end(text):
+    parse = Parse(text)
+    if parse.stack:
         return True
     last = text.rsplit("\n", 1)[-1].strip()
-    if re.match(r"(```+|~~~+)$", last) or re.search(r"</\w+>$|/>$", last):
+    if _closed.search(last):
         return False
-    if last.startswith("|"):
-        rows = [x.strip() for x in text.split("\n") if x.strip().startswith("|")]
-        return not last.endswith("|") or last.count("|") != rows[0].count("|") or len(rows) > 1 and set(last) <= set("|-: ")
-    if re.fullmatch(r"(?:[-*•+]|\d{1,3}[.)]|#{1,6}|>)", last) or re.match(r"#{1,6}\s", last):
+    if last.startswith("|") and parse.rows:
+        head = len(_bars.findall(parse.rows[0]))
+        return not last.endswith("|") or last.endswith(r"\|") or len(_bars.findall(last)) != head or set(last) <= set("|-: ")
+    if _begun.match(last):
         return True
     if _END.search(last):
-        return bool(re.search(r"(?<![\w.])0\.$", last))
+        return last.endswith("0.") and bool(re.search(r"(?<![\w.])0\.$", last))
+    if re.search(r"[,:;(–—-]$", last):
+        return True
     words = _word.findall(text)
-    if "\n" not in text and (len(words) <= 2 or len(words) <= 4 and re.search(r"\d", text)) and not re.search(r"[,:;(–—-]$", text):
+    if "\n" not in text and (len(words) <= 2 or len(words) <= 4 and re.search(r"\d", text)):
         return False
     if re.fullmatch(r"`[^`]+`", text):
         return False
-    if re.search(r"[,:;(–—-]$", last):
-        return True
-    if _ITEM.match(last):  # a list whose items have no stops is finished without one
-        items = [x.strip() for x in text.split("\n") if _ITEM.match(x)]
-        before = items[:-1]
-        return not before or sum(bool(_END.search(x)) for x in before) * 2 >= len(before)
+    if parse.items and "\n" not in text[parse.items[-1][0] :]:  # items without stops are finished without one
+        ends = [text[p : (text.find("\n", p) + len(text) + 1) % (len(text) + 1)].strip() for p, _ in parse.items[:-1]]
+        return not ends or 2 * sum(bool(_END.search(x)) for x in ends) >= len(ends)
     return True
 
 
+_END = re.compile(r"[.!?…。！？][\"'”»“)\]}*_`>]*$")
+_closed = re.compile(r"^(?:```+|~~~+)$|</\w+>$|/>$|-->$")
+_begun = re.compile(r"(?:[-*•+]|\d{1,3}[.)]|#{1,6}|>)$|#{1,6}\s")
+
+
 #: How languages are called, and words that ask for one. Fixed values.
 LANGUAGE_NAMES = {
     "en": r"english|englisch\w*|ingl[eé]s|английск\w+|англійськ\w+",
@@ -232,12 +301,13 @@ LANGUAGE_NAMES = {
     "": r"french|französisch|franc[eé]s|французск\w+|французьк\w+|italian\w*|polish|polnisch|польск\w+|польськ\w+",
 }
 _names = {k: re.compile(rf"(?<!\w)(?:{v})(?!\w)", re.I) for k, v in LANGUAGE_NAMES.items()}
+_any_name = re.compile(rf"(?<!\w)(?:{'|'.join(LANGUAGE_NAMES.values())})(?!\w)", re.I)
 _asks = re.compile(r"translat|answer|reply|respond|write|say|übersetz|antwort|schreib|sprache|переве|перевод|ответ|напиши|язык|переклад|відпов|напиши|мов[аиоуі]|traduc|respond|contest|escrib|idioma", re.I)
 
 
 def asked_language(question: str) -> str | None:
     """The language a question asks its answer to be in: a code, "" for one outside the five, or None."""
-    if not _asks.search(question):
+    if not _any_name.search(question) or not _asks.search(question):
         return None
     return next((k for k, p in _names.items() if p.search(question)), None)
 
@@ -249,11 +319,13 @@ def other_language(question: str | None, answer: str) -> bool:
     if not asks:
         return False
     own = max(set(asks), key=lambda k: (asks.count(k), -asks.index(k)))
-    wanted = asked_language(question)
-    if wanted is not None and wanted != own:
-        return False
-    said = [x for s, e in sentences(answer) if (x := language(answer[s:e]))]
-    return bool(said) and own not in said
+    said = False
+    for s, e in sentences(answer):
+        found = language(answer[s:e])
+        if found == own:
+            return False
+        said = said or found is not None
+    return said and asked_language(question) in (None, own)
 
 
 def defect(question: str | None, answer: str | None) -> str | None:
@@ -262,7 +334,7 @@ def defect(question: str | None, answer: str | None) -> str | None:
         return "empty"
     if is_echo(question, answer):
         return "echo"
-    if is_refusal(answer):
+    if is_refusal(question, answer):
         return "refusal"
     if is_truncated(answer):
         return "truncated"

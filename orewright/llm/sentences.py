@@ -6,11 +6,11 @@ import re
 
 #: Frequent small words of each language. Fixed values.
 SMALL_WORDS = {
-    "en": "the of and to in is are was were that it its for on with as at by from this which not be has have had or an if when into than then so what how why who can do does we you your there where they them their our only every after before while until without inside behind under",
+    "en": "the of and to in is are was were that it its for on with as at by from this which not be has have had or an if when into than then so what how why who can do does we you your there where they them their our only every after before while until but because since my me i could would should without inside behind under",
     "de": "der die das den dem des und in im zu ist sind war mit von für auf nicht ein eine einen einem einer es sich als auch an am bei aus nach vor wie was warum wozu wenn dass daß oder aber so wird werden kann ich du wir sie er zum zur noch nur bis ohne unter hinter jede jeder jedes obwohl weil sobald während",
     "es": "el la los las de del que y en un una unos unas es son con por para no se su sus al lo como más pero si ya o este esta cuando donde qué cómo dónde puedes cuál hay muy sin sobre entre hasta desde tras solo cada detrás aunque porque",
-    "ru": "и в во не на что как с со по к из за для от это при до или если чтобы когда где почему так же уже был была его её их то но только после без под ли мы вы он она они можешь каждый каждую хотя потому пока лишь",
-    "uk": "і й в у не на що як з зі із по до за для від це при або якщо щоб коли де чому так вже був була його її їх то але тільки після без під чи ми ви він вона вони можеш кожен кожну хоча бо адже поки лише та тож",
+    "ru": "и в во не на что как с со по к из за для от это при до или если чтобы когда где почему так же уже был была его её их то но только после без под ли мы вы он она они можешь каждый каждую хотя потому пока лишь может можно свой",
+    "uk": "і й в у не на що як з зі із по до за для від це при або якщо щоб коли де чому так вже був була його її їх то але тільки після без під чи ми ви він вона вони можеш кожен кожну хоча бо адже поки лише та тож може можна доки його свій",
 }
 _words = {k: frozenset(v.split()) for k, v in SMALL_WORDS.items()}
 #: Letters that tell close languages apart. Fixed values.

@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from orewright.llm import qapairs as Q
+from tests.llm import refusal_cases as R
 
 ASK = "How do we notice that the shell panel drops the daily journal?"
 
@@ -45,3 +48,78 @@ def test_long_open_quotation():
 def test_tiling():
     assert Q.tiled("a b c x a b c d".split(), "a b c d".split(), 3) == 7
     assert Q.tiled([], ["a"], 3) == 0
+
+
+def _tiles_plainly(a, b, least):
+    """Greedy string tiling word by word: the longest unmarked match, the first in `a` of several."""
+    ua, ub, total = set(), set(), []
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and i + n not in ua and j + n not in ub:
+                    n += 1
+                if n > best[0]:
+                    best = (n, i, j)
+        n, i, j = best
+        if n < least:
+            return total
+        ua |= set(range(i, i + n))
+        ub |= set(range(j, j + n))
+        total.append(n)
+
+
+def test_greedy_tiles_are_those_of_a_plain_search():
+    rng = random.Random(5)
+    for _ in range(300):
+        a, b = ([rng.choice("abc") for _ in range(rng.randint(0, 18))] for _ in range(2))
+        got = Q.greedy_tiles(a, b, 2)
+        assert all(a[i : i + n] == b[j : j + n] for i, j, n in got)
+        for k, side in ((0, a), (1, b)):
+            marked = [p for t in got for p in range(t[k], t[k] + t[2])]
+            assert len(marked) == len(set(marked)) and all(p < len(side) for p in marked)
+        lengths = [n for *_, n in got]
+        assert lengths == sorted(lengths, reverse=True)
+        plain = _tiles_plainly(a, b, min(2, len(b)) or 1)
+        assert lengths[:1] == plain[:1]
+        left = [p for p in range(len(a)) if all(not i <= p < i + n for i, _, n in got)]
+        assert len(left) <= len(a) - sum(plain) + 4  # ties between equal lengths may cost a word
+
+
+def test_order_of_runs_counts():
+    q = "one two three four five six seven eight nine ten eleven twelve".split()
+    assert Q.tiled(q, q, 3) == 12
+    assert [n for *_, n in Q.greedy_tiles(q[6:] + q[:6], q, 3)] == [6, 6]
+    again = "one two three four two three four five three four five six".split()  # overlapping runs use words of the question twice
+    assert sum(n for *_, n in Q.greedy_tiles(again, q, 3)) < 12
+
+
+def test_tiling_of_long_periodic_texts_ends():
+    assert Q.tiled(["x"] * 30_000, ["x"] * 20_000, 3) >= 29_998
+
+
+@pytest.mark.parametrize(
+    ("answer", "cut"),
+    [
+        ("<b>bold text that never closes.", True), ("<b>bold</b> text.", False), ("<ul><li>one thing.", True), ("<ul><li>one thing.</ul>", False), ("A line.<br>Another line.", False), ("<p>A line.", False),
+        ("It holds (as said.\n\nThe next paragraph goes on.", True), ("It holds (as said.\n\nThe next paragraph goes on).", False), ("He said «this holds.\n\nIt goes on.", True),
+        ('He said "this is a thing' + " and more words" * 40 + " It goes on.", True), ('"First paragraph of the words.\n\n"Second paragraph of the words."', False), ('A screen of 24" is enough.', False), ('It is "quoted" and (bracketed "inside") here.', False),
+        ("It is **bold text.", True), ("It is **bold** text.", False), ("It is `code that stays open.", True), ("A stray ` mark.\n\nThe next paragraph is whole.", False),
+        ("See:\n\n| a | b |\n| --- | --- |", True), ("See:\n\n| a | b |\n| --- | --- |\n| 1 | 2 |", False), ("See:\n\n| a | b |\n| --- | --- |\n| 1 |", True),
+        ("Steps:\n- open it\n- close it", False), ("Steps:\n- open it.\n- close", True), ("Steps:\n- open it.\n-", True), ("~~~~\ncode\n~~~", True), ("~~~~\ncode ( [ \"\n~~~~", False),
+        ("a) the first way. b) the second way.", False), ("It works :)", False), ("It works :).", False), ("It is <a href=", True), ("If x < y it stops.", False),
+    ],
+)
+def test_parse(answer, cut):
+    assert Q.is_truncated(answer) is cut
+
+
+def test_refusals_written_by_hand():
+    """The grammar was mended on the first set; the second shows what it finds of others."""
+    for found, wanted in ((R.REFUSALS, 1.0), (R.LATER_REFUSALS, 0.85)):
+        said = [Q.defect(R.QUESTIONS[k], a) == "refusal" for k, v in found.items() for a in v]
+        assert sum(said) >= wanted * len(said)
+    for k, v in [*R.ANSWERS.items(), *R.LATER_ANSWERS.items()]:
+        for a in v:
+            assert Q.defect(R.QUESTIONS[k], a) is None, a
