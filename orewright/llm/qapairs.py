@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orewright.llm.refusals import is_refusal
-from orewright.llm.sentences import language, sentences
+from orewright.llm.sentences import each_sentence, language, sentences
 
 #: Stand-ins for a missing answer. Fixed values.
 STAND_INS = frozenset(
@@ -151,7 +151,7 @@ def is_echo(question: str | None, answer: str) -> bool:
     if len(q) < 2 or not a:
         return False
     have = set(q)
-    if sum(w not in have for w in a) > max(1, 0.1 * len(a)) + 7:
+    if sum([w not in have for w in a]) > max(1, 0.1 * len(a)) + 7:
         return False  # a word that the question lacks is in no tile, and a lead-in has seven words at most
     lead = _lead.match(answer)
     if lead and (n := len(_words(lead.group()))) <= 7 and len(a) > n and not greedy_tiles(a[:n], q, 3):
@@ -174,15 +174,16 @@ ELEMENTS = frozenset(
 ) - {"dd", "body", "head", "html", "tbody", "thead"}
 CLOSES = {")": "(", "]": "[", "}": "{", "»": "«", "”": "“„"}
 
+_special = re.compile("[\n`<*:;()\\[\\]{}«»„“”\"]")
 _lexer = re.compile(
-    r"^[ \t]*(?P<fence>```+|~~~+)(?P<info>[^\n]*)$"
-    r"|^[ \t]*(?P<row>\|[^\n]*)$"
-    r"|^(?P<indent>[ \t]*)(?P<item>[-*•+]|\d{1,3}[.)])(?=[ \t]|$)"
-    r"|(?P<blank>\n(?:[ \t\r]*\n)+)"
+    r"(?P<blank>\n(?:[ \t\r]*\n)+)"
+    r"|\n[ \t]*(?P<fence>```+|~~~+)(?P<info>[^\n]*)"
+    r"|\n[ \t]*(?P<row>\|[^\n]*)"
+    r"|\n(?P<indent>[ \t]*)(?P<item>[-*•+]|\d{1,3}[.)])(?=[ \t\n]|\Z)"
     r"|(?P<code>(?P<ticks>`+)(?!`)[^\n]*?(?<!`)(?P=ticks)(?!`))|(?P<tick>`+)"
     r"|<!--(?P<comment>.*?)-->|<(?P<slash>/?)(?P<tag>[A-Za-z][A-Za-z0-9-]*)(?P<attrs>\s[^<>]*|/)?>|(?P<cut><(?:[A-Za-z/][^<>\n]*)?\Z)"
     r"|(?P<bold>\*\*)|[:;]-?[()]|(?P<close>[)\]}»”])|(?P<open>[(\[{«„])|(?P<quote>[\"“])",
-    re.S | re.M,
+    re.S,
 )
 _bars = re.compile(r"(?<!\\)\|")
 
@@ -194,9 +195,12 @@ class Parse:
         self.stack: list[tuple[str, str, int]] = []
         self.items: list[tuple[int, int]] = []  # place and indent of the list items
         self.rows: list[str] = []  # rows of the table that the text ends in
+        text = "\n" + text  # every line begins behind a line feed
         at = 0
-        while m := _lexer.search(text, at):
-            at = self._step(text, m)
+        while here := _special.search(text, at):
+            m = _lexer.match(text, here.start())
+            at = self._step(text, m) if m else here.end()
+        self.text = text
 
     def _pop(self, symbol: str, marks: str) -> bool:
         """Closes the innermost such symbol and what is still open inside it."""
@@ -207,7 +211,7 @@ class Parse:
         return False
 
     def _step(self, text: str, m: re.Match) -> int:
-        kind, s, e = m.lastgroup, m.start(), m.end()
+        s, e = m.start(), m.end()
         if m["fence"] and m["fence"][0] not in m["info"]:
             close = re.compile(rf"^[ \t]*{m['fence'][0]}{{{len(m['fence'])},}}[ \t\r]*$", re.M).search(text, min(e + 1, len(text)))
             if not close:
@@ -224,7 +228,7 @@ class Parse:
             self.items.append((e, len(m["indent"].expandtabs(4))))
         elif m["blank"]:  # emphasis and inline code end with their paragraph, whether closed or not
             self.stack = [x for x in self.stack if x[0] not in ("emphasis", "inline")]
-            return e - 1 if e < len(text) else e
+            return e - 1  # the last line feed begins the next line
         elif m["tick"]:
             if not self._pop("inline", m["tick"]):
                 self.stack.append(("inline", m["tick"], s))
@@ -255,7 +259,7 @@ class Parse:
                 self.stack.append(("quote", '"', s))
             elif not opens:  # a mark of inches or seconds closes nothing where nothing is open
                 self._pop("quote", '"')
-        return max(e, s + 1) if kind else e
+        return e
 
 
 def is_truncated(answer: str) -> bool:
@@ -280,8 +284,9 @@ def is_truncated(answer: str) -> bool:
         return False
     if re.fullmatch(r"`[^`]+`", text):
         return False
-    if parse.items and "\n" not in text[parse.items[-1][0] :]:  # items without stops are finished without one
-        ends = [text[p : (text.find("\n", p) + len(text) + 1) % (len(text) + 1)].strip() for p, _ in parse.items[:-1]]
+    body = parse.text
+    if parse.items and "\n" not in body[parse.items[-1][0] :]:  # items without stops are finished without one
+        ends = [body[p : body.find("\n", p)].strip() for p, _ in parse.items[:-1]]
         return not ends or 2 * sum(bool(_END.search(x)) for x in ends) >= len(ends)
     return True
 
@@ -320,7 +325,7 @@ def other_language(question: str | None, answer: str) -> bool:
         return False
     own = max(set(asks), key=lambda k: (asks.count(k), -asks.index(k)))
     said = False
-    for s, e in sentences(answer):
+    for s, e in each_sentence(answer):
         found = language(answer[s:e])
         if found == own:
             return False

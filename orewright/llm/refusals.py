@@ -21,6 +21,7 @@ than `NEW_WORDS` words that belong neither to the grammar nor to the question.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 from orewright.llm.sentences import SMALL_WORDS
 
@@ -149,12 +150,20 @@ def refuses(words: list[str]) -> bool:
     return False
 
 
+def _each_part(answer: str) -> Iterator[str]:
+    at = 0
+    for m in _parts.finditer(answer):
+        yield answer[at : m.start()]
+        at = m.end()
+    yield answer[at:]
+
+
 def is_refusal(question: str | None, answer: str) -> bool:
     """Whether the grammar derives the whole answer."""
     own: set[str] | None = None
     refused = False
     topics = 0
-    for part in _parts.split(answer):
+    for part in _each_part(answer):
         words = _token.findall(part.lower().replace("’", "'"))
         if not words:
             continue

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 #: Frequent small words of each language. Fixed values.
 SMALL_WORDS = {
@@ -15,7 +16,8 @@ SMALL_WORDS = {
 _words = {k: frozenset(v.split()) for k, v in SMALL_WORDS.items()}
 #: Letters that tell close languages apart. Fixed values.
 _LETTERS = {"uk": re.compile("[іїєґ]"), "ru": re.compile("[ыэёъ]"), "de": re.compile("[äöüß]"), "es": re.compile("[ñáíóú¿¡]")}
-_cyr, _lat = re.compile("[а-яёіїєґ]"), re.compile("[a-zäöüßñáéíóú]")
+_cyr, _lat = re.compile("[а-яёіїєґ]+"), re.compile("[a-zäöüßñáéíóú]+")
+_head = re.compile(r"#{1,6}\s")
 _token = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _fence = re.compile(r"^[ \t]*(```|~~~).*?(?:^[ \t]*\1[ \t]*$|\Z)", re.S | re.M)
 _noise = re.compile(r"[\[{][^\n]*\":[^\n]*[\]}]|`[^`\n]*`|\$[^$\n]*\$|https?://\S+|data:\S+|[A-Za-z0-9+/=]{40,}|<[^<>\n]{1,80}>|\b\w*[_\d]\w*(?:[.:/\\]\w+)*")
@@ -25,35 +27,46 @@ _stop = re.compile(r"(?<=[.!?…])[\"'»”)\]*]*\s+|[\r\n]+")
 
 def prose(text: str) -> str:
     """The text without code, formulas, addresses, tags and names with digits or underscores."""
-    return _noise.sub(" ", _fence.sub("\n", text))
+    return _noise.sub(" ", _fence.sub("\n", text) if "```" in text or "~~~" in text else text)
 
 
-def sentences(text: str) -> list[tuple[int, int]]:
+def each_sentence(text: str) -> Iterator[tuple[int, int]]:
     """(start, end) of the stretches of `text` that line ends and sentence ends part,
     code blocks and headings left out."""
-    out = []
-    blank = _fence.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text)
+    blank = _fence.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text) if "```" in text or "~~~" in text else text
     at = 0
-    for m in [*_stop.finditer(blank), None]:
-        e = m.start() if m else len(blank)
-        s = blank[at:e]
-        if s.strip():
-            lead = len(s) - len(s.lstrip())
-            out.append((at + lead, at + len(s.rstrip())))
-        at = m.end() if m else e
-    return [(s, e) for s, e in out if not re.match(r"#{1,6}\s", blank[s:e])]
+    for m in _stop.finditer(blank):
+        if found := _trimmed(blank, at, m.start()):
+            yield found
+        at = m.end()
+    if found := _trimmed(blank, at, len(blank)):
+        yield found
+
+
+def _trimmed(text: str, s: int, e: int) -> tuple[int, int] | None:
+    part = text[s:e]
+    bare = part.lstrip()
+    if not bare or bare[0] == "#" and _head.match(bare):
+        return None
+    return s + len(part) - len(bare), s + len(part.rstrip())
+
+
+def sentences(text: str) -> list[tuple[int, int]]:
+    """The stretches of :func:`each_sentence` as a list."""
+    return list(each_sentence(text))
 
 
 def language(sentence: str) -> str | None:
     """The language of a sentence by its script, its letters and its small words, or None."""
     low = _noise.sub(" ", sentence).lower()
-    cyr, lat = len(_cyr.findall(low)), len(_lat.findall(low))
+    cyr, lat = sum(map(len, _cyr.findall(low))), sum(map(len, _lat.findall(low)))
     if cyr + lat < 4:
         return None
     score = {}
     tokens = _token.findall(low)
     for k in ("ru", "uk") if cyr > lat else ("en", "de", "es"):
-        score[k] = sum(t in _words[k] for t in tokens) + (1.5 * len(_LETTERS[k].findall(low)) if k in _LETTERS else 0)
+        own = _words[k]
+        score[k] = sum([t in own for t in tokens]) + (1.5 * len(_LETTERS[k].findall(low)) if k in _LETTERS else 0)
     best = max(score, key=lambda k: score[k])
     rest = max(v for k, v in score.items() if k != best)
     if score[best] == rest and cyr >= 30 and not _LETTERS["uk"].search(low):
