@@ -157,3 +157,28 @@ def test_same_name_twice(spark, rows):
     files = spark.createDataFrame([("a.rs", "rust", text)], "path string, lang string, text string")
     defs = spark.createDataFrame([(1, "new", "fn", "a.rs", None, None), (2, "new", "fn", "a.rs", 4, None), (3, "new", "fn", "a.rs", None, None)], "def_id bigint, symbol string, kind string, file string, line int, byte bigint")
     assert rows(D.documented(defs, files).select("def_id", "doc")) == [(1, "First words."), (3, "Third words.")]
+
+
+@pytest.mark.parametrize(("lang", "text"), [("rust", RUST), ("ts", TS), ("go", GO), ("python", PY)])
+@pytest.mark.parametrize("blank", [" ", "\t", " \t  "])
+def test_blanks_at_line_ends_change_nothing(lang, text, blank):
+    def docs(t):
+        return [(n, "\n".join(x.strip() for x in d.splitlines())) for n, _, _, d, _ in D.functions(t, lang)]
+
+    assert docs(text.replace("\n", blank + "\n")) == docs(text)
+
+
+def test_gaps_of_any_length():
+    for n in (1, 300, 450, 20_000):
+        assert [d for *_, d, _ in D.functions("/// Doc words.\n" + "\n" * n + "fn f() {}\n", "rust")] == ["Doc words."]
+        assert [d for *_, d, _ in D.functions("def f():\n    'Doc words.'" + " " * n + "\n    return 1\n", "python")] == ["Doc words."]
+        assert [d for *_, d, _ in D.functions("def f():\n    'Doc words.'" + " " * n + ".x\n", "python")] == [""]
+    assert [d for *_, d, _ in D.functions("/// One.  \n/// Two. \n// a note \n\nfn f() {}\n", "rust")] == ["One.\nTwo."]
+
+
+@pytest.mark.parametrize(
+    ("doc", "want"),
+    [("TODO: cover by a test", True), ("FIXME: overflows at 3", True), ("TODO: tidy up", True), ("TODO: проверить границы", True), ("TODO: document this", False), ("TODO(ann): describe", False), ("todo - add docs here", False), ("TODO: описать", False), ("XXX", False), ("TODO: TBD", False), ("TODO: Beschreibung ergänzen", False)],
+)
+def test_work_to_do_is_no_placeholder(doc, want):
+    assert D.telling(doc, "f") is want
