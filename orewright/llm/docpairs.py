@@ -198,21 +198,32 @@ _marks = re.compile(r"^[\W_]+")
 _FOUND = "path string, symbol string, line int, byte bigint, nth int, doc string, code string, told boolean"
 
 
+#: Rows that an extractor gathers before it sends them on.
+ROWS_OUT = 2_000
+
+
 def _extractor(with_code: bool):
+    names = ["path", "symbol", "line", "byte", "nth", "doc", "code", "told"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            rows: list[tuple] = []
             for path, lang, text in zip(pdf["path"], pdf["lang"], pdf["text"], strict=True):
                 kind = language_of(lang, path)
-                rows, seen = [], {}
-                if kind and text:
-                    last, nbyte, nline = 0, 0, 1
-                    for name, line, end, doc, begin in functions(text, kind):
-                        nbyte += len(text[last:line].encode("utf-8", "surrogatepass"))
-                        nline += len(_line_end.findall(text, last, line))
-                        last = line
-                        seen[name] = seen.get(name, 0) + 1
-                        rows.append((path, name, nline, nbyte, seen[name], doc if with_code else None, text[begin:end] if with_code else None, telling(doc, name)))
-                yield pd.DataFrame(rows, columns=["path", "symbol", "line", "byte", "nth", "doc", "code", "told"])
+                if not kind or not text:
+                    continue
+                seen: dict[str, int] = {}
+                last, nbyte, nline = 0, 0, 1
+                for name, line, end, doc, begin in functions(text, kind):
+                    nbyte += len(text[last:line].encode("utf-8", "surrogatepass"))
+                    nline += len(_line_end.findall(text, last, line))
+                    last = line
+                    seen[name] = seen.get(name, 0) + 1
+                    rows.append((path, name, nline, nbyte, seen[name], doc if with_code else None, text[begin:end] if with_code else None, telling(doc, name)))
+                if len(rows) >= ROWS_OUT:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+            yield pd.DataFrame(rows, columns=names)
 
     return run
 
@@ -223,27 +234,41 @@ def extract(files: DataFrame, with_code: bool = True) -> DataFrame:
 
 
 def pair(defs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of `defs` that are functions or methods, each with what was found for it."""
-    d = defs.select("def_id", "symbol", F.col("file").alias("path"), F.col("line").alias("d_line"), F.col("byte").alias("d_byte")).where("symbol is not null and path is not null").distinct()
-    at = found.select("path", "symbol", "line", "byte", "nth")
-    fit = F.when(F.col("d_byte") == F.col("byte"), 2).when(F.col("d_line") == F.col("line"), 1).otherwise(0)
-    j = d.join(at, ["path", "symbol"]).withColumn("fit", fit)
-    first = Window.partitionBy("path", "symbol", "def_id").orderBy(F.desc("fit"), "nth")
-    keys = ["path", "symbol", "nth"]
-    sure = j.where("fit > 0").withColumn("rn", F.row_number().over(first)).where("rn = 1").select("def_id", *keys)
+    """(def_id, path, symbol, nth, told): the rows of `defs` that meet a function of `found`.
+
+    Both sides come together once, by path and symbol; a row carries the places of the
+    functions of its name in its file, and the windows keep that partitioning.
+    """
+    d = defs.select("def_id", "symbol", F.col("file").alias("path"), F.col("line").alias("d_line"), F.col("byte").alias("d_byte")).where("symbol is not null and path is not null")
+    d = d.repartition("path", "symbol").distinct()
+    at = found.groupBy("path", "symbol").agg(F.sort_array(F.collect_list(F.struct("nth", "line", "byte", "told"))).alias("places"))
+    j = d.join(at, ["path", "symbol"])
+    byte = F.filter("places", lambda p: p["byte"] == F.col("d_byte"))
+    line = F.filter("places", lambda p: p["line"] == F.col("d_line"))
+    j = j.withColumn("sure", F.when(F.size(byte) > 0, byte[0]["nth"]).when(F.size(line) > 0, line[0]["nth"]))
     # the others in their order to the functions of that name which nobody has claimed
-    rest = d.join(sure, ["def_id", "path", "symbol"], "left_anti")
-    rest = rest.withColumn("turn", F.row_number().over(Window.partitionBy("path", "symbol").orderBy("def_id")))
-    free = at.join(sure, keys, "left_anti").withColumn("turn", F.row_number().over(Window.partitionBy("path", "symbol").orderBy("nth")))
-    late = rest.join(free, ["path", "symbol", "turn"]).select("def_id", *keys)
-    return sure.unionByName(late).join(found, keys)
+    own = Window.partitionBy("path", "symbol")
+    turn = F.row_number().over(Window.partitionBy("path", "symbol", F.col("sure").isNull()).orderBy("def_id", "d_line", "d_byte"))
+    j = j.withColumn("claimed", F.collect_set("sure").over(own)).withColumn("turn", turn)
+    free = F.filter(F.transform("places", lambda p: p["nth"]), lambda n: ~F.array_contains("claimed", n))
+    j = j.withColumn("nth", F.coalesce("sure", F.when(F.col("turn") <= F.size(free), F.get(free, F.col("turn") - 1)))).where("nth is not null")
+    return j.select("def_id", "path", "symbol", "nth", F.filter("places", lambda p: p["nth"] == F.col("nth"))[0]["told"].alias("told"))
 
 
-def documented(defs: DataFrame, files: DataFrame, with_code: bool = True) -> DataFrame:
+def documented(defs: DataFrame, files: DataFrame) -> DataFrame:
     """(def_id, symbol, path, line, doc, code) of the functions whose documentation tells something."""
-    kinds = defs.where(F.lower("kind").isin(*FUNCTION_KINDS))
-    found = materialize(extract(files, with_code), "functions")
-    return pair(kinds, found).where("told").select("def_id", "symbol", "path", "line", "doc", "code")
+    found = materialize(extract(files), "functions")
+    told = pair(_functions(defs), found).where("told").drop("told")
+    return told.join(found, ["path", "symbol", "nth"]).select("def_id", "symbol", "path", "line", "doc", "code")
+
+
+def documented_ids(defs: DataFrame, files: DataFrame) -> DataFrame:
+    """(def_id) of the functions whose documentation tells something."""
+    return pair(_functions(defs), extract(files, with_code=False)).where("told").select("def_id").distinct()
+
+
+def _functions(defs: DataFrame) -> DataFrame:
+    return defs.where(F.lower("kind").isin(*FUNCTION_KINDS))
 
 
-__all__ = ["documented", "extract", "functions", "islands", "pair", "telling"]
+__all__ = ["documented", "documented_ids", "extract", "functions", "islands", "pair", "telling"]

@@ -42,7 +42,7 @@ def p4_stretches(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    return docpairs.documented(table(spark, sf, "defs"), table(spark, sf, "source_files"), with_code=False).select("def_id").distinct()
+    return docpairs.documented_ids(table(spark, sf, "defs"), table(spark, sf, "source_files"))
 
 
 def p6_pairs(spark: SparkSession, sf: str) -> DataFrame:
