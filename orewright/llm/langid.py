@@ -22,17 +22,21 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orewright.llm.sentences import prose, sentences
+from orewright.llm.sentences import each_sentence, prose
+from orewright.session import materialize
 
 LANGUAGES = ("de", "en", "es", "ru", "uk")
 #: Hashed features, n-gram lengths, letters a text needs, rows of each language to learn from.
 BITS, LENGTHS, LEAST_LETTERS, ROWS_PER_LANGUAGE = 16, (1, 2, 3, 4), 20, 500
+#: Texts that are scored in one go.
+AT_ONCE = 256
 #: Names and codes of the languages. Fixed values.
 LABELS = {
     "de": "de deu ger german deutsch alemán aleman немецкий німецька germanisch",
@@ -51,15 +55,24 @@ def label_language(label: Column) -> Column:
     return F.coalesce(known[plain], known[F.regexp_extract(plain, r"^([^\W_]+)[-_]", 1)])
 
 
-_letters = re.compile(r"[^\W\d_]")
 _words = re.compile(r"[^\W\d_]{2,}")
-_other = re.compile(r"[^\w'’]+|[\d_]+")
+_letter = re.compile(r"[^\W\d_]|['’]")
+
+
+@cache
+def _letter_codes() -> np.ndarray:
+    """Which code points of the basic plane belong to words; those beyond it don't."""
+    return np.array([bool(_letter.match(chr(c))) for c in range(0xFFFF)] + [False])
 
 
 def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each n-gram length the hashed n-grams of all texts in order, and how many each text has."""
-    joined = "\x00".join(" " + _other.sub(" ", t.lower()).strip() + " " for t in texts) + "\x00"
-    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    """For each n-gram length the hashed n-grams of all texts in order, and how many each text has.
+    Words count in small letters, whatever stands between them as one blank."""
+    joined = "".join(f" {t.lower()} \x00" for t in (t.replace("\x00", " ") for t in texts))
+    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    blank = ~_letter_codes()[np.minimum(codes, 0xFFFF)] & (codes != 0)
+    codes = np.where(blank, np.uint32(32), codes)
+    codes = codes[~(blank & np.roll(blank, 1))].astype(np.uint64)
     ends = np.flatnonzero(codes == 0)
     size = np.diff(ends, prepend=-1) - 1
     h = np.zeros(len(codes), np.uint64)
@@ -80,30 +93,49 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([x for x, _ in parts])[np.argsort(own, kind="stable")], sum(c for _, c in parts)
 
 
-def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total, n = np.zeros(1 << BITS, np.int64), 0
-    for pdf in batches:
-        texts = pdf["text"].tolist()
-        for at in range(0, len(texts), 100):
-            part = texts[at : at + 100]
-            seen = np.zeros((len(part), 1 << BITS), bool)
-            for idx, count in grams(part):
-                seen[np.repeat(np.arange(len(part)), count), idx] = True
-            total += seen.sum(0)
-            n += len(part)
-    at = np.flatnonzero(total)
-    yield pd.DataFrame({"bucket": np.append(at, -1), "df": np.append(total[at], n)})
-
-
-def inverse_frequencies(texts: DataFrame) -> np.ndarray:
-    """IDF of every hashed n-gram over all rows of `texts` (text)."""
-    df = texts.select("text").mapInPandas(_frequencies, "bucket int, df bigint").groupBy("bucket").agg(F.sum("df").alias("df")).toPandas()
+_COUNTED = "bucket int, df bigint, lang string, h bigint, text string"
+
+
+def _counter(per_language: int):
+    """One pass over a partition: in how many texts each hashed n-gram stands (bucket -1: the texts),
+    and of every language the rows of the least hashes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, n = np.zeros(1 << BITS, np.int64), 0
+        kept = pd.DataFrame({"lang": [], "h": [], "text": []})
+        for pdf in batches:
+            texts = pdf["text"].tolist()
+            for at in range(0, len(texts), 100):
+                part = texts[at : at + 100]
+                seen = np.zeros((len(part), 1 << BITS), bool)
+                for idx, count in grams(part):
+                    seen[np.repeat(np.arange(len(part)), count), idx] = True
+                total += seen.sum(0)
+                n += len(part)
+            labelled = pdf.loc[pdf["lang"].notna(), ["lang", "h", "text"]]
+            kept = labelled if kept.empty else pd.concat([kept, labelled])
+            kept = kept.sort_values("h", kind="stable").groupby("lang").head(per_language)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"bucket": np.append(at, -1), "df": np.append(total[at], n), "lang": None, "h": 0, "text": None})
+        if len(kept):
+            yield kept.assign(bucket=-2, df=0)[["bucket", "df", "lang", "h", "text"]]
+
+    return run
+
+
+def counts_and_sample(rows: DataFrame, per_language: int) -> tuple[np.ndarray, list[tuple[str, str]]]:
+    """IDF of every hashed n-gram over all `rows` (text, lang), and (text, lang) of the `per_language` rows of
+    the least hashes of each language, from one pass."""
+    counted = materialize(rows.select("text", "lang", F.xxhash64("text").alias("h")).mapInPandas(_counter(per_language), _COUNTED), "language-counts")
+    df = counted.where("bucket >= -1").groupBy("bucket").agg(F.sum("df").alias("df")).toPandas()
     idf = np.zeros(1 << BITS)
     n = df.loc[df["bucket"] == -1, "df"].sum()
     df = df[df["bucket"] >= 0]
     idf[:] = np.log(1.0 + n)
     idf[df["bucket"].to_numpy(int)] = np.log((1.0 + n) / (1.0 + df["df"].to_numpy(float))) + 0.1
-    return idf
+    least = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    picked = counted.where("bucket = -2").withColumn("rn", least).where(F.col("rn") <= per_language).select("lang", "rn", "text").collect()
+    return idf, [(r["text"], r["lang"]) for r in sorted(picked, key=lambda r: (r["lang"], r["rn"]))]
 
 
 class Model:
@@ -115,16 +147,27 @@ class Model:
         self.bias, self.temperature = bias, temperature
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        if not texts:
-            return np.zeros((0, len(LANGUAGES)))
+        return self.scores_and_sizes(texts)[0]
+
+    def scores_and_sizes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of the languages, and the characters that were read; `AT_ONCE` texts at a time stay in the caches."""
+        parts = [self._scored(texts[at : at + AT_ONCE]) for at in range(0, len(texts), AT_ONCE)]
+        if not parts:
+            return np.zeros((0, len(LANGUAGES))), np.ones(0)
+        return np.concatenate([s for s, _ in parts]), np.concatenate([n for _, n in parts])
+
+    def _scored(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        size = np.ones(len(texts))
         total, norm = np.zeros((len(texts), len(LANGUAGES))), np.full(len(texts), 1e-9)
-        for idx, count in grams(texts):
+        for n, (idx, count) in zip(LENGTHS, grams(texts), strict=True):
+            if n == 1:
+                size = np.maximum(count, 1)
             has = np.flatnonzero(count)
             if len(has):
                 at = np.concatenate([[0], np.cumsum(count[has])[:-1]])
                 total[has] += np.add.reduceat(self.weights[idx], at, axis=0)
                 norm[has] += np.add.reduceat(self.idf2[idx], at)
-        return total / np.sqrt(norm)[:, None] + self.bias
+        return total / np.sqrt(norm)[:, None] + self.bias, size
 
     def probabilities(self, texts: list[str]) -> np.ndarray:
         return softmax(self.scores(texts) / self.temperature)
@@ -149,9 +192,9 @@ def ftrl(texts: list[str], y: np.ndarray, idf: np.ndarray, epochs: int = 4, batc
             f = np.concatenate([idx[at[r] : at[r + 1]] for r in rows])
             own = np.repeat(np.arange(len(rows)), count[rows])
             uniq, inv = np.unique(f, return_inverse=True)
-            x = np.zeros((len(rows), len(uniq)))
-            np.add.at(x, (own, inv), idf[f])
-            x /= np.sqrt(np.bincount(own, weights=idf[f] ** 2, minlength=len(rows)))[:, None] + 1e-9
+            weight = idf[f]
+            x = np.bincount(own * len(uniq) + inv, weights=weight, minlength=len(rows) * len(uniq)).reshape(len(rows), -1)
+            x /= np.sqrt(np.bincount(own, weights=weight**2, minlength=len(rows)))[:, None] + 1e-9
             p = softmax(x @ w[uniq] + bias)
             p[np.arange(len(rows)), y[rows]] -= 1.0
             g = x.T @ p
@@ -179,23 +222,22 @@ def calibrate(model: Model, texts: list[str], y: np.ndarray) -> float:
     return float(min(grid, key=loss)) if len(y) else 1.0
 
 
-def whole_sentences(text: str) -> list[tuple[int, int]]:
-    """Stretches of `text` that can show a language: four words or more."""
-    return [(s, e) for s, e in sentences(text) if len(_words.findall(prose(text[s:e]))) >= 4]
+_enough = re.compile(rf"(?:[\W\d_]*+[^\W\d_]){{{LEAST_LETTERS}}}")
+
+
+def whole_sentences(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, prose) of the stretches of `text` that can show a language: four words or more."""
+    return [(s, e, p) for s, e in each_sentence(text) if len(_words.findall(p := prose(text[s:e]))) >= 4]
 
 
-def train(rows: DataFrame, texts: DataFrame, per_language: int = ROWS_PER_LANGUAGE) -> Model | None:
-    """A model from `rows` (text, lang) with IDF from `texts`; None without labelled rows."""
-    idf = inverse_frequencies(texts)
-    picked = []
-    for code in LANGUAGES:
-        part = rows.where(F.col("lang") == code).select("text", "lang", F.xxhash64("text").alias("h"))
-        picked += part.orderBy("h").limit(per_language).collect()
+def train(rows: DataFrame, per_language: int = ROWS_PER_LANGUAGE) -> Model | None:
+    """A model from `rows` (text, lang), IDF counted over all of them; None without labelled rows."""
+    idf, picked = counts_and_sample(rows, per_language)
     sents, y = [], []
-    for r in picked:
-        for s, e in whole_sentences(r["text"]):
-            sents.append(prose(r["text"][s:e]))
-            y.append(LANGUAGES.index(r["lang"]))
+    for text, lang in picked:
+        for _, _, p in whole_sentences(text):
+            sents.append(p)
+            y.append(LANGUAGES.index(lang))
     if not sents:
         return None
     label = np.array(y)
@@ -216,6 +258,9 @@ CHANGE = 2.5
 
 def smooth(p: np.ndarray) -> np.ndarray:
     """The likeliest languages of successive sentences, changes being rare (Viterbi)."""
+    best = p.argmax(1)
+    if (best == best[0]).all():
+        return best
     logp = np.log(np.maximum(p, 1e-9))
     score, back = logp[0], []
     for row in logp[1:]:
@@ -229,19 +274,18 @@ def smooth(p: np.ndarray) -> np.ndarray:
     return np.array(path[::-1])
 
 
-def stretches(text: str, spans: list[tuple[int, int]], p: np.ndarray) -> list[tuple[int, int, str, float]]:
+def stretches(spans: list[tuple[int, int, str]], p: np.ndarray, size: np.ndarray) -> list[tuple[int, int, str, float]]:
     """(start, end, language, confidence) of the stretches, from the sentences' probabilities."""
     out: list[list] = []
     if not spans:
         return []
-    for (s, e), q, k in zip(spans, p, smooth(p), strict=True):
-        size = len(_letters.findall(text[s:e])) or 1
+    for (s, e, _), q, k, n in zip(spans, p, smooth(p), size, strict=True):
         if out and out[-1][2] == k:
             out[-1][1] = e
-            out[-1][3] += float(q[k]) * size
-            out[-1][4] += size
+            out[-1][3] += float(q[k]) * n
+            out[-1][4] += n
         else:
-            out.append([s, e, k, float(q[k]) * size, size])
+            out.append([s, e, k, float(q[k]) * n, n])
     return [(s, e, LANGUAGES[k], c / n) for s, e, k, c, n in out]
 
 
@@ -255,14 +299,15 @@ def _classifier(shared):
             texts = pdf["text"].tolist()
             spans = []
             for t in texts:
-                own = whole_sentences(t) if len(_letters.findall(t)) >= LEAST_LETTERS else None
-                if own == [] and len(_words.findall(prose(t))) >= 2:
-                    own = [(0, len(t))]
+                own = whole_sentences(t) if _enough.match(t) else None
+                if own == [] and len(_words.findall(p := prose(t))) >= 2:
+                    own = [(0, len(t), p)]
                 spans.append(own or [])
-            p = model.probabilities([prose(t[s:e]) for t, own in zip(texts, spans, strict=True) for s, e in own])
+            score, size = model.scores_and_sizes([p for own in spans for *_, p in own])
+            prob = softmax(score / model.temperature) if len(score) else score
             rows, at = [], 0
-            for src, item, label, t, own in zip(pdf["src"], pdf["item_id"], pdf["label"], texts, spans, strict=True):
-                found = stretches(t, own, p[at : at + len(own)])
+            for src, item, label, own in zip(pdf["src"], pdf["item_id"], pdf["label"], spans, strict=True):
+                found = stretches(own, prob[at : at + len(own)], size[at : at + len(own)])
                 at += len(own)
                 langs = sorted({x[2] for x in found})
                 rows += [(src, item, label, *x, langs) for x in found]
@@ -275,7 +320,7 @@ def label_texts(items: DataFrame) -> DataFrame:
     """Stretches of `items` (src, item_id, text, label) with languages and confidence; ``label``
     comes back as the code of the language it names, or null, and ``langs`` has all of the item."""
     rows = items.select("src", "item_id", "text", label_language(F.col("label")).alias("label")).where(r"text rlike '\\p{L}'")
-    model = train(rows.select("text", F.col("label").alias("lang")), rows)
+    model = train(rows.select("text", F.col("label").alias("lang")))
     if model is None:
         return rows.sparkSession.createDataFrame([], _STRETCHES)
     shared = rows.sparkSession.sparkContext.broadcast(model)

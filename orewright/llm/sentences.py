@@ -20,7 +20,7 @@ _cyr, _lat = re.compile("[а-яёіїєґ]+"), re.compile("[a-zäöüßñáéí
 _head = re.compile(r"#{1,6}\s")
 _token = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _fence = re.compile(r"^[ \t]*(```|~~~).*?(?:^[ \t]*\1[ \t]*$|\Z)", re.S | re.M)
-_noise = re.compile(r"[\[{][^\n]*\":[^\n]*[\]}]|`[^`\n]*`|\$[^$\n]*\$|https?://\S+|data:\S+|[A-Za-z0-9+/=]{40,}|<[^<>\n]{1,80}>|\b\w*[_\d]\w*(?:[.:/\\]\w+)*")
+_noise = re.compile(r"[\[{][^\n]*\":[^\n]*[\]}]|`[^`\n]*`|\$[^$\n]*\$|https?://\S+|data:\S+|(?<![A-Za-z0-9+/=])[A-Za-z0-9+/=]{40,}|<[^<>\n]{1,80}>|\b[^\W\d_]*+[_\d]\w*+(?:[.:/\\]\w+)*")
 _bullet = re.compile(r"^[ \t>]*(?:[-*•+]|\d{1,3}[.)])?[ \t]+", re.M)
 _stop = re.compile(r"(?<=[.!?…])[\"'»”)\]*]*\s+|[\r\n]+")
 
