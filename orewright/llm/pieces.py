@@ -3,17 +3,16 @@
 Boundaries are places between two characters, by strength: before a heading, after an
 empty line (paragraph), after a line feed, after a sentence end (``. ! ? …`` followed by
 white space), after other white space, anywhere. The first four are natural. A text of
-L > `max_chars` characters gets at least ``ceil((L - o) / (max - o))`` pieces for an
-overlap o. Their ends are aimed at equal distances, and each is moved to the strongest
-boundary near its target from which the rest can still be reached. If a limit fails, one
-more piece is tried; beyond a bounded number of tries the ends are set from left to right.
-
-Every piece has at most `max_chars` characters and begins `overlap` characters before the
-end of the piece before it. Where no natural boundary lies within ``max - overlap`` but
-one within ``max``, the overlap of that one piece is shortened so that it can end there.
-Only where more than `max_chars` characters in a row hold no natural boundary is a cut
-``forced``; it then falls behind white space, if there is any, and never between CR and
-LF or before a combining mark.
+L > `max_chars` characters needs at least ``ceil((L - o) / (max - o))`` pieces for an
+overlap o. What is left of a text is always aimed to be cut into equal pieces of the least
+number, and the next end is moved to the strongest boundary near its target. Where no
+boundary is left from which so few pieces could reach the end, one more piece is planned.
+
+Every piece has at most `max_chars` characters and begins exactly `overlap` characters
+before the end of the piece before it. A cut is ``forced`` where more than `max_chars`
+characters in a row hold no natural boundary, and ``tight`` where fewer do but more than
+``max - overlap``, so that the overlap leaves no natural end in reach. Both fall behind
+white space, if there is any, and never between CR and LF or before a combining mark.
 
 Defined results for odd input: a null text gives no row; an empty text or one within the
 limit gives one piece; an overlap of half the limit or more is lowered to half of it; a
@@ -35,8 +34,6 @@ from pyspark.sql import functions as F
 HEADING, PARAGRAPH, LINE, SENTENCE = 4, 3, 2, 1
 _breaks = re.compile(r"\n[ \t\r]*\n[ \t\r\n]*|\n|[.!?…](?=\s)")
 _heading = re.compile(r"#{1,6}[ \t]\S")
-#: Extra pieces that are tried before ends are set from left to right.
-TRIES = 3
 
 
 def boundaries(text: str) -> tuple[list[int], list[int]]:
@@ -67,53 +64,43 @@ def _forced(text: str, lo: int, hi: int) -> int:
     return hi
 
 
-def _balanced(n: int, length: int, limit: int, overlap: int, places: list[int], strength: list[int]) -> list[int] | None:
-    """Ends of `n` pieces at natural boundaries, or None."""
-    step, ends, last = limit - overlap, [], overlap
-    aim = (length - overlap) / n
-    for i in range(1, n):
-        lo, hi = max(last + 1, length - (n - i) * step), last + step
-        a, b = bisect_left(places, lo), bisect_right(places, hi)
-        if a >= b:
-            return None
-        target = overlap + i * aim
-        near = max(16.0, aim * 0.2)
-        best = min(range(a, b), key=lambda k: (abs(places[k] - target) > near, -strength[k] if abs(places[k] - target) <= near else 0, abs(places[k] - target)))
-        last = places[best]
-        ends.append(last)
-    return [*ends, length] if length - last <= step else None
+def _snapped(places: list[int], strength: list[int], lo: int, hi: int, target: float, aim: float) -> int | None:
+    """The strongest of the boundaries in [lo, hi] near `target`, else the nearest, or None."""
+    a, b = bisect_left(places, lo), bisect_right(places, hi)
+    if a >= b:
+        return None
+    near = max(16.0, aim * 0.2)
+    c, d = bisect_left(places, target - near, a, b), bisect_right(places, target + near, a, b)
+    if c < d:
+        return places[max(range(c, d), key=lambda k: (strength[k], -abs(places[k] - target)))]
+    return min(places[max(a, min(c, b) - 1)], places[min(c, b - 1)], key=lambda p: abs(p - target))
 
 
 def cut(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]]:
-    """(start, end, how) of the pieces; how is ``whole``, ``natural``, ``forced`` or ``end``."""
+    """(start, end, how) of the pieces; how is ``whole``, ``natural``, ``tight``, ``forced`` or ``end``."""
     length = len(text)
     if length <= limit:
         return [(0, length, "whole")]
     overlap = max(0, min(overlap, limit // 2))
     step = limit - overlap
     places, strength = boundaries(text)
-    least = -(-(length - overlap) // step)
-    for n in range(least, least + TRIES + 1):
-        if ends := _balanced(n, length, limit, overlap, places, strength):
-            starts = [0, *(e - overlap for e in ends[:-1])]
-            return [(s, e, "natural" if e < length else "end") for s, e in zip(starts, ends, strict=True)]
-    out, start, last = [], 0, 0
+    out: list[tuple[int, int, str]] = []
+    start, last = 0, overlap  # the first piece has no overlap before it
     while length - start > limit:
-        hi, how = start + limit, "natural"
-        a, b = bisect_right(places, last), bisect_right(places, hi)
-        ahead = places[a] if a < len(places) else length
-        if a < b:
-            late = [k for k in range(a, b) if places[k] >= start + limit // 2] or range(a, b)
-            end = places[max(late, key=lambda k: (strength[k], places[k]))]
-        elif ahead - last <= limit:  # within the limit if this piece overlaps less
-            end, start = ahead, ahead - limit
-            if end == length:
-                break
-        else:  # equal parts of the run without a boundary
-            parts = -(-(ahead - last) // step)
-            end, how = _forced(text, last, min(hi, last - (last - ahead) // parts)), "forced"
+        left = length - last
+        n = -(-left // step)
+        aim = left / n
+        end, how = _snapped(places, strength, max(last + 1, length - (n - 1) * step), last + step, last + aim, aim), "natural"
+        if end is None:  # one more piece
+            aim = left / (n + 1)
+            end = _snapped(places, strength, last + 1, last + step, last + aim, aim)
+        if end is None:  # equal parts of the run without a boundary
+            k = bisect_right(places, last)
+            before, ahead = places[k - 1] if k else 0, places[k] if k < len(places) else length
+            end = _forced(text, last, last + min(step, -(-(ahead - last) // -(-(ahead - last) // step))))
+            how = "forced" if ahead - before > limit else "tight"
         out.append((start, end, how))
-        last, start = end, max(end - overlap, 0)
+        last, start = end, end - overlap
     out.append((start, length, "end"))
     return out
 

@@ -47,3 +47,27 @@ def test_operator(spark, rows):
     assert all(len(r["piece"]) <= 10 for r in p if r["src"] == "specs")
     assert rows(P.oversized(items.limit(0), limits)) == []
     assert rows(P.oversized(items, limits.limit(0))) == []
+
+
+@given(TEXT, st.integers(5, 60), st.integers(0, 80))
+@settings(max_examples=300, deadline=None)
+def test_overlap_is_kept_and_labels_follow_the_runs(text, limit, overlap):
+    got = P.cut(text, limit, overlap)
+    own = min(overlap, limit // 2)
+    assert all(e1 - s2 == own for (_, e1, _), (s2, _, _) in zip(got, got[1:], strict=False))
+    if len(text) > limit:
+        assert any(how == "forced" for *_, how in got) == (P.longest_run(text) > limit)
+        if P.longest_run(text) <= limit - own:
+            assert all(how in ("natural", "end") for *_, how in got)
+
+
+def test_five_long_sentences():
+    text = " ".join(["x" * 90 + "."] * 5)
+    got = P.cut(text, 100, 20)
+    assert [s2 for s2, *_ in got[1:]] == [e - 20 for _, e, _ in got[:-1]] and all(e - s <= 100 for s, e, _ in got)
+    assert {how for *_, how in got} <= {"natural", "tight", "end"}
+
+
+def test_no_more_pieces_than_needed():
+    text = "Word word word. " * 3000
+    assert len(P.cut(text, 1000, 100)) == -(-(len(text) - 100) // 900)
