@@ -3,11 +3,13 @@
 Texts are dealt by hash into groups of about `GROUP_TOKENS` tokens, so a group fits a task
 whatever the size of the corpus and however uneven its sources. In each group the kinds
 of container are filled from the smallest to the largest. For one kind the largest text
-left is put into an empty container and completed by a set of further ones: fillings are
-enumerated from the fullest down, one that another dominates (text by text no smaller) is
-left out, and a branch ends when the space its containers leave unused exceeds the bound
-of the best solution known, which best-fit decreasing provides at first. The search stops
-at the lower bound of containers or after `NODES` nodes, keeping the best found.
+left is put into an empty container and completed by a set of further ones. All undominated
+fillings are enumerated, one at a time as the search asks for them, from small waste to
+large; a filling is dominated if a text left out could take the place of some of its texts
+(or of none) that are no larger together. A branch ends when the space its containers
+leave unused exceeds the bound of the best solution known, which best-fit decreasing
+provides at first. The search stops at the lower bound of containers or after `STEPS`
+steps a text, enumeration included, and keeps the best found; that is its only limit.
 
 A text goes to the smallest kind that holds it. Texts in containers filled to less than
 `GOOD` are handed on to the next larger kind, where they fill gaps; the least filled
@@ -24,7 +26,9 @@ or documents the result is empty.
 from __future__ import annotations
 
 import bisect
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
+from itertools import accumulate, islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -33,8 +37,10 @@ from pyspark.sql import functions as F
 from orewright.llm.tokens import sized
 from orewright.session import cores, materialize
 
-#: Tokens of a group, nodes of a search, fillings tried at a node, fill from which a container is done.
-GROUP_TOKENS, NODES, WIDTH, GOOD = 1_000_000, 1_000, 3, 0.995
+#: Tokens of a group, steps of a search for each of its texts, fill from which a container is done.
+GROUP_TOKENS, STEPS, GOOD = 1_000_000, 100, 0.995
+#: Kinds of container a table may have; more raise an error.
+MOST_KINDS = 10_000
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -53,107 +59,130 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def completions(sizes: list[int], space: int, waste: int, width: int) -> list[list[int]]:
-    """Up to `width` sets of places in `sizes` (falling) that fill `space` to within `waste`, the
-    fullest first, none dominated by another."""
-    found: list[tuple[int, tuple[int, ...]]] = []
+class Budget:
+    """Steps that a search may still take."""
+
+    def __init__(self, steps: float = float("inf")):
+        self.left = steps
+
+
+def _bits(values: Iterable[int]) -> int:
+    out = 0
+    for v in values:
+        out |= 1 << v
+    return out
+
+
+def dominated(own: list[int], waste: int, others: int) -> bool:
+    """Whether a text out of `others` (bits of sizes) can take the place of texts of sizes `own`, or of none,
+    that are together no larger and at most `waste` smaller."""
+    sums = 1
+    for s in own:
+        sums |= sums << s
+    reach = 0
+    while reach < waste:  # sums within `waste` below a size
+        shift = min(reach + 1, waste - reach)
+        sums |= sums << shift
+        reach += shift
+    return bool(sums & others & ~1)
+
+
+def undominated(sizes: list[int], space: int, waste: int, others: int | None = None, budget: Budget | None = None) -> Iterator[list[int]]:
+    """Sets of places in `sizes` (falling) that fill `space` to within `waste`, none dominated: those with the least
+    waste first, by doubling bounds, and among those the ones with the largest texts first. `others` are the bits
+    of the sizes that are left, those of `sizes` if not given."""
     n = len(sizes)
-    tail = [0] * (n + 1)
-    for i in range(n - 1, -1, -1):
-        tail[i] = tail[i + 1] + sizes[i]
-    steps = 0
-    limit = waste
-
-    def grow(at: int, left: int, taken: tuple[int, ...]) -> bool:
-        nonlocal steps, limit
-        steps += 1
-        if steps > 400:
-            return True
-        at = bisect.bisect_left(keys, -left, at)  # the first that fits
-        if at >= n or not left:
-            if left <= limit:
-                found.append((left, taken))
-                if len(found) >= width:
-                    found.sort()
-                    del found[width:]
-                    limit = min(limit, found[-1][0])
-            return left == 0
-        if tail[at] < left - limit:
-            return False
-        previous = -1
-        for i in range(at, n):
-            if sizes[i] == previous:
-                continue  # equal sizes are equal choices
-            previous = sizes[i]
-            if tail[i] < left - limit:
+    keys = [-s for s in sizes]
+    tail = [0, *accumulate(reversed(sizes))][::-1]
+    others = _bits(sizes) if others is None else others
+    budget = budget or Budget()
+    below, bound = -1, min(waste, space // 1000)
+    while True:
+        path: list[tuple[int, int, int]] = []  # (place taken, space before it, least size passed over before it)
+        left, at, passed = space, bisect.bisect_left(keys, -space), space + 1
+        while budget.left > 0:
+            budget.left -= 1
+            if at < n and left and tail[at] >= left - bound:
+                path.append((at, left, passed))
+                left -= sizes[at]
+                at = bisect.bisect_left(keys, -left, at + 1)
+                continue
+            if below < left <= bound and passed > left and (at >= n or not left):
+                own = [sizes[i] for i, *_ in path]
+                if not dominated(own, left, others & ~_bits(own)):
+                    yield [i for i, *_ in path]
+            if not path:
                 break
-            if grow(i + 1, left - sizes[i], (*taken, i)):
-                return True
-        return False
+            i, left, passed = path.pop()  # the next choice is a smaller text, as equal sizes are equal choices
+            passed = min(passed, sizes[i])
+            at = bisect.bisect_right(keys, keys[i], i + 1)
+        if bound >= waste or budget.left <= 0:
+            return
+        below, bound = bound, min(waste, 2 * bound + 1)
 
-    keys = [-s for s in sizes]
-    grow(0, space, ())
-    found.sort()
-    out: list[list[int]] = []
-    seen: set[tuple[int, ...]] = set()
-    for _, taken in found:
-        shape = tuple(sizes[i] for i in taken)
-        dominated = any(len(o) <= len(shape) and all(a >= b for a, b in zip(o, shape, strict=False)) and sum(o) > sum(shape) for o in seen)
-        if shape not in seen and not dominated:
-            seen.add(shape)
-            out.append(list(taken))
-    return out
+
+def completions(sizes: list[int], space: int, waste: int, width: int) -> list[list[int]]:
+    """The first `width` of the undominated fillings, the fullest of these first."""
+    found = islice(undominated(sizes, space, waste), width)
+    return sorted(found, key=lambda taken: -sum(sizes[i] for i in taken))
 
 
-def bin_completion(sizes: list[int], capacity: int, nodes: int = NODES) -> list[list[int]]:
+def bin_completion(sizes: list[int], capacity: int, steps: int = STEPS) -> list[list[int]]:
     """Containers (lists of indices) for texts that each fit the capacity."""
     best = best_fit(sizes, capacity)
     total = sum(sizes)
     least = max(-(-total // capacity), sum(2 * s > capacity for s in sizes))
-    order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
     if len(best) <= least or not sizes:
         return best
-    spent = 0
-    # each level holds what is left to pack and the fillings of its container still to try
-    stack: list[tuple[list[int], list[list[int]], int]] = []
+    budget = Budget(steps * len(sizes))
+    many = Counter(sizes)
+    others = _bits(many)
+    # each level holds what was left to pack, the fillings of its container still to try, and the space unused before it
+    stack: list[tuple[list[int], Iterator[list[int]], int]] = []
     filled: list[list[int]] = []
-    left, used = order, 0
+    left, used = sorted(range(len(sizes)), key=lambda i: -sizes[i]), 0
 
-    def fillings(left: list[int], used: int) -> list[list[int]]:
+    def fillings(left: list[int], used: int) -> Iterator[list[int]]:
         allowed = (len(best) - 1) * capacity - total - used  # unused space that still beats the best
         if allowed < 0:
-            return []
-        rest = [sizes[i] for i in left[1:]]
-        sets = completions(rest, capacity - sizes[left[0]], allowed, WIDTH)
-        return [[left[0], *(left[k + 1] for k in s)] for s in sets]
+            return
+        first, rest = sizes[left[0]], left[1:]
+        free = others if many[first] > 1 else others & ~(1 << first)
+        for taken in undominated([sizes[i] for i in rest], capacity - first, allowed, free, budget):
+            yield [left[0], *(rest[k] for k in taken)]
 
     options = fillings(left, used)
     while True:
-        if options and spent < nodes:
-            spent += 1
-            take = options.pop(0)
+        take = next(options, None)
+        if take is not None:
             stack.append((left, options, used))
             filled.append(take)
             gone = set(take)
             used += capacity - sum(sizes[i] for i in take)
             left = [i for i in left if i not in gone]
+            for i in take:
+                many[sizes[i]] -= 1
+                if not many[sizes[i]]:
+                    others &= ~(1 << sizes[i])
             if not left:
                 if len(filled) < len(best):
                     best = [list(b) for b in filled]
-                options = []
                 if len(best) <= least:
                     return best
-                continue
-            options = fillings(left, used)
+                options = iter(())
+            else:
+                options = fillings(left, used)
+        elif not stack or budget.left <= 0:
+            # the containers filled so far and best fit for the rest may beat the best
+            rest = best_fit([sizes[i] for i in left], capacity)
+            if len(filled) + len(rest) < len(best):
+                best = [*map(list, filled), *[[left[k] for k in b] for b in rest]]
+            return best
         else:
-            if not stack or spent >= nodes:
-                # the containers filled so far and best fit for the rest may beat the best
-                rest = best_fit([sizes[i] for i in left], capacity)
-                if len(filled) + len(rest) < len(best):
-                    best = [*map(list, filled), *[[left[k] for k in b] for b in rest]]
-                return best
             left, options, used = stack.pop()
-            filled.pop()
+            for i in filled.pop():
+                many[sizes[i]] += 1
+                others |= 1 << sizes[i]
 
 
 def pack_group(sizes: list[int], kinds: list[tuple[str, int]]) -> list[tuple[str, int, list[int]]]:
@@ -220,7 +249,10 @@ def _in_groups(items: DataFrame, total: int, salt: int) -> DataFrame:
 def pack(docs: DataFrame, containers: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """(container, capacity_tokens, bin_id, bin_tokens, doc_id, piece_no, start_token, tokens): each text of
     `docs` (doc_id, text) in its container. Pieces of a divided text are numbered from 1; whole texts have 0."""
-    kinds = [(r["container"], r["capacity_tokens"]) for r in containers.where("capacity_tokens > 0").distinct().orderBy("capacity_tokens", "container").limit(1000).collect()]
+    named = containers.where("capacity_tokens > 0").select("container", "capacity_tokens").distinct()
+    kinds = sorted(((r["container"], r["capacity_tokens"]) for r in named.limit(MOST_KINDS + 1).collect()), key=lambda k: (k[1], k[0] or ""))
+    if len(kinds) > MOST_KINDS:
+        raise ValueError(f"more than {MOST_KINDS} kinds of container")
     spark = docs.sparkSession
     if not kinds:
         return spark.createDataFrame([], _PACKED)

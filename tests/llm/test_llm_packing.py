@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 from itertools import combinations
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -76,3 +77,29 @@ def test_operator(spark, rows):
     assert sum(r["doc_id"] == 5 for r in got) == 2 and not any(r["doc_id"] == 3 for r in got)
     assert rows(P.pack(docs.limit(0), kinds)) == [] and rows(P.pack(docs, kinds.limit(0))) == []
     assert P.fill_report(P.pack(docs, kinds)).count() >= 1
+
+
+@given(st.lists(st.integers(1, 15), min_size=1, max_size=9), st.integers(1, 20), st.integers(0, 20))
+@settings(max_examples=200, deadline=None)
+def test_every_undominated_filling_is_enumerated(sizes, space, waste):
+    sizes = sorted(sizes, reverse=True)
+    got = [tuple(sizes[i] for i in taken) for taken in P.undominated(sizes, space, waste)]
+    assert len(got) == len(set(got))
+    want = set()
+    for n in range(len(sizes) + 1):
+        for taken in combinations(range(len(sizes)), n):
+            own = [sizes[i] for i in taken]
+            left = space - sum(own)
+            out = {s for i, s in enumerate(sizes) if i not in taken} - set(own)
+            sub = {sum(c) for k in range(n + 1) for c in combinations(own, k)}
+            fits = any(i not in taken and s <= left for i, s in enumerate(sizes))
+            if 0 <= left <= waste and not fits and not any(0 <= x - s <= left for x in out for s in sub):
+                want.add(tuple(own))
+    assert set(got) == want
+
+
+def test_too_many_kinds_are_an_error(spark):
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id bigint, text string")
+    kinds = spark.range(P.MOST_KINDS + 1).selectExpr("cast(id as string) container", "cast(id + 1 as int) capacity_tokens")
+    with pytest.raises(ValueError, match="kinds"):
+        P.pack(docs, kinds)
