@@ -1,7 +1,7 @@
 """Several values packed in one field: dialects chosen by minimum description length.
 
-A dialect is a set of separators and a quoting. Every distinct field is parsed under each
-dialect its characters allow; equal parses count as one. A parse costs the bits of its
+A dialect is any set of the separators that occur in a field, and a quoting. Every distinct
+field is parsed under each dialect its characters allow; equal parses count as one. A parse costs the bits of its
 dialect plus, for each value, the cheaper of the value's code (``-log2`` of its share in
 the values of the whole table) and its spelling, where a separator or quote left inside
 a bare value is dear. Code lengths come from all fields: first every parse counts with
@@ -119,9 +119,7 @@ def parses(field: str) -> list[tuple[str, float, list[tuple[str, bool]]]]:
     """(dialect, its bits, values) of every different parse, simple dialects first."""
     body = _inside(field)
     seps = [k for k, p in _found.items() if p.search(body)]
-    sets = [c for r in range(min(3, len(seps)) + 1) for c in combinations(seps, r)]
-    if len(seps) > 3:
-        sets.append(tuple(seps))
+    sets = [c for r in range(len(seps) + 1) for c in combinations(seps, r)]
     marks = [q for q in QUOTES if re.search(re.escape(q[0]) + ".*" + re.escape(q[1]), body, re.S)]
     seen, out = set(), []
     for s in sets:
@@ -144,17 +142,25 @@ def spelling_bits(value: str, quoted: bool) -> float:
     return plain + (MARK_BITS - CHAR_BITS) * len(_marks.findall(value))
 
 
-_PARSES = "field string, n bigint, k int, no int, dialect string, bits double, vals array<string>, spelled array<double>"
+_PARSES = "fid binary, n bigint, k int, no int, dialect string, bits double, vals array<string>, spelled array<double>"
+
+
+#: Characters of parses that are gathered before they are sent on.
+CHARS_OUT = 4_000_000
 
 
 def _parse_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = ["field", "n", "k", "no", "dialect", "bits", "vals", "spelled"]
+    names = ["fid", "n", "k", "no", "dialect", "bits", "vals", "spelled"]
     for pdf in batches:
-        rows = []
-        for field, n in zip(pdf["field"], pdf["n"], strict=True):
+        rows, chars = [], 0
+        for fid, field, n in zip(pdf["fid"], pdf["field"], pdf["n"], strict=True):
             found = parses(field)
             for no, (dialect, bits, values) in enumerate(found):
-                rows.append((field, n, len(found), no, dialect, bits, [v for v, _ in values], [spelling_bits(*v) for v in values]))
+                rows.append((fid, n, len(found), no, dialect, bits, [v for v, _ in values], [spelling_bits(*v) for v in values]))
+                chars += 2 * len(field)
+                if chars > CHARS_OUT:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, chars = [], 0
         yield pd.DataFrame(rows, columns=names)
 
 
@@ -167,31 +173,33 @@ def _codes(values: DataFrame) -> DataFrame:
 
 def _cheapest(parsed: DataFrame, codes: DataFrame) -> DataFrame:
     """For each ambiguous field the number of its cheapest parse."""
-    v = parsed.where("k > 1").select("field", "no", "bits", F.explode_outer(F.arrays_zip("vals", "spelled")).alias("v"))
-    v = v.select("field", "no", "bits", F.col("v.vals").alias("value"), F.col("v.spelled").alias("spelled"))
+    v = parsed.where("k > 1").select("fid", "no", "bits", F.explode_outer(F.arrays_zip("vals", "spelled")).alias("v"))
+    v = v.select("fid", "no", "bits", F.col("v.vals").alias("value"), F.col("v.spelled").alias("spelled"))
     v = v.join(codes, "value", "left")
     # a value that stands in few fields pays its spelling as well, shared by those fields
     known = F.col("code") + F.col("spelled") / F.greatest(F.col("w"), F.lit(1.0))
     cost = F.when(F.col("value").isNull(), 0.0).otherwise(F.least(F.coalesce(known, F.col("spelled")), F.col("spelled") + 4))
-    c = v.groupBy("field", "no").agg((F.first("bits") + F.sum(cost)).alias("cost"))
-    return c.groupBy("field").agg(F.min(F.struct("cost", "no")).alias("best")).select("field", F.col("best.no").alias("no"))
+    c = v.groupBy("fid", "no").agg((F.first("bits") + F.sum(cost)).alias("cost"))
+    return c.groupBy("fid").agg(F.min(F.struct("cost", "no")).alias("best")).select("fid", F.col("best.no").alias("no"))
 
 
 def split_packed(df: DataFrame, key: str, field: str, rounds: int = 2) -> DataFrame:
     """(key, pos, value, dialect): the values of `field`, one a row, in their order."""
-    rows = df.select(F.col(key).alias("key"), F.col(field).alias("field")).where(r"field is not null and field rlike '\\S'").distinct()
-    fields = rows.groupBy("field").agg(F.count("*").alias("n"))
+    rows = df.select(F.col(key).alias("key"), F.col(field).alias("field")).where(r"field is not null and field rlike '\\S'")
+    # a field is known by its digest, so that a long one isn't carried along with each of its values
+    rows = rows.withColumn("fid", F.unhex(F.md5("field")))
+    fields = rows.groupBy("fid").agg(F.first("field").alias("field"), F.countDistinct(F.struct("key")).alias("n"))
     # small rows, dear to parse: spread over all cores whatever their bytes
-    fields = fields.repartition(3 * cores(df.sparkSession), "field")
+    fields = fields.repartition(3 * cores(df.sparkSession), "fid")
     parsed = materialize(fields.mapInPandas(_parse_all, _PARSES), "packed")
     single = parsed.where("k = 1")
-    pick = parsed.select("field", "no", "vals", (F.col("n") / F.col("k")).alias("w"))
+    pick = parsed.select("fid", "no", "vals", (F.col("n") / F.col("k")).alias("w"))
     best = None
     for _ in range(rounds):
         values = pick.select(F.explode("vals").alias("value"), "w")
         best = _cheapest(parsed, _codes(values))
-        taken = parsed.join(best, ["field", "no"])
-        pick = single.unionByName(taken).select("field", "no", "vals", F.col("n").cast("double").alias("w"))
-    chosen = single.unionByName(taken).select("field", "vals", "dialect")
-    out = rows.join(chosen, "field").select("key", "dialect", F.posexplode("vals").alias("pos", "value"))
+        taken = parsed.join(best, ["fid", "no"])
+        pick = single.unionByName(taken).select("fid", "no", "vals", F.col("n").cast("double").alias("w"))
+    chosen = single.unionByName(taken).select("fid", "vals", "dialect")
+    out = rows.select("key", "fid").distinct().join(chosen, "fid").select("key", "dialect", F.posexplode("vals").alias("pos", "value"))
     return out.select("key", (F.col("pos") + 1).cast("int").alias("pos"), "value", "dialect")

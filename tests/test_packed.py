@@ -53,3 +53,15 @@ def test_code_lengths_decide(spark, rows):
     known = [(i, '"Lodge, part 2"') for i in range(40)] + [(50 + i, "draft") for i in range(20)] + [(80 + i, "Anker") for i in range(20)]
     df = spark.createDataFrame([*known, (200, "Lodge, part 2; draft; Anker")], "id bigint, tags string")
     assert [r[2] for r in sorted(rows(P.split_packed(df, "id", "tags").where("key = 200").select("key", "pos", "value")))] == ["Lodge, part 2", "draft", "Anker"]
+
+
+def test_every_set_of_separators_is_tried():
+    field = "a,b;c|d\te\nf"
+    tried = {d for d, *_ in P.parses(field)}
+    assert len(tried) == 2**5 and {"comma+semicolon+bar+tab", "comma+semicolon+bar+tab+line"} <= tried
+
+
+def test_a_long_field_under_many_dialects(spark, rows):
+    field = "; ".join(f"tag {i}, x | y / z" for i in range(3000))
+    df = spark.createDataFrame([(1, field)], "id bigint, tags string")
+    assert P.split_packed(df, "id", "tags").count() >= 3000
