@@ -15,7 +15,8 @@ shard of all texts would need each text to pass every shard: quadratic work, and
 broadcasts that grow with the data.) Equal contexts of a shard go through it once. A
 shard of more than `SHARD` contexts, such as a short phrase that a third of all texts
 have, is resolved by equality instead: all stretches of `least` characters around the
-anchor are hashed, and contexts with equal ones are linked.
+anchor are hashed, and contexts with equal ones, compared by their characters, are linked.
+:func:`pairs_by_broadcast` is the method without anchors, for bounded tables.
 
 Defined results for odd input: null texts, null ids and texts shorter than `least` share
 nothing; equal texts of that length share all; what a text shares with itself doesn't
@@ -26,8 +27,10 @@ in code points of the text as stored.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -356,6 +359,10 @@ def _large_shards(ctx: DataFrame, least: int) -> DataFrame:
     b = keys.select("h", "key", "off", F.col("cls").alias("cls_b"))
     links = a.join(b, ["h", "key", "off"]).where("cls_a <= cls_b")
     links = links.groupBy("h", "cls_a", "cls_b").agg(F.min("off").alias("lo"), (F.max("off") + least).alias("hi"))
+    # equal sums only propose: the characters decide
+    said = lambda x: classes.select("h", F.col("cls").alias(f"cls_{x}"), F.col("at").alias(f"at_{x}"), F.col("ctx").alias(f"ctx_{x}"))
+    part = lambda x: F.expr(f"substring(ctx_{x}, at_{x} + lo + 1, hi - lo)")
+    links = links.join(said("a"), ["h", "cls_a"]).join(said("b"), ["h", "cls_b"]).where(part("a") == part("b")).select("h", "cls_a", "cls_b", "lo", "hi")
     ma = members.select("h", F.col("cls").alias("cls_a"), F.col("doc_id").alias("x"), F.col("place").alias("px"))
     mb = members.select("h", F.col("cls").alias("cls_b"), F.col("doc_id").alias("y"), F.col("place").alias("py"))
     j = links.join(ma, ["h", "cls_a"]).join(mb, ["h", "cls_b"]).where("x != y and (cls_a != cls_b or x < y)")
@@ -369,6 +376,85 @@ def _large_shards(ctx: DataFrame, least: int) -> DataFrame:
     )
 
 
+#: Characters of reference texts that one broadcast automaton may hold; a shard beyond it is an error.
+BROADCAST_CHARS = 4_000_000
+
+_automata: dict[str, tuple] = {}
+
+
+def _automaton_of(name: str, texts: list[tuple[int, str]]) -> tuple:
+    """The automaton of a broadcast shard, built once a worker, and the numbers of its words."""
+    if name not in _automata:
+        _automata.clear()
+        number: dict[str, int] = {}
+        coded = [[number.setdefault(w, len(number)) for w in _words(t)] for _, t in texts]
+        sam = Automaton()
+        for c in coded:
+            last = 0
+            for word in c:
+                last = sam.add(word, last)
+        for i, c in enumerate(coded):
+            sam.own(c, 1 << i)
+        _automata[name] = sam, number
+    return _automata[name]
+
+
+def _share(one: str, two: str, least: int) -> bool:
+    """Whether two texts share `least` characters in a row, by all their stretches."""
+    have = {one[i : i + least] for i in range(len(one) - least + 1)}
+    return any(two[i : i + least] in have for i in range(len(two) - least + 1))
+
+
+def _streamer(shared, name: str, least: int):
+    core = max(1, least - 2 * LONG_WORD)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sam, number = _automaton_of(name, shared.value)
+        for pdf in batches:
+            found = []
+            for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+                ws = _words(text)
+                at = [0, *accumulate(map(len, ws))]
+                partners = 0
+                for j, (state, _) in enumerate(sam.statistics([number.get(w, -1) for w in ws])):
+                    s, end = state, at[j + 1]
+                    while (p := sam.link[s]) > 0 and end - at[j + 1 - sam.size[p]] >= core:
+                        s = p
+                    if sam.size[s] and end - at[j + 1 - min(sam.size[s], j + 1)] >= core:
+                        partners |= sam.owners[s]
+                while partners:
+                    low = partners & -partners
+                    partners ^= low
+                    other, theirs = shared.value[low.bit_length() - 1]
+                    if other < doc and _share(theirs, text, least):
+                        found.append((other, doc))
+            yield pd.DataFrame(found, columns=["doc_a", "doc_b"])
+
+    return run
+
+
+def pairs_by_broadcast(docs: DataFrame, least: int = LEAST, shard_chars: int = BROADCAST_CHARS) -> DataFrame:
+    """(doc_a, doc_b) of all pairs with `least` characters in common, by one broadcast automaton for each reference shard.
+
+    Every text passes every shard, so the work grows with the square of the texts: for bounded
+    tables only. It is the plain form of the method that :func:`shared_spans` applies to the
+    contexts of anchors, and its results are the same.
+    """
+    spark = docs.sparkSession
+    texts = materialize(docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & (F.length("text") >= least)).distinct(), "texts")
+    total = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    shards = max(1, -(-2 * total // shard_chars))
+    named = texts.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
+    out = spark.createDataFrame([], "doc_a bigint, doc_b bigint")
+    for n in range(shards):
+        part = named.where(F.col("shard") == n)
+        if (part.agg(F.sum(F.length("text"))).first()[0] or 0) > shard_chars:
+            raise ValueError("a reference shard is larger than a broadcast may be")
+        shared = spark.sparkContext.broadcast([(r["doc_id"], r["text"]) for r in part.select("doc_id", "text").collect()])
+        out = out.unionByName(texts.mapInPandas(_streamer(shared, uuid.uuid4().hex, least), "doc_a bigint, doc_b bigint"))
+    return out.distinct()
+
+
 def shared_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_a, doc_b, start_a, start_b, length): pieces of the spans that two of `docs`
     (doc_id, text) share, doc_a < doc_b, each around an anchor; see :func:`maximal_spans`."""

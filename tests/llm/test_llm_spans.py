@@ -102,3 +102,17 @@ def test_window_minima():
     x = np.random.default_rng(1).integers(0, 99, 57).astype(np.uint64)
     for w in (1, 5, 57):
         assert S.window_minima(x, w).tolist() == [x[i : i + w].min() for i in range(len(x) - w + 1)]
+
+
+def test_broadcast_automata_find_the_same_pairs(spark, rows):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(2, 40)))
+    spans = [" ".join(word() for _ in range(30))[:330] for _ in range(4)] + ["x" * 320]
+    texts = [" ".join([word(), *(rng.choice([s, s[5:310], word()]) for s in rng.sample(spans, 2)), word()]) for _ in range(40)]
+    df = spark.createDataFrame([*enumerate(texts), (90, None), (None, texts[0]), (91, ""), (0, texts[0])], "doc_id bigint, text string")
+    want = rows(S.sharing_pairs(df))
+    assert len(want) > 20 and rows(S.pairs_by_broadcast(df)) == want
+    assert rows(S.pairs_by_broadcast(df, shard_chars=2 * sum(map(len, texts)) // 3)) == want
+    with pytest.raises(ValueError, match="shard"):
+        S.pairs_by_broadcast(df, shard_chars=200)
+    assert rows(S.pairs_by_broadcast(df.limit(0))) == []
