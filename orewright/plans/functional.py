@@ -63,7 +63,7 @@ QUERIES = {
     "fn_moon": _cols(lambda x, y, la1, lo1, la2, lo2, ts: dict(lon=G.moon_lon(ts), lat=G.moon_lat(ts), dist=G.moon_dist(ts), phase=G.moon_phase(ts), illum=G.moon_illum(ts), age=G.moon_age(ts), dec=G.moon_dec(ts))),
     "fn_sunrise": lambda s, d: _r(_ev(s, d).select("event_id", G.sunrise(F.col("ts"), F.col("lat1"), F.col("lon1")).alias("rise"), G.sunset(F.col("ts"), F.col("lat1"), F.col("lon1")).alias("set"))),
     "fn_calculator": lambda s, d: _r(_ev(s, d).select("event_id", *[K.calc(t, {"x": F.col("x"), "y": F.col("y")}).alias(n) for n, t in (("a", "2 x^2 - sqrt(abs(y)) + log(100)"), ("b", "r = x + 1; pi r^2 / 2!"), ("c", "1 km + 200 m to mi"), ("d", "-y^2 + max(x, y, 3)"))])),
-    "fn_planets": lambda s, d: _r(_ev(s, d).select("event_id", *[P.planet(n, G.julian_day(F.col("ts")))[c].alias(f"{n}_{c}") for n, c in (("mars", "lon"), ("mars", "dist"), ("jupiter", "lon"), ("saturn", "dist"), ("venus", "lat"))])),
+    "fn_planets": lambda s, d: _r(_ev(s, d).select("event_id", *[P.planet(n, G.julian_day(F.col("ts")))[c].alias(f"{n}_{c}") for n, c in _PLANETS])),
     "fn_constants": lambda s, d: _r(_ev(s, d).crossJoin(F.broadcast(P.constants_table(s).where("name in ('pi', 'phi', 'g0', 'trit')"))).groupBy("name").agg(F.sum(F.col("y") * F.col("value")).alias("total")), 3, ("name",)),
     "fn_hex": lambda s, d: _int(s, d).select("event_id", G.hexdist(F.col("a"), F.col("b"), F.col("b"), F.col("a")).alias("dist"), F.size(G.hexdisk(F.col("a"), F.col("b"), 3)).alias("disk"), F.size(G.hexring(F.col("a"), F.col("b"), 3)).alias("ring"), G.h3parent(F.col("a"), F.col("b"))["q"].alias("pq"), G.h3parent(F.col("a"), F.col("b"))["r"].alias("pr")),
     "fn_hex_children": lambda s, d: _int(s, d).select("event_id", F.inline(G.h3children(F.col("a"), F.col("b")))),
@@ -99,7 +99,50 @@ _INT = "(SELECT event_id, event_id % 997 AS a, event_id % 360 + 1 AS b FROM even
 _MAT = "(SELECT event_id, event_id % 7 + 1.0::DOUBLE AS a, event_id % 5 + 0.5::DOUBLE AS b FROM events)"
 _DET = "(a * ((a + 3) * (a + b) - 1) - b * (b * (a + b) - 0.5) + 0.5 * (b - 0.5 * (a + 3)))"
 
+
+
+def _planets_sql(wanted: list[tuple[str, str]]) -> str:
+    """The planets' positions written as steps of one query: elements, Newton steps, vectors, pulls, view from the earth."""
+    names = sorted({n for n, _ in wanted})
+    ctes = [f"d0 AS (SELECT event_id, epoch_us(ts) / 86400000000.0 + 2440587.5 - {P.START} AS d FROM events)"]
+    els = ", ".join(f"{P.ORBITS[o][k][0]} + {P.ORBITS[o][k][1]} * d AS {o}_{k}" for o in ["sun", "jupiter", "saturn", *(n for n in names if n not in ("jupiter", "saturn"))] for k in ("node", "tilt", "peri", "axis", "ecc", "mean"))
+    ctes.append(f"e0 AS (SELECT event_id, {els} FROM d0)")
+    orbits = ["sun", *names]
+    ctes.append("k0 AS (SELECT *, " + ", ".join(f"radians({o}_mean) AS {o}_k0" for o in orbits) + " FROM e0)")
+    for i in range(1, 9):
+        step = ", ".join(f"{o}_k{i - 1} - ({o}_k{i - 1} - {o}_ecc * sin({o}_k{i - 1}) - radians({o}_mean)) / (1 - {o}_ecc * cos({o}_k{i - 1})) AS {o}_k{i}" for o in orbits)
+        ctes.append(f"k{i} AS (SELECT *, {step} FROM k{i - 1})")
+    # true anomaly and radius, then the angle from the node
+    ctes.append("v AS (SELECT *, " + ", ".join(f"{o}_axis * (1 - {o}_ecc * cos({o}_k8)) AS {o}_r, radians({o}_peri) + 2 * atan2(sqrt(1 + {o}_ecc) * sin({o}_k8 / 2), sqrt(1 - {o}_ecc) * cos({o}_k8 / 2)) AS {o}_u" for o in orbits) + " FROM k8)")
+    ctes.append(
+        "h AS (SELECT *, "
+        + ", ".join(
+            f"degrees(radians({o}_node) + atan2(sin({o}_u) * cos(radians({o}_tilt)), cos({o}_u))) AS {o}_l, degrees(asin(sin({o}_u) * sin(radians({o}_tilt)))) AS {o}_b"
+            for o in orbits
+        )
+        + " FROM v)"
+    )
+
+    def pull(n: str, what: str) -> str:
+        terms = P.PULLS.get(n, {}).get(what, [])
+        return "".join(f" + {a} * {w}(radians({j} * jupiter_mean + {s} * saturn_mean + {p}))" for a, w, j, s, p in terms)
+
+    ctes.append("p AS (SELECT *, " + ", ".join(f"{n}_l{pull(n, 'lon')} AS {n}_pl, {n}_b{pull(n, 'lat')} AS {n}_pb, {n}_r{pull(n, 'dist')} AS {n}_pr" for n in names) + " FROM h)")
+    xyz = ", ".join(
+        f"{n}_pr * cos(radians({n}_pb)) * cos(radians({n}_pl)) + sun_r * cos(radians(sun_l)) AS {n}_x, {n}_pr * cos(radians({n}_pb)) * sin(radians({n}_pl)) + sun_r * sin(radians(sun_l)) AS {n}_y, {n}_pr * sin(radians({n}_pb)) AS {n}_z"
+        for n in names
+    )
+    ctes.append(f"g AS (SELECT event_id, {xyz} FROM p)")
+    form = {
+        "lon": "(degrees(atan2({0}_y, {0}_x)) + 360) % 360", "lat": "degrees(atan2({0}_z, sqrt({0}_x * {0}_x + {0}_y * {0}_y)))", "dist": "sqrt({0}_x * {0}_x + {0}_y * {0}_y + {0}_z * {0}_z)",
+    }
+    return f"WITH {', '.join(ctes)} SELECT event_id, " + ", ".join(f"round({form[c].format(n)}, 6) AS {n}_{c}" for n, c in wanted) + " FROM g"
+
+
+_PLANETS = [("mars", "lon"), ("mars", "dist"), ("jupiter", "lon"), ("saturn", "dist"), ("saturn", "lat"), ("venus", "lat"), ("mercury", "lon"), ("uranus", "lon"), ("neptune", "dist")]
+
 SQL = {
+    "fn_planets": _planets_sql(_PLANETS),
     "fn_trig": _sql(sin="sin(x)", cos="cos(x)", tan_y="tan(y)", atan="atan(x)", atan2="atan2(y, x + 0.5)", sinh="(exp(y) - exp(-y)) / 2", cosh="(exp(y) + exp(-y)) / 2", tanh="(exp(2 * y) - 1) / (exp(2 * y) + 1)", asinh="ln(y + sqrt(y * y + 1))", sind="sin(radians(x))", cosd="cos(radians(x))", tand="tan(radians(y))", atan2d="degrees(atan2(y, x + 0.5))", rad="radians(x)", deg="degrees(y)"),
     "fn_inverse": _sql(asin="CASE WHEN abs(y) <= 1 THEN asin(y) END", acos="CASE WHEN abs(y) <= 1 THEN acos(y) END", acosh="CASE WHEN y >= 1 THEN ln(y + sqrt(y * y - 1)) END", atanh="CASE WHEN abs(y) < 1 THEN 0.5 * ln((1 + y) / (1 - y)) END", casin_re="CASE WHEN abs(y) > 1 THEN sign(y) * pi() / 2 ELSE asin(y) END", casin_im="CASE WHEN abs(y) > 1 THEN -sign(y) * ln(abs(y) + sqrt(y * y - 1)) ELSE 0 END"),
     "fn_log": _sql(ln="CASE WHEN y > 0 THEN ln(y) END", log="CASE WHEN y > 0 THEN log10(y) END", log2="CASE WHEN y > 0 THEN log2(y) END", log_base3="CASE WHEN y > 0 THEN ln(y) / ln(3) END", exp="exp(y)", sqrt="CASE WHEN y >= 0 THEN sqrt(y) END", csqrt_im="CASE WHEN y < 0 THEN sqrt(-y) ELSE 0 END", cln_im="CASE WHEN y < 0 THEN pi() WHEN y > 0 THEN 0 END", cbrt="cbrt(y)", hypot="sqrt(x * x + y * y)", pow="pow(abs(y), 1.5)"),

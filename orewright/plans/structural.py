@@ -67,6 +67,7 @@ QUERIES = {
     "page_links_resolved": lambda s, d: _pages(s, d).select("doc_id", "url", F.explode(W.hrefs(F.col("html"))).alias("href")).select("doc_id", W.resolve_url("url", "href").alias("target")),
     "page_text": lambda s, d: _pages(s, d).select("doc_id", F.md5(W.strip_html(F.col("html"))).alias("h")),
     "page_blocks": lambda s, d: W.clean_blocks(_pages(s, d), "doc_id", "html"),
+    "block_scores": lambda s, d: _block_scores(s, d),
     "robots_allowed": lambda s, d: W.robots_allowed(_paths(s, d), W.robots_rules(_robots(s, d), "orewright")),
     "simhash": lambda s, d: W.simhash_rows(table(s, d, "documents"), "doc_id", "text"),
     "simhash_lookup": lambda s, d: _lookup(s, d),
@@ -85,6 +86,13 @@ QUERIES = {
 }
 
 
+def _block_scores(s, d):
+    """Density of every paragraph; lines that begin with a bar make a table, a heading mark a heading."""
+    p = table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\\n\\s*\\n")).alias("no", "block"))
+    tag = F.when(F.rlike("block", F.lit("^#{1,6} ")), "h2").when(F.startswith("block", F.lit("|")), "table").when(F.startswith("block", F.lit("```")), "pre").otherwise("p")
+    return p.select("doc_id", "no", F.round(W.block_density(F.col("block"), tag, F.lit(0.0)), 5).alias("score"))
+
+
 def _lookup(s, d):
     fps = W.simhash_rows(table(s, d, "documents"), "doc_id", "text")
     return W.fingerprint_lookup(fps, fps.where("doc_id % 100 = 0"), "doc_id")
@@ -110,6 +118,22 @@ _LN = "SELECT {k}, unnest(range(1, len(l) + 1)) AS line_no, unnest(l) AS line FR
 _SP = "(SELECT DISTINCT id, full_text AS text FROM specs WHERE full_text IS NOT NULL)"
 _META = lambda n, a: f"nullif(trim(regexp_extract(head, '(?im)^\\*{{0,2}}(?:{n})\\s*:\\s*([^*\\n]+)\\*{{0,2}}\\s*$', 1)), '') AS {a}"
 
+_HAS = lambda words, text: " + ".join(f"CASE WHEN contains({text}, '{w}') THEN 1 ELSE 0 END" for w in words)
+_FEATURE_SQL = {
+    "words": "least(n / 24, 1)",
+    "variety": "len(list_distinct(low)) / n",
+    "code": f"least(6 * length(regexp_replace(t, '[^{{}}();=<>\\[\\]:|]', '', 'g')) / sz + least(len(list_filter(low, lambda x: x IN ({', '.join(repr(w) for w in sorted(W.CODE_WORDS))}))) / 6, 1), 1)",
+    "length": "least(sz / 200, 1)",
+    "heading": "CASE WHEN kind = 'h' THEN 1 ELSE 0 END",
+    "preformatted": "CASE WHEN kind = 'c' THEN 1 ELSE 0 END",
+    "table": "CASE WHEN kind = 't' THEN 1 ELSE 0 END",
+    "boilerplate": _HAS(W.JUNK, "lower(t)"),
+    "addresses": "len(list_filter(ws, lambda x: starts_with(x, 'http://') OR starts_with(x, 'https://'))) / n",
+    "fragment": "CASE WHEN n < 6 AND kind NOT IN ('h', 't') THEN 1 ELSE 0 END",
+    "gibberish": "CASE WHEN len(list_filter(ws, lambda x: length(regexp_replace(x, '[^\\p{L}\\p{N}]', '', 'g')) >= 0.6 * length(x))) / n < 0.3 AND kind NOT IN ('c', 't') THEN 1 ELSE 0 END",
+    "navigation": "0",
+}
+
 SQL = {
     "vector_cosine": _near_sql("list_cosine_similarity(q.v, x.v)", "DESC"),
     "vector_dot": _near_sql("list_inner_product(q.v, x.v)", "DESC"),
@@ -123,6 +147,11 @@ SQL = {
     "page_text": f"""WITH p AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript)\\b.*?</(script|style|noscript)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g') AS h FROM {_PAGE})
 SELECT doc_id, md5(trim(regexp_replace({_ENT}, '\\s+', ' ', 'g'))) AS h FROM p""",
     "robots_allowed": "SELECT 'h' AS host, '/' || path AS path, CASE WHEN starts_with(path, 'tools/bum/') THEN true WHEN starts_with(path, 'tools/') THEN false WHEN regexp_matches(path, '^crates/.*/attic/') THEN false ELSE true END AS allowed FROM source_files",
+    "block_scores": f"""WITH p AS (SELECT doc_id, unnest(range(len(l)))::INT AS no, unnest(l) AS block FROM (SELECT doc_id, regexp_split_to_array(text, '\\n\\s*\\n') AS l FROM documents WHERE text IS NOT NULL)),
+b AS (SELECT doc_id, no, regexp_replace(block, '^\\s+|\\s+$', '', 'g') AS t, CASE WHEN regexp_matches(block, '^#{{1,6}} ') THEN 'h' WHEN starts_with(block, '|') THEN 't' WHEN starts_with(block, '```') THEN 'c' ELSE 'p' END AS kind FROM p),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '\\s+'), lambda x: x != '') AS ws FROM b),
+f AS (SELECT *, len(ws)::DOUBLE AS n, length(t)::DOUBLE AS sz, list_transform(ws, lambda x: lower(x)) AS low FROM w)
+SELECT doc_id, no, CASE WHEN t = '' THEN 0.0 ELSE round({" + ".join(f"{v} * ({_FEATURE_SQL[k]})" for k, v in W.FEATURES.items())}, 5) END AS score FROM f""",
     "exact_duplicates": "SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(text)) AS canonical FROM documents WHERE text IS NOT NULL",
     "near_duplicates": r"""WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS t FROM documents WHERE text IS NOT NULL),
 sh AS MATERIALIZED (SELECT DISTINCT doc_id, CASE WHEN len(t) < 5 THEN array_to_string(t, ' ') ELSE array_to_string(t[i:i + 4], ' ') END AS s FROM (SELECT doc_id, t, unnest(range(1, greatest(len(t) - 3, 2))) AS i FROM t WHERE len(t) > 0)),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -33,10 +34,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; where that is unset
-    (tests, a single machine) a temporary folder is made and set for the session."""
+    """The folder all executors share, from spark.checkpoint.dir. Where that is unset and all runs
+    on one machine (tests), a temporary folder is made and set for the session; on a cluster
+    it is an error, as each machine would write to a folder of its own and read back a part."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local"):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         at = "file://" + tempfile.mkdtemp(prefix="orewright-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -46,7 +51,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage of `df` by writing it to the shared folder and reading it again.
 
     The written table survives the loss of executors, and what follows doesn't
-    compute it a second time. The folder is removed when the driver ends.
+    compute it a second time. The folder is removed by :func:`release`, or when the driver ends.
     """
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/orewright/{name}-{uuid.uuid4().hex}"
@@ -59,16 +64,15 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 @atexit.register
-def _clean() -> None:
-    for spark, at in _written:
+def release() -> None:
+    """Removes all written tables. Long sessions call it between queries, when nothing made from them is still to run."""
+    while _written:
+        spark, at = _written.pop()
         try:
-            jvm, path = spark.sparkContext._jvm, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-            del jvm
         except Exception:  # the session is gone; a local folder can still be removed
             if at.startswith("file:"):
-                import shutil
-
                 shutil.rmtree(at.removeprefix("file://"), ignore_errors=True)
 
 
@@ -76,4 +80,4 @@ def cores(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
 
 
-__all__ = ["DEFAULTS", "session", "table", "shared_dir", "materialize", "cores"]
+__all__ = ["DEFAULTS", "session", "table", "shared_dir", "materialize", "release", "cores"]

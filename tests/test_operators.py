@@ -461,3 +461,71 @@ def test_calculator_refuses(spark, text):
 
     with pytest.raises(ValueError):
         calc(text)
+
+
+def test_planets_against_the_almanac(spark):
+    """Mars at its opposition of 2003, and all planets at noon on 1 January 2000."""
+    from orewright.functions import planets as P
+
+    day = spark.createDataFrame([(2452879.91,), (2451545.0,), (None,)], "jd double")
+    known = {"mercury": (271.89, 1.4155), "venus": (241.57, 1.1376), "mars": (327.97, 1.8496), "jupiter": (25.25, 4.6213), "saturn": (40.40, 8.6520), "uranus": (314.81, 20.727), "neptune": (303.19, 31.024), "earth": (280.37, 0.9833)}
+    for name, (lon, dist) in known.items():
+        near, then, none = [r[0] for r in day.select(P.planet(name, day["jd"])).collect()]
+        assert abs(then["lon"] - lon) < 0.1 and abs(then["dist"] - dist) < 0.05 and none["lon"] is None
+        if name == "mars":
+            assert abs(near["dist"] - 0.3727) < 0.001
+    with pytest.raises(ValueError, match="vulcan"):
+        P.planet("vulcan", day["jd"])
+
+
+def test_keplers_equation(spark):
+    from orewright.functions import planets as P
+
+    df = spark.range(0, 200).selectExpr("double(id) * 0.2D - 20D AS m", "(id % 21) / 100.0D AS e")
+    for r in df.select("m", "e", P.eccentric(df["m"], df["e"]).alias("big")).collect():
+        assert abs(r["big"] - r["e"] * math.sin(r["big"]) - r["m"]) < 1e-12
+
+
+def test_components_of_a_long_path(spark):
+    n = 3000
+    links = spark.range(n).selectExpr("id AS x", "id + 1 AS y")
+    got = web.components(links)
+    assert got.count() == n + 1 and got.where("class_id != 0").count() == 0
+
+
+def test_no_shared_folder_on_a_cluster_is_an_error():
+    from types import SimpleNamespace as N
+
+    from orewright.session import shared_dir
+
+    def fake(master, at=None):
+        return N(conf=N(get=lambda *_: at), sparkContext=N(master=master, getConf=lambda: N(get=lambda *_: None)))
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(fake("spark://host:7077"))
+    assert shared_dir(fake("yarn", "hdfs://name/shared/")) == "hdfs://name/shared"
+
+
+def test_release_removes_written_tables(spark, tmp_path):
+    from pathlib import Path
+
+    from orewright import session
+
+    df = session.materialize(spark.range(5), "five")
+    at = Path(df.inputFiles()[0].removeprefix("file://")).parent
+    assert df.count() == 5 and at.exists()
+    session.release()
+    assert not at.exists()
+
+
+def test_a_broken_llm_module_is_no_missing_one(monkeypatch):
+    import __spark_entry__ as entry
+
+    def broken(name):
+        raise ModuleNotFoundError("no module", name="tiktoken")
+
+    monkeypatch.setattr(entry, "import_module", broken)
+    with pytest.raises(ModuleNotFoundError):
+        entry.queries()
+    monkeypatch.setattr(entry, "import_module", lambda name: (_ for _ in ()).throw(ModuleNotFoundError("gone", name="orewright.llm")))
+    assert "p3_found" not in entry.queries() and "resonance_hits" in entry.queries()
