@@ -21,64 +21,76 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PERIODS = "array<struct<s:timestamp_ntz,e:timestamp_ntz>>"
+
+
+BLANKS = " \t\n\x0b\f\r"
 
 
 def last_segment(c: Column) -> Column:
     """The name a call refers to: outer blanks and one trailing ``()`` or ``!`` left aside,
     then what follows the last ``::`` or ``.``; null if nothing is left."""
-    bare = F.trim(F.regexp_replace(F.regexp_replace(c, r"^\s+|\s+$", ""), r"\s*(\(\)|!)$", ""))
-    name = F.trim(F.regexp_replace(bare, r"^.*(::|\.)", ""))
+    bare = F.btrim(c, F.lit(BLANKS))
+    bare = F.when(F.endswith(bare, F.lit("()")), F.left(bare, F.length(bare) - 2)).when(F.endswith(bare, F.lit("!")), F.left(bare, F.length(bare) - 1)).otherwise(bare)
+    name = F.btrim(F.substring_index(F.substring_index(bare, "::", -1), ".", -1), F.lit(BLANKS))
     return F.when(name != "", name)
 
 
 def same_path(c: Column) -> Column:
     """One spelling for a path: forward slashes, none doubled, no ``.`` segments; null if empty."""
-    slashed = F.regexp_replace(F.trim(F.translate(c, "\\", "/")), "/{2,}", "/")
-    inner = F.regexp_replace(slashed, r"(^|/)(\./)+", "$1")
-    path = F.regexp_replace(inner, r"(?<=.)/\.$", "")
+    plain = F.trim(F.translate(c, "\\", "/"))
+    inner = F.regexp_replace(F.regexp_replace(plain, "/{2,}", "/"), r"(^|/)(\./)+", "$1")
+    path = F.when(F.contains(plain, F.lit("//")) | F.contains(plain, F.lit("./")) | F.endswith(plain, F.lit("/.")), F.regexp_replace(inner, r"(?<=.)/\.$", "")).otherwise(plain)
     return F.when((path != "") & (path != "."), path)
 
 
-def parent_periods(parents: DataFrame, key: Column, start: Column, end: Column) -> DataFrame:
-    """(key, periods, opens): the disjoint periods of each key in order.
+FAR = "9999-12-31 00:00:00"
 
-    Periods are reduced before they meet: of equal starts the latest end, and nothing
-    that starts after a period which never ends. What is left of one key is the number
-    of times it went away, not the number of its records.
-    """
-    p = parents.select(key.alias("key"), start.cast("timestamp_ntz").alias("s"), end.cast("timestamp_ntz").alias("e")).where("key is not null and s is not null")
-    p = p.groupBy("key", "s").agg(F.when(F.count("*") == F.count("e"), F.max("e")).alias("e"))
-    opens = p.where("e is null").groupBy("key").agg(F.min("s").alias("open_s"))
-    p = p.join(opens, "key", "left").where("open_s is null or s <= open_s")
-    w = Window.partitionBy("key").orderBy("s")
-    far = F.lit("9999-12-31 00:00:00").cast("timestamp_ntz")
-    reach = F.max(F.coalesce("e", far)).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    p = p.withColumn("e", F.coalesce("e", far)).withColumn("new", F.when(F.col("s") > reach, 1).when(reach.isNull(), 1).otherwise(0))
+
+def _merged(p: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The periods (s, e) of each of `keys`, those that overlap or touch made one."""
+    w = Window.partitionBy(*keys).orderBy("s")
+    reach = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    p = p.withColumn("new", F.when(reach.isNull() | (F.col("s") > reach), 1).otherwise(0))
     p = p.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    p = p.groupBy("key", "run").agg(F.min("s").alias("s"), F.max("e").alias("e"))
-    return p.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("periods"))
+    return p.groupBy(*keys, "run").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("run")
 
 
-def dangling(
-    refs: DataFrame, key: Column, at: Column, keep: Sequence[str], parents: DataFrame, known: DataFrame | None = None
-) -> DataFrame:
-    """Each dangling reference of `refs` with the columns `keep`, ``ref_key``, ``t`` and ``state``.
+def parent_periods(parents: DataFrame, key: Column, start: Column, end: Column, *more: str) -> DataFrame:
+    """(*more, key, periods): the disjoint periods of each key in order.
 
-    `parents` comes from :func:`parent_periods`; `known` has in ``key`` the keys that are
-    no case. Only the distinct keys with their first and last time meet the parents. Keys
-    alive all that time are dropped there, so a hot sound key never takes part in the
-    join back, and a hot broken one is split by the adaptive skew join.
+    Periods are reduced before they meet: of equal starts the latest end, nothing that
+    starts after a period which never ends, and those of one month are merged first, so a
+    hot key is spread over its months. What is left of one key is the number of times it
+    went away, not the number of its records.
     """
-    r = refs.select(*keep, key.alias("ref_key"), at.cast("timestamp_ntz").alias("t")).where("ref_key is not null")
-    keys = r.groupBy("ref_key").agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.max(F.col("t").isNull()).alias("untimed"))
+    keys = [*more, "key"]
+    p = parents.select(*more, key.alias("key"), start.cast("timestamp_ntz").alias("s"), end.cast("timestamp_ntz").alias("e")).where("key is not null and s is not null")
+    p = p.groupBy(*keys, "s").agg(F.when(F.count("*") == F.count("e"), F.max("e")).alias("e"))
+    opens = p.where("e is null").groupBy(*keys).agg(F.min("s").alias("open_s"))
+    p = p.join(opens, keys, "left").where("open_s is null or s <= open_s")
+    p = p.select(*keys, F.date_trunc("month", "s").alias("month"), "s", F.coalesce("e", F.lit(FAR).cast("timestamp_ntz")).alias("e"))
+    p = _merged(_merged(p, [*keys, "month"]).drop("month"), keys)
+    return p.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("periods"))
+
+
+def dangling(refs: DataFrame, parents: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """The dangling rows of `refs` (ref_field, ref_key, t and others) with their ``state``.
+
+    `parents` has in (ref_field, ref_key, periods) what :func:`parent_periods` gives, `known` in
+    (ref_field, ref_key) the keys that are no case. Only the distinct keys, with their first and
+    last time, meet the parents: keys that one period holds at every time at which they are
+    named fall out in an anti-join, so a hot sound key never takes part in the join back, and a
+    hot broken one is split by the adaptive skew join.
+    """
+    on = ["ref_field", "ref_key"]
+    r = refs.where("ref_key is not null")
+    keys = r.groupBy(*on).agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
     if known is not None:
-        keys = keys.join(known.select(F.col("key").alias("ref_key")).where("ref_key is not null").distinct(), "ref_key", "left_anti")
-    held = keys.join(parents.withColumnRenamed("key", "ref_key"), "ref_key", "left")
-    # a sound key: one period holds every time at which the key is named
-    sound = F.col("periods").isNotNull() & (F.col("t0").isNull() | F.exists("periods", lambda p: (p["s"] <= F.col("t0")) & (F.col("t1") < p["e"])))
-    broken = held.where(~F.coalesce(sound, F.lit(False))).select("ref_key", "periods")
-    j = r.join(broken, "ref_key")
+        keys = keys.join(known.select(*on).where("ref_key is not null").distinct(), on, "left_anti")
+    held = parents.select(F.col("ref_field").alias("f"), F.col("ref_key").alias("k"), F.explode("periods").alias("p"))
+    whole = F.col("t0").isNull() | ((F.col("p.s") <= F.col("t0")) & (F.col("t1") < F.col("p.e")))
+    broken = keys.join(held, (F.col("ref_field") == F.col("f")) & (F.col("ref_key") == F.col("k")) & whole, "left_anti")
+    broken = broken.select(*on).join(parents, on, "left")
     alive = F.exists("periods", lambda p: (p["s"] <= F.col("t")) & (F.col("t") < p["e"]))
     state = (
         F.when(F.col("periods").isNull(), "missing")
@@ -86,20 +98,25 @@ def dangling(
         .when(F.col("t") < F.element_at("periods", 1)["s"], "late")
         .otherwise("deleted")
     )
-    return j.withColumn("state", state).where("state is not null").drop("periods").distinct()
+    return r.join(broken, on).withColumn("state", state).where("state is not null").drop("periods")
 
 
-def call_orphans(calls: DataFrame, defs: DataFrame, files: DataFrame, externals: DataFrame) -> DataFrame:
-    """(call_id, ref_field, state, ref_key, t) of the dangling callees and files of `calls`."""
+def call_orphans(calls: DataFrame, defs: DataFrame, files: DataFrame, externals: DataFrame, distinct: bool = True) -> DataFrame:
+    """(call_id, ref_field, state, ref_key, t) of the dangling callees and files of `calls`; double rows of `calls` give theirs once, if `distinct`."""
     f = files.select("path", "indexed_at", "deleted_at")
-    lives = defs.select("symbol", "file", "scanned_at").join(f.select(F.col("path").alias("file"), "deleted_at").where("deleted_at is not null"), "file", "left")
-    named = parent_periods(lives, F.col("symbol"), F.col("scanned_at"), F.col("deleted_at"))
-    paths = parent_periods(f, same_path(F.col("path")), F.col("indexed_at"), F.col("deleted_at"))
-    known = externals.select(F.col("symbol").alias("key"))
-    t = F.col("scanned_at")
-    callee = dangling(calls, last_segment(F.col("callee")), t, ["call_id"], named, known).withColumn("ref_field", F.lit("callee"))
-    file = dangling(calls, same_path(F.col("file")), t, ["call_id"], paths).withColumn("ref_field", F.lit("file"))
-    return callee.unionByName(file)
+    ends = f.select(F.col("path").alias("file"), "deleted_at").where("deleted_at is not null")
+    named = defs.select("symbol", "file", "scanned_at").distinct().join(ends, "file", "left")
+    both = named.select(F.lit("callee").alias("ref_field"), F.col("symbol").alias("name"), F.col("scanned_at").alias("start"), F.col("deleted_at").alias("end")).unionByName(
+        f.select(F.lit("file").alias("ref_field"), same_path(F.col("path")).alias("name"), F.col("indexed_at").alias("start"), F.col("deleted_at").alias("end"))
+    )
+    parents = parent_periods(both, F.col("name"), F.col("start"), F.col("end"), "ref_field").withColumnRenamed("key", "ref_key")
+    known = externals.select(F.lit("callee").alias("ref_field"), F.col("symbol").alias("ref_key"))
+    named_by = F.array(
+        F.struct(F.lit("callee").alias("ref_field"), last_segment(F.col("callee")).alias("ref_key")), F.struct(F.lit("file").alias("ref_field"), same_path(F.col("file")).alias("ref_key"))
+    )
+    refs = calls.select("call_id", F.col("scanned_at").cast("timestamp_ntz").alias("t"), F.inline(named_by))
+    found = dangling(refs, parents, known).select("call_id", "ref_field", "state", "ref_key", "t")
+    return found.distinct() if distinct else found
 
 
 def orphan_counts(orphans: DataFrame) -> DataFrame:

@@ -9,12 +9,12 @@ from orewright.core import packed, references
 from orewright.session import table
 
 
-def _orphans(spark: SparkSession, sf: str) -> DataFrame:
-    return references.call_orphans(*(table(spark, sf, t) for t in ("calls", "defs", "source_files", "externals")))
+def _orphans(spark: SparkSession, sf: str, distinct: bool = True) -> DataFrame:
+    return references.call_orphans(*(table(spark, sf, t) for t in ("calls", "defs", "source_files", "externals")), distinct=distinct)
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _orphans(spark, sf).select("call_id", "ref_field", "state").distinct()
+    return _orphans(spark, sf, distinct=False).select("call_id", "ref_field", "state").distinct()
 
 
 def p2_counts(spark: SparkSession, sf: str) -> DataFrame:
