@@ -10,11 +10,11 @@ from orewright.operators import language as L
 from orewright.operators import resonance as R
 from orewright.operators import text as T
 from orewright.plans.textual import PHRASE
-from orewright.session import table
+from orewright.session import table, texts
 
 
 def _docs(s, d):
-    return table(s, d, "documents")
+    return texts(s, d, "documents")
 
 
 def _dens(s, d):
@@ -85,7 +85,7 @@ def _addresses(s, d):
 QUERIES = {
     "text_stems": lambda s, d: L.stemmed_vocabulary(T.vocabulary(_docs(s, d))),
     "text_mask_all": lambda s, d: _docs(s, d).where("text is not null").select("doc_id", F.md5(L.mask_column(F.concat("text", F.lit(" call +1 (555) 010-99-88 or a@b.example, card 4111111111111111111")))).alias("h")),
-    "query_intent": lambda s, d: table(s, d, "poler_chat").select("id", "question").distinct().select("id", L.intent_column("question").alias("intent")),
+    "query_intent": lambda s, d: texts(s, d, "poler_chat").select("id", "question").distinct().select("id", L.intent_column("question").alias("intent")),
     "text_quote": lambda s, d: _docs(s, d).where("text is not null").select("doc_id", L.quote_window(F.col("text"), "the pending anchors", 90).alias("quote")),
     "text_pieces": lambda s, d: L.corpus_pieces(_docs(s, d), "doc_id", "text").select("doc_id", "paragraph", "part", F.md5("piece").alias("h")),
     "script_affinity": lambda s, d: _docs(s, d).where("length(text) > 40").select("doc_id", L.script_of(F.substring("text", 30, 1)).alias("a"), L.script_of(F.substring("text", 40, 1)).alias("b")).select("doc_id", "a", "b", L.affinity(F.col("a"), F.col("b")).alias("affinity")),
@@ -97,8 +97,8 @@ QUERIES = {
     "chem_descriptors": lambda s, d: _smiles(s, d).select("p_partkey", CH.descriptors_column("smiles").alias("x")).select("p_partkey", "x.atoms", F.round("x.mass", 3).alias("mass"), "x.rings", "x.donors", "x.acceptors", "x.rotatable", "x.charge", "x.five"),
     "shape_relations": _relation,
     "cell_addresses": _addresses,
-    "content_chunks": lambda s, d: D.content_chunks(table(s, d, "source_files"), "path", "text", 1024, 4096, 16384),
-    "content_stored": lambda s, d: D.stored(D.content_chunks(table(s, d, "source_files"), "path", "text", 1024, 4096, 16384)),
+    "content_chunks": lambda s, d: D.content_chunks(texts(s, d, "source_files"), "path", "text", 1024, 4096, 16384),
+    "content_stored": lambda s, d: D.stored(D.content_chunks(texts(s, d, "source_files"), "path", "text", 1024, 4096, 16384)),
 }
 
 _DOC = "(SELECT * FROM documents WHERE text IS NOT NULL)"

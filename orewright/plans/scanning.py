@@ -7,17 +7,17 @@ from pyspark.sql import functions as F
 
 from orewright.operators import chunks as C
 from orewright.operators import text as T
-from orewright.session import table
+from orewright.session import table, texts
 
 NEEDLE = "residual error"
 
 
 def _docs(s, d):
-    return table(s, d, "documents")
+    return texts(s, d, "documents")
 
 
 def _specs(s, d):
-    return table(s, d, "specs").where("full_text is not null").select("id", F.col("full_text").alias("text")).distinct()
+    return texts(s, d, "specs").where("full_text is not null").select("id", F.col("full_text").alias("text")).distinct()
 
 
 def matched_lines(s, d):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from orewright.core.references import last_segment
 from orewright.operators import graph as G
 from orewright.operators import search as S
-from orewright.session import table
+from orewright.session import table, texts
 
 TERMS = {"lattice": 1.0, "heartbeat": 1.0, "journal": 1.0}
 LEXICON = {"lattice": [("решётки", 0.90), ("gitterkern", 0.70)], "journal": [("журнал", 0.90), ("lattice", 0.70)]}
@@ -16,7 +16,7 @@ SEED, PAIR = "push_hit", ["default", "new"]
 
 
 def _docs(s, d):
-    return table(s, d, "documents")
+    return texts(s, d, "documents")
 
 
 def edges(s, d):
@@ -53,7 +53,7 @@ def _links(s, d):
 
 
 def _files(s, d):
-    return table(s, d, "source_files").select(F.col("path").alias("id")).distinct()
+    return texts(s, d, "source_files").select(F.col("path").alias("id")).distinct()
 
 
 def _fused(s, d):
@@ -85,7 +85,7 @@ QUERIES = {
     "provenance_stats": lambda s, d: _docs(s, d).groupBy(S.provenance(F.col("source")).alias("provenance")).agg(F.count("*").alias("n"), F.countDistinct(F.lower(F.trim("source"))).alias("sources")),
     "min_provenance": lambda s, d: _docs(s, d).where(S.provenance(F.col("source")) == "mvr_verified").select("doc_id"),
     "snapshot_changes": lambda s, d: S.upsert(_docs(s, d).where("ingested_at < timestamp_ntz'2024-06-01 00:00:00'").select("doc_id", F.md5("text").alias("h")), _docs(s, d).where("ingested_at >= timestamp_ntz'2024-03-01 00:00:00'").select("doc_id", F.md5(F.concat("text", F.when(F.col("doc_id") % 10 == 0, "x").otherwise(""))).alias("h")), "doc_id", "h"),
-    "bigram_trits": lambda s, d: S.bigram_trits(table(s, d, "poler_notes").select("id", "title").distinct(), "id", "title"),
+    "bigram_trits": lambda s, d: S.bigram_trits(texts(s, d, "poler_notes").select("id", "title").distinct(), "id", "title"),
     "bigram_trits_corpus": lambda s, d: S.bigram_trits(_docs(s, d), "doc_id", "text").groupBy("trit").agg(F.count("*").alias("pairs"), F.sum("n").alias("n")),
     "graph_edges": edges,
     "graph_degrees": lambda s, d: G.degrees(edges(s, d)),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from orewright.operators import chunks as C
 from orewright.operators import vectors as V
 from orewright.operators import web as W
-from orewright.session import table
+from orewright.session import table, texts
 
 
 def _vec(s, d):
@@ -28,7 +28,7 @@ def _near(metric):
 
 def _pages(s, d):
     """Pages made of the documents."""
-    t = table(s, d, "documents").where("text is not null")
+    t = texts(s, d, "documents").where("text is not null")
     k = F.col("doc_id")
     page = F.concat(
         F.lit("<html><head><title>T</title><style>p { color: red }</style></head><body><!-- head --><nav class=\"menu\"><a href=\"/\">Home</a></nav><p>"),
@@ -44,11 +44,11 @@ def _robots(s, d):
 
 
 def _paths(s, d):
-    return table(s, d, "source_files").select(F.lit("h").alias("host"), F.concat(F.lit("/"), F.col("path")).alias("path"))
+    return texts(s, d, "source_files").select(F.lit("h").alias("host"), F.concat(F.lit("/"), F.col("path")).alias("path"))
 
 
 def _specs(s, d):
-    return table(s, d, "specs").where("full_text is not null").select("id", F.col("full_text").alias("text")).distinct()
+    return texts(s, d, "specs").where("full_text is not null").select("id", F.col("full_text").alias("text")).distinct()
 
 
 QUERIES = {
@@ -60,7 +60,7 @@ QUERIES = {
     "vector_codes": lambda s, d: V.encode(_vec(s, d), 64).select("vec_id", F.round("mu", 6).alias("mu"), F.round("delta", 5).alias("delta"), F.round("gamma", 6).alias("gamma"), F.bit_count(F.get("code", 0)).alias("bits")),
     "vector_quantised": lambda s, d: V.quantised_top_k(_vec(s, d), V.encode(_vec(s, d), 64), _queries(s, d), 64, 10).select("qid", "vec_id", "rank"),
     "vector_cells": lambda s, d: V.cell_search(_vec(s, d), _queries(s, d), 10).select("qid", "vec_id", "rank"),
-    "vector_hash_embedding": lambda s, d: V.hash_embed(table(s, d, "documents"), "doc_id", "text").select("doc_id", F.round(V.norm(F.col("embedding")), 4).alias("norm")),
+    "vector_hash_embedding": lambda s, d: V.hash_embed(texts(s, d, "documents"), "doc_id", "text").select("doc_id", F.round(V.norm(F.col("embedding")), 4).alias("norm")),
     "vector_label_means": lambda s, d: _vec(s, d).select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", "i").agg(F.round(F.avg(F.col("v").cast("double")), 5).alias("mean")),
     "page_links": lambda s, d: _pages(s, d).select("doc_id", F.explode(W.hrefs(F.col("html"))).alias("href")),
     "page_links_normalized": lambda s, d: _pages(s, d).select("doc_id", F.explode(W.hrefs(F.col("html"))).alias("href")).select("doc_id", W.normalize_url(F.col("href")).alias("url")).where("url is not null"),
@@ -69,32 +69,32 @@ QUERIES = {
     "page_blocks": lambda s, d: W.clean_blocks(_pages(s, d), "doc_id", "html"),
     "block_scores": lambda s, d: _block_scores(s, d),
     "robots_allowed": lambda s, d: W.robots_allowed(_paths(s, d), W.robots_rules(_robots(s, d), "orewright")),
-    "simhash": lambda s, d: W.simhash_rows(table(s, d, "documents"), "doc_id", "text"),
+    "simhash": lambda s, d: W.simhash_rows(texts(s, d, "documents"), "doc_id", "text"),
     "simhash_lookup": lambda s, d: _lookup(s, d),
-    "near_duplicates": lambda s, d: W.near_duplicates(table(s, d, "documents"), "doc_id", "text"),
-    "exact_duplicates": lambda s, d: W.exact_duplicates(table(s, d, "documents"), "doc_id", "text"),
+    "near_duplicates": lambda s, d: W.near_duplicates(texts(s, d, "documents"), "doc_id", "text"),
+    "exact_duplicates": lambda s, d: W.exact_duplicates(texts(s, d, "documents"), "doc_id", "text"),
     "chunks_markdown": lambda s, d: C.chunks(_specs(s, d), "id", "text"),
-    "chunks_code": lambda s, d: C.chunks(table(s, d, "source_files"), "path", "text", markdown=False, code=True),
+    "chunks_code": lambda s, d: C.chunks(texts(s, d, "source_files"), "path", "text", markdown=False, code=True),
     "chunks_fixed": lambda s, d: C.fixed_chunks(_specs(s, d), "id", "text", 500).select("id", "idx", F.md5("piece").alias("h")),
     "sections": lambda s, d: C.sections_of(_specs(s, d), "id", "text"),
     "paragraphs": lambda s, d: C.paragraph_rows(_specs(s, d), "id", "text"),
-    "sentence_counts": lambda s, d: table(s, d, "documents").where("text is not null").select("doc_id", C.sentence_count(F.col("text")).alias("n")),
-    "scene_cards": lambda s, d: C.scene_cards(table(s, d, "documents"), "doc_id", "text"),
-    "code_calls": lambda s, d: C.call_lines(table(s, d, "source_files"), "path", "text"),
-    "code_imports": lambda s, d: C.import_lines(table(s, d, "source_files"), "path", "text"),
-    "code_triage": lambda s, d: C.triage(table(s, d, "source_files"), "path", "text"),
+    "sentence_counts": lambda s, d: texts(s, d, "documents").where("text is not null").select("doc_id", C.sentence_count(F.col("text")).alias("n")),
+    "scene_cards": lambda s, d: C.scene_cards(texts(s, d, "documents"), "doc_id", "text"),
+    "code_calls": lambda s, d: C.call_lines(texts(s, d, "source_files"), "path", "text"),
+    "code_imports": lambda s, d: C.import_lines(texts(s, d, "source_files"), "path", "text"),
+    "code_triage": lambda s, d: C.triage(texts(s, d, "source_files"), "path", "text"),
 }
 
 
 def _block_scores(s, d):
     """Density of every paragraph; lines that begin with a bar make a table, a heading mark a heading."""
-    p = table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\\n\\s*\\n")).alias("no", "block"))
+    p = texts(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\\n\\s*\\n")).alias("no", "block"))
     tag = F.when(F.rlike("block", F.lit("^#{1,6} ")), "h2").when(F.startswith("block", F.lit("|")), "table").when(F.startswith("block", F.lit("```")), "pre").otherwise("p")
     return p.select("doc_id", "no", F.round(W.block_density(F.col("block"), tag, F.lit(0.0)), 5).alias("score"))
 
 
 def _lookup(s, d):
-    fps = W.simhash_rows(table(s, d, "documents"), "doc_id", "text")
+    fps = W.simhash_rows(texts(s, d, "documents"), "doc_id", "text")
     return W.fingerprint_lookup(fps, fps.where("doc_id % 100 = 0"), "doc_id")
 
 

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from orewright.functions import chem
 from orewright.operators import code as C
 from orewright.operators import vectors as V
-from orewright.session import table
+from orewright.session import table, texts
 
 
 def _files(s, d):
-    return table(s, d, "source_files")
+    return texts(s, d, "source_files")
 
 
 def scan_against_defs(s, d):
@@ -24,7 +24,7 @@ def scan_against_defs(s, d):
 
 
 def _phase(s, d):
-    t = table(s, d, "poler_notes").select("id", F.coalesce("title", F.lit("")).alias("title")).distinct()
+    t = texts(s, d, "poler_notes").select("id", F.coalesce("title", F.lit("")).alias("title")).distinct()
     return t.select("id", C.phase_vector("title").alias("v")).select("id", F.round(V.norm(F.col("v")), 6).alias("norm"), F.round(F.get("v", 0), 6).alias("v0"))
 
 

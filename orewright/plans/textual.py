@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from orewright.operators import resonance as R
 from orewright.operators import text as T
-from orewright.session import table
+from orewright.session import table, texts
 
 PHRASE, PAIR, PREFIX = "lattice kernel", "journal heartbeat", "bread"
 LITERAL, PATTERN = "lattice", r"within \d+ ms"
@@ -14,7 +14,7 @@ TERMS = ("anchor", "сегмент", "Zeiger")
 
 
 def _docs(spark, sf):
-    return table(spark, sf, "documents")
+    return texts(spark, sf, "documents")
 
 
 def _round(df, *cols, digits=6):
@@ -37,7 +37,7 @@ QUERIES = {
     "text_prefix": lambda s, d: T.prefix_tokens(_docs(s, d), PREFIX),
     "text_literal_prefilter": lambda s, d: _docs(s, d).where(T.has_literals(F.col("text"), ["journal", "heartbeat"])).select("doc_id"),
     "text_corpus_stats": lambda s, d: T.with_tokens(_docs(s, d)).agg(F.count("*").alias("texts"), F.sum(F.size("toks")).alias("tokens"), F.sum(F.octet_length("text")).alias("bytes")),
-    "grep_lines": lambda s, d: T.lines(table(s, d, "specs").distinct().select("id", F.col("full_text").alias("text")), "id").select("id", "line_no", "byte_offset", F.length("line").alias("n")),
+    "grep_lines": lambda s, d: T.lines(texts(s, d, "specs").distinct().select("id", F.col("full_text").alias("text")), "id").select("id", "line_no", "byte_offset", F.length("line").alias("n")),
     "grep_literal": lambda s, d: T.grep(_docs(s, d), LITERAL),
     "grep_ignore_case": lambda s, d: T.grep(_docs(s, d), "ЯДРО", ignore_case=True).select("doc_id", "line_no"),
     "grep_regex": lambda s, d: T.grep(_docs(s, d), PATTERN, literal=False).select("doc_id", "line_no", "byte_offset"),
@@ -54,16 +54,16 @@ QUERIES = {
     "harvest_top": lambda s, d: T.harvest(_docs(s, d), TERMS, 1, 10),
     "text_mask": lambda s, d: _docs(s, d).select("doc_id", F.md5(T.mask_simple(F.concat(F.coalesce("text", F.lit("")), F.lit(" mail a.b@mail.example 10.0.12.7 sk-abcdefghijklmnop")))).alias("masked")),
     "text_script_language": lambda s, d: _docs(s, d).where("text is not null").select("doc_id", T.script_language(F.col("text")).alias("lang")),
-    "text_clean": lambda s, d: table(s, d, "specs").where("full_text is not null").distinct().select("id", F.md5(T.clean_text(F.col("full_text"))).alias("cleaned")),
+    "text_clean": lambda s, d: texts(s, d, "specs").where("full_text is not null").distinct().select("id", F.md5(T.clean_text(F.col("full_text"))).alias("cleaned")),
     "text_title": lambda s, d: _docs(s, d).where("text is not null").select("doc_id", T.title_of(F.col("text")).alias("head")),
     "text_snippet": lambda s, d: _docs(s, d).where(F.contains(F.lower("text"), F.lit("heartbeat"))).select("doc_id", T.snippet(F.col("text"), "heartbeat", 80).alias("snip")),
     "text_bonus": lambda s, d: _docs(s, d).where("text is not null").select("doc_id", T.semantic_bonus(F.col("text")).alias("bonus")),
     "text_scripts": lambda s, d: _docs(s, d).where("text is not null").select("doc_id", *T.script_counts(F.col("text"))),
     "text_content_hash": lambda s, d: _docs(s, d).groupBy(F.md5("text").alias("h")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")),
-    "path_classes": lambda s, d: table(s, d, "source_files").select("path").unionByName(table(s, d, "specs").select(F.col("filename").alias("path")).distinct()).select("path", T.path_class(F.col("path")).alias("class"), T.rank_tier("prose", False, F.lit(True), F.col("path")).alias("tier")),
-    "corpus_class_stats": lambda s, d: table(s, d, "source_files").groupBy(F.regexp_extract("path", r"\.([a-z]+)$", 1).alias("ext")).agg(F.count("*").alias("files"), F.sum(F.octet_length("text")).alias("bytes")),
-    "signature_lines": lambda s, d: T.lines(table(s, d, "source_files"), "path").withColumn("name", F.regexp_extract("line", r"^\s*(?:pub(?:\([a-z]+\))? )?(?:async )?(?:fn|def|func|function) ([A-Za-z_0-9]+)\(", 1)).where("name != ''").select("path", "line_no", "name"),
-    "type_declarations": lambda s, d: T.lines(table(s, d, "source_files"), "path").withColumn("name", F.regexp_extract("line", r"^\s*(?:pub |export )?(?:struct|class|type|interface|enum) ([A-Za-z_0-9]+)", 1)).where("name != ''").select("path", "line_no", "name"),
+    "path_classes": lambda s, d: texts(s, d, "source_files").select("path").unionByName(texts(s, d, "specs").select(F.col("filename").alias("path")).distinct()).select("path", T.path_class(F.col("path")).alias("class"), T.rank_tier("prose", False, F.lit(True), F.col("path")).alias("tier")),
+    "corpus_class_stats": lambda s, d: texts(s, d, "source_files").groupBy(F.regexp_extract("path", r"\.([a-z]+)$", 1).alias("ext")).agg(F.count("*").alias("files"), F.sum(F.octet_length("text")).alias("bytes")),
+    "signature_lines": lambda s, d: T.lines(texts(s, d, "source_files"), "path").withColumn("name", F.regexp_extract("line", r"^\s*(?:pub(?:\([a-z]+\))? )?(?:async )?(?:fn|def|func|function) ([A-Za-z_0-9]+)\(", 1)).where("name != ''").select("path", "line_no", "name"),
+    "type_declarations": lambda s, d: T.lines(texts(s, d, "source_files"), "path").withColumn("name", F.regexp_extract("line", r"^\s*(?:pub |export )?(?:struct|class|type|interface|enum) ([A-Za-z_0-9]+)", 1)).where("name != ''").select("path", "line_no", "name"),
     "resonance_density": lambda s, d: _round(R.density_at_hits(_docs(s, d), PHRASE), "density", digits=4),
     "resonance_density_local": lambda s, d: _round(R.density_at_hits(_docs(s, d), PHRASE, local=True), "density", digits=4),
     "resonance_hits": lambda s, d: _round(_hits(s, d), "density", "resonance", digits=4),

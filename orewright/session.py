@@ -33,6 +33,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Bytes of a table from which :func:`texts` deals it to all cores.
+SPREAD_FROM = 1 << 20
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose texts are dear to work on. Where its files make fewer partitions than there are
+    cores (a single row group makes one), its rows are dealt to all of them; larger tables,
+    which have more, are read as they lie."""
+    df = table(spark, sf_dir, name)
+    if df._jdf.rdd().getNumPartitions() >= cores(spark):
+        return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores(spark)) if size >= SPREAD_FROM else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from spark.checkpoint.dir. Where that is unset and all runs
     on one machine (tests), a temporary folder is made and set for the session; on a cluster
@@ -80,4 +95,4 @@ def cores(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
 
 
-__all__ = ["DEFAULTS", "session", "table", "shared_dir", "materialize", "release", "cores"]
+__all__ = ["DEFAULTS", "session", "table", "texts", "shared_dir", "materialize", "release", "cores"]
