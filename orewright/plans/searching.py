@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from orewright.core.references import last_segment
 from orewright.operators import graph as G
 from orewright.operators import search as S
-from orewright.session import table, texts
+from orewright.operators.index import Index, parse_query
+from orewright.operators.vectors import cosine
+from orewright.session import scratch, table, texts
 
 TERMS = {"lattice": 1.0, "heartbeat": 1.0, "journal": 1.0}
 LEXICON = {"lattice": [("решётки", 0.90), ("gitterkern", 0.70)], "journal": [("журнал", 0.90), ("lattice", 0.70)]}
@@ -56,10 +58,41 @@ def _files(s, d):
     return texts(s, d, "source_files").select(F.col("path").alias("id")).distinct()
 
 
-def _fused(s, d):
-    lex = _bm25(s, d).select(F.col("doc_id").alias("id"), "bm25")
-    vec = _docs(s, d).where(F.contains(F.lower("text"), F.lit("anchor"))).select(F.col("doc_id").alias("id"), ((F.length("text") % 100) / 100.0).alias("cos"))
-    return S.fuse(lex, vec, _docs(s, d).select(F.col("doc_id").alias("id"), S.provenance(F.col("source")).alias("provenance")))
+#: Words of a query, a phrase among them, and the vector that stands for it.
+ASKED, ASKED_VECTOR = '"lattice kernel" journal', 7
+
+
+def _index(s, d):
+    """An index of the documents from two snapshots: the earlier ones without titles, then all as they are."""
+    at = Index(s, scratch(s, "index"))
+    docs = _docs(s, d)
+    at.upsert(docs.where("ingested_at < timestamp_ntz'2024-06-01 00:00:00'").withColumn("title", F.lit(None).cast("string")))
+    at.upsert(docs)
+    return at
+
+
+def _asked(s, d):
+    terms, phrases = parse_query(ASKED)
+    return _index(s, d).bm25(dict.fromkeys(terms, 1.0), phrases[0])
+
+
+def _hybrid(s, d):
+    """Documents by the index and by the cosine of their vectors to one of them."""
+    e = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    q = e.where(F.col("id") == ASKED_VECTOR).select(F.col("v").alias("q"))  # one row
+    cos = e.crossJoin(F.broadcast(q)).select("id", cosine(F.col("v"), F.col("q")).alias("cos"))
+    lex = _index(s, d).bm25(TERMS).select(F.col("doc_id").alias("id"), "bm25")
+    return S.fuse(lex, cos, _docs(s, d).select(F.col("doc_id").alias("id"), S.provenance(F.col("source")).alias("provenance")))
+
+
+def _web(s, d):
+    """Source files by their words and by their rank among the files that link to each other."""
+    files = texts(s, d, "source_files").withColumn("title", F.regexp_replace("path", r"[/._]", " "))
+    scored = S.bm25(files, WEB_TERMS, key="path")
+    return S.web_rank(scored, S.page_rank(_files(s, d), _links(s, d), 3), len(WEB_TERMS), key="path")
+
+
+WEB_TERMS = {"window": 1.0, "cursor": 1.0, "trit": 1.0}
 
 
 def _triples(s, d):
@@ -80,8 +113,11 @@ QUERIES = {
     "index_phrase_bonus": lambda s, d: _r(S.phrase_filter(_docs(s, d), _bm25(s, d, {"lattice": 1.0, "kernel": 1.0}), PHRASE), "bm25").select("doc_id", "bm25", "occ"),
     "link_edges": _links,
     "page_rank": lambda s, d: _r(S.page_rank(_files(s, d), _links(s, d), 5), "rank", n=9),
-    "web_rank": lambda s, d: _r(S.web_rank(_bm25(s, d), _docs(s, d).select(F.col("doc_id").alias("id"), (1.0 / (1 + F.col("doc_id") % 7)).alias("rank")), len(TERMS)), "score", "bm25", "density").select("doc_id", "score", "bm25", "density"),
-    "hybrid_fusion": lambda s, d: _r(_fused(s, d), "score"),
+    "web_search": lambda s, d: _r(_web(s, d), "score", "bm25", "density").select("path", "score", "bm25", "density"),
+    "hybrid_search": lambda s, d: _r(_hybrid(s, d), "score"),
+    "index_persisted": lambda s, d: _r(_index(s, d).bm25(TERMS), "bm25").drop("occ"),
+    "index_persisted_phrase": lambda s, d: _r(_asked(s, d), "bm25").select("doc_id", "bm25", "occ"),
+    "index_upserts": lambda s, d: _index(s, d).manifest().select("gen", "pages", "added", "changed", "same", "removed"),
     "provenance_stats": lambda s, d: _docs(s, d).groupBy(S.provenance(F.col("source")).alias("provenance")).agg(F.count("*").alias("n"), F.countDistinct(F.lower(F.trim("source"))).alias("sources")),
     "min_provenance": lambda s, d: _docs(s, d).where(S.provenance(F.col("source")) == "mvr_verified").select("doc_id"),
     "snapshot_changes": lambda s, d: S.upsert(_docs(s, d).where("ingested_at < timestamp_ntz'2024-06-01 00:00:00'").select("doc_id", F.md5("text").alias("h")), _docs(s, d).where("ingested_at >= timestamp_ntz'2024-03-01 00:00:00'").select("doc_id", F.md5(F.concat("text", F.when(F.col("doc_id") % 10 == 0, "x").otherwise(""))).alias("h")), "doc_id", "h"),
@@ -115,6 +151,7 @@ _E = f"edge AS MATERIALIZED (SELECT src, dst, count(*) AS weight, length(dst) %
 _SGN = "CASE cls WHEN 0 THEN -1 WHEN 1 THEN 1 WHEN 2 THEN 1 ELSE 0 END"
 _WT = r"list_filter(regexp_extract_all(translate(lower({c}), 'ё', 'е'), '[\p{{L}}\p{{N}}_]+'), lambda x: length(x) BETWEEN 2 AND 32)"
 _IDX = f"idx AS MATERIALIZED (SELECT doc_id, {_WT.format(c='text')} AS body, {_WT.format(c='coalesce(title, chr(0))')} AS head FROM documents WHERE text IS NOT NULL)"
+_FILE_IDX = f"idx AS MATERIALIZED (SELECT path AS doc_id, {_WT.format(c='text')} AS body, {_WT.format(c="regexp_replace(path, '[/._]', ' ', 'g')")} AS head FROM source_files WHERE text IS NOT NULL)"
 _CNT = "len(list_filter({a}, lambda x: x = '{t}'))"
 
 
@@ -159,10 +196,17 @@ SQL = {
 SELECT doc_id, round(bm25 + 0.5 * (SELECT sum(ln(1 + (n - df + 0.5) / (df + 0.5))) FROM df, n) * least(occ, 8), 6) AS bm25, occ::INT AS occ FROM sc JOIN occ USING (doc_id) WHERE occ > 0""",
     "link_edges": f"WITH {_LINKS} SELECT * FROM link",
     "page_rank": _rank_sql(5),
-    "web_rank": f"""WITH {_bm25_sql(TERMS)}, c AS (SELECT *, 1.0 / (1 + doc_id % 7) AS rank, CASE WHEN doclen > 0 THEN hits / doclen ELSE 0 END AS density FROM sc), t AS (SELECT max(bm25) AS mb, max(rank) AS mr, max(density) AS md FROM c)
-SELECT doc_id, round(0.55 * bm25 / mb + 0.15 * ln(1 + 1000 * rank) / ln(1 + 1000 * mr) + 0.2 * least(title_hits / 3, 1) + 0.1 * density / md, 6) AS score, round(bm25, 6) AS bm25, round(density, 6) AS density FROM c, t""",
-    "hybrid_fusion": f"""WITH {_bm25_sql(TERMS)}, v AS (SELECT doc_id, (length(text) % 100) / 100.0::DOUBLE AS cos FROM documents WHERE contains(lower(text), 'anchor'))
-SELECT doc_id AS id, round((0.65 * coalesce(bm25 / (SELECT max(bm25) FROM sc), 0) + 0.35 * coalesce(cos, 0)) * CASE {_PROV} WHEN 'mvr_verified' THEN 1.5 WHEN 'source_document' THEN 1.0 ELSE 0.7 END, 6) AS score FROM sc FULL JOIN v USING (doc_id) JOIN documents USING (doc_id)""",
+    "web_search": f"""WITH {_rank_sql(3).removeprefix("WITH ").rsplit(" SELECT id, round", 1)[0]}, {_bm25_sql(WEB_TERMS).replace(_IDX, _FILE_IDX)},
+c AS (SELECT sc.*, coalesce(r.rank, 0) AS rank, CASE WHEN doclen > 0 THEN hits / doclen ELSE 0 END AS density FROM sc LEFT JOIN r3 r ON r.id = sc.doc_id), t AS (SELECT max(bm25) AS mb, max(rank) AS mr, max(density) AS md FROM c)
+SELECT doc_id AS path, round(0.55 * bm25 / mb + 0.15 * ln(1 + 1000 * rank) / ln(1 + 1000 * mr) + 0.2 * least(title_hits / 3, 1) + 0.1 * density / md, 6) AS score, round(bm25, 6) AS bm25, round(density, 6) AS density FROM c, t""",
+    "hybrid_search": f"""WITH {_bm25_sql(TERMS)}, e AS (SELECT vec_id AS doc_id, embedding::DOUBLE[] AS v FROM embeddings), v AS (SELECT e.doc_id, list_cosine_similarity(e.v, q.v) AS cos FROM e, e q WHERE q.doc_id = {ASKED_VECTOR})
+SELECT doc_id AS id, round((0.65 * coalesce(bm25 / (SELECT max(bm25) FROM sc), 0) + 0.35 * greatest(0, least(1, coalesce(cos, 0)))) * CASE {_PROV} WHEN 'mvr_verified' THEN 1.5 WHEN 'source_document' THEN 1.0 ELSE 0.7 END, 6) AS score FROM sc FULL JOIN v USING (doc_id) JOIN documents USING (doc_id)""",
+    "index_persisted": f"WITH {_bm25_sql(TERMS)} SELECT doc_id, round(bm25, 6) AS bm25, hits, title_hits, doclen FROM sc",
+    "index_persisted_phrase": f"""WITH {_bm25_sql({"lattice": 1.0, "kernel": 1.0, "journal": 1.0})}, occ AS (SELECT doc_id, len(list_filter(range(1, len(body)), lambda i: body[i] = 'lattice' AND body[i + 1] = 'kernel')) AS occ FROM idx)
+SELECT doc_id, round(bm25 + 0.5 * (SELECT sum(ln(1 + (n - df + 0.5) / (df + 0.5))) FROM df, n WHERE term != 'journal') * least(occ, 8), 6) AS bm25, occ::INT AS occ FROM sc JOIN occ USING (doc_id) WHERE occ > 0""",
+    "index_upserts": """WITH d AS (SELECT *, ingested_at < '2024-06-01' AS early FROM documents WHERE text IS NOT NULL)
+SELECT 1 AS gen, count(*) FILTER (early) AS pages, count(*) FILTER (early) AS added, 0::BIGINT AS changed, 0::BIGINT AS same, 0::BIGINT AS removed FROM d
+UNION ALL SELECT 2, count(*) FILTER (early IS NOT TRUE), count(*) FILTER (early IS NOT TRUE), count(*) FILTER (early AND coalesce(title, '') != ''), count(*) FILTER (early AND coalesce(title, '') = ''), 0 FROM d""",
     "provenance_stats": f"SELECT {_PROV} AS provenance, count(*) AS n, count(DISTINCT lower(trim(source))) AS sources FROM documents GROUP BY 1",
     "min_provenance": f"SELECT doc_id FROM documents WHERE {_PROV} = 'mvr_verified'",
     "snapshot_changes": """WITH o AS (SELECT doc_id, md5(text) AS was FROM documents WHERE ingested_at < '2024-06-01'), n AS (SELECT doc_id, md5(text || CASE WHEN doc_id % 10 = 0 THEN 'x' ELSE '' END) AS now FROM documents WHERE ingested_at >= '2024-03-01')

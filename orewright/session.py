@@ -62,6 +62,13 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, removed by :func:`release`, or when the driver ends."""
+    at = f"{shared_dir(spark)}/orewright/{name}-{uuid.uuid4().hex}"
+    _written.append((spark, at))
+    return at
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage of `df` by writing it to the shared folder and reading it again.
 
@@ -69,9 +76,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     compute it a second time. The folder is removed by :func:`release`, or when the driver ends.
     """
     spark = df.sparkSession
-    at = f"{shared_dir(spark)}/orewright/{name}-{uuid.uuid4().hex}"
+    at = scratch(spark, name)
     df.write.mode("overwrite").option("compression", "zstd").parquet(at)
-    _written.append((spark, at))
     return spark.read.schema(df.schema).parquet(at)
 
 
@@ -95,4 +101,4 @@ def cores(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
 
 
-__all__ = ["DEFAULTS", "session", "table", "texts", "shared_dir", "materialize", "release", "cores"]
+__all__ = ["DEFAULTS", "session", "table", "texts", "shared_dir", "scratch", "materialize", "release", "cores"]
