@@ -32,59 +32,90 @@ def l2(a: Column, b: Column) -> Column:
 _BEST = "qid bigint, vec_id bigint, score double"
 
 
-def _scan(queries: np.ndarray, qids: np.ndarray, k: int, metric: str):
-    """A pass over the vectors keeping for each query the k best of the partition."""
+#: Bytes of query vectors that go out in one broadcast, and queries multiplied with a batch at once.
+QUERY_BYTES, TILE = 64 << 20, 512
+
+
+def _scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    s = q @ x.T
+    if metric == "cosine":
+        return s / np.maximum(np.linalg.norm(q, axis=1, keepdims=True) * np.linalg.norm(x, axis=1), 1e-300)
+    if metric == "l2":
+        return -np.sqrt(np.maximum((q**2).sum(1)[:, None] + (x**2).sum(1) - 2 * s, 0.0))
+    return s
+
+
+def _bits_apart(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    apart = [np.bitwise_count((q[:, w : w + 1] ^ x[:, w]).view(np.uint64)) for w in range(x.shape[1])]
+    return -np.sum(apart, axis=0, dtype=np.float64)
+
+
+def _scan(shared, k: int, metric: str, column: str = "embedding"):
+    """A pass over the rows keeping for each query of the broadcast the k best of the partition; a tile of
+    queries meets a batch at once, so memory doesn't grow with the queries beyond k rows each."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = np.zeros((len(qids), 0), np.int64)
-        top = np.zeros((len(qids), 0))
-        qn = np.linalg.norm(queries, axis=1, keepdims=True)
+        queries, qids = shared.value
+        score = _bits_apart if metric == "hamming" else _scores
+        tiles = [slice(at, at + TILE) for at in range(0, len(qids), TILE)]
+        held = [(np.zeros((len(qids[t]), 0), np.int64), np.zeros((len(qids[t]), 0))) for t in tiles]
         for pdf in batches:
             if not len(pdf):
                 continue
-            x = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
+            x = np.stack(pdf[column].to_numpy()).astype(queries.dtype)
             own = pdf["vec_id"].to_numpy(np.int64)
-            s = queries @ x.T
-            if metric == "cosine":
-                s = s / np.maximum(qn * np.linalg.norm(x, axis=1), 1e-300)
-            elif metric == "l2":
-                s = -np.sqrt(np.maximum((queries**2).sum(1)[:, None] + (x**2).sum(1) - 2 * s, 0.0))
-            s = np.where(own[None, :] == qids[:, None], -np.inf, s)
-            ids = np.concatenate([ids, np.broadcast_to(own, s.shape)], axis=1)
-            top = np.concatenate([top, s], axis=1)
-            order = np.lexsort((ids, -np.round(top, 12)), axis=1)[:, :k]
-            ids, top = np.take_along_axis(ids, order, 1), np.take_along_axis(top, order, 1)
-        ok = np.isfinite(top)
-        yield pd.DataFrame({"qid": np.repeat(qids, top.shape[1])[ok.ravel()], "vec_id": ids[ok], "score": top[ok]})
+            for i, t in enumerate(tiles):
+                s = np.where(own[None, :] == qids[t][:, None], -np.inf, score(queries[t], x, metric))
+                ids, top = held[i]
+                ids, top = np.concatenate([ids, np.broadcast_to(own, s.shape)], axis=1), np.concatenate([top, s], axis=1)
+                order = np.lexsort((ids, -np.round(top, 12)), axis=1)[:, :k]
+                held[i] = np.take_along_axis(ids, order, 1), np.take_along_axis(top, order, 1)
+        for t, (ids, top) in zip(tiles, held, strict=True):
+            yield _best_rows(qids[t], ids, top)
 
     return run
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", block: int = 512) -> DataFrame:
+def _scanned(rows: DataFrame, queries: DataFrame, k: int, metric: str, column: str, width: int) -> DataFrame:
+    """(qid, vec_id, rank, score): every broadcast of queries of at most :data:`QUERY_BYTES` meets all rows in one
+    scan, and what it finds is written before the next is fetched."""
+    spark = rows.sparkSession
+    numbered = materialize(queries.select("vec_id", column).distinct(), "queries")
+    blocks = -(-numbered.count() * 8 * width // QUERY_BYTES)
+    found = None
+    for b in range(blocks):
+        part = numbered.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id").collect()
+        if not part:
+            continue
+        q = np.stack([np.asarray(r[column], np.int64 if metric == "hamming" else np.float64) for r in part])
+        shared = spark.sparkContext.broadcast((q, np.array([r["vec_id"] for r in part], np.int64)))
+        best = rows.select("vec_id", column).mapInPandas(_scan(shared, k, metric, column), _BEST)
+        w = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "vec_id")
+        one = best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "vec_id", "rank", "score")
+        one = materialize(one, "nearest") if blocks > 1 else one
+        found = one if found is None else found.unionByName(one)
+    return spark.createDataFrame([], "qid bigint, vec_id bigint, rank int, score double") if found is None else found
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
     """(qid, vec_id, rank, score): the k nearest other vectors of each query row (vec_id, embedding).
 
-    Queries go out in blocks of a fixed number; each block is a matrix product with every
-    vector, and a partition sends on k rows a query. Rows without a vector are left out.
+    Queries go out in broadcasts of a bounded size; each is multiplied with every vector in
+    tiles, and a partition sends on k rows a query. Rows without a vector are left out.
     """
-    v = vectors.select("vec_id", "embedding").where("vec_id is not null and embedding is not null and size(embedding) > 0")
-    q = queries.select("vec_id", "embedding").where("vec_id is not null and embedding is not null and size(embedding) > 0")
-    numbered = materialize(q.distinct(), "queries")
-    blocks = -(-numbered.count() // block)
-    parts = []
-    for b in range(max(1, blocks)):
-        rows = numbered.where(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, blocks))) == b).orderBy("vec_id").collect()
-        if not rows:
-            continue
-        qm = np.stack([np.asarray(r["embedding"], np.float64) for r in rows])
-        parts.append(v.mapInPandas(_scan(qm, np.array([r["vec_id"] for r in rows], np.int64), k, metric), _BEST))
-    if not parts:
-        return v.sparkSession.createDataFrame([], "qid bigint, vec_id bigint, rank int, score double")
-    best = parts[0]
-    for p in parts[1:]:
-        best = best.unionByName(p)
-    w = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "vec_id")
-    out = best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return out.select("qid", "vec_id", "rank", (-F.col("score") if metric == "l2" else F.col("score")).alias("score"))
+    usable = "vec_id is not null and embedding is not null and size(embedding) > 0"
+    v, q = vectors.select("vec_id", "embedding").where(usable), queries.select("vec_id", "embedding").where(usable)
+    one = v.select(F.size("embedding")).limit(1).first()
+    out = _scanned(v, q, k, metric, "embedding", one[0] if one else 1)
+    return out.withColumn("score", -F.col("score")) if metric == "l2" else out
+
+
+def hamming_top_k(codes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(qid, vec_id, rank, bits): for each query row (vec_id, code) the k other codes (words of 64 bits) with the fewest bits apart."""
+    usable = "vec_id is not null and code is not null and size(code) > 0"
+    one = codes.where(usable).select(F.size("code")).limit(1).first()
+    out = _scanned(codes.select("vec_id", "code").where(usable), queries.select("vec_id", "code").where(usable), k, "hamming", "code", one[0] if one else 1)
+    return out.select("qid", "vec_id", "rank", (-F.col("score")).cast("int").alias("bits"))
 
 
 def _ranked(pairs: DataFrame, k: int) -> DataFrame:
@@ -276,7 +307,7 @@ def quantised_top_k(vectors: DataFrame, codes: DataFrame, queries: DataFrame, di
         cand = near.where("vec_id != qid").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= max(pool, k)).select("qid", "vec_id")
         q = queries.sparkSession.createDataFrame([(int(i), v.tolist()) for i, v in zip(qids, qm, strict=True)], "qid bigint, qv array<double>")
         exact = cand.join(coded.select("vec_id", "embedding"), "vec_id").join(q, "qid").select("qid", "vec_id", F.coalesce(cosine(F.col("embedding"), F.col("qv")), F.lit(0.0)).alias("score"))
-        one = coded.mapInPandas(_reranked(qm, qids, signs, _kth(_ranked(exact, k), qids, k), k), _BEST)
+        one = materialize(coded.mapInPandas(_reranked(qm, qids, signs, _kth(_ranked(exact, k), qids, k), k), _BEST), "nearest")  # before the next block is fetched
         parts = one if parts is None else parts.unionByName(one)
     if parts is None:
         return codes.sparkSession.createDataFrame([], "qid bigint, vec_id bigint, rank int, score double")
@@ -364,7 +395,8 @@ def cell_search(vectors: DataFrame, queries: DataFrame, k: int, cells: int = 16,
         first = materialize(_ranked(lists.mapInPandas(_scan_cells(qm, qids, near, k), _BEST), k), "first")
         bound = np.cos(np.maximum(angle - radius - SLACK, 0.0)) + SLACK
         rest = filled & ~near & ~(bound < _kth(first, qids, k)[:, None])
-        one = first.select("qid", "vec_id", "score").unionByName(lists.mapInPandas(_scan_cells(qm, qids, rest, k), _BEST))
+        more = materialize(lists.mapInPandas(_scan_cells(qm, qids, rest, k), _BEST), "further")  # before the next block is fetched
+        one = first.select("qid", "vec_id", "score").unionByName(more)
         parts = one if parts is None else parts.unionByName(one)
     if parts is None:
         return vectors.sparkSession.createDataFrame([], "qid bigint, vec_id bigint, rank int, score double")

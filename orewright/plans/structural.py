@@ -56,7 +56,7 @@ QUERIES = {
     "vector_dot": _near("dot"),
     "vector_l2": _near("l2"),
     "vector_sign_codes": lambda s, d: _vec(s, d).select("vec_id", F.get(V.sign_code(F.col("embedding"), 64), 0).alias("code")),
-    "vector_hamming": lambda s, d: _hamming(s, d),
+    "vector_hamming_top": lambda s, d: _hamming(s, d),
     "vector_codes": lambda s, d: V.encode(_vec(s, d), 64).select("vec_id", F.round("mu", 6).alias("mu"), F.round("delta", 5).alias("delta"), F.round("gamma", 6).alias("gamma"), F.bit_count(F.get("code", 0)).alias("bits")),
     "vector_quantised": lambda s, d: V.quantised_top_k(_vec(s, d), V.encode(_vec(s, d), 64), _queries(s, d), 64, 10).select("qid", "vec_id", "rank"),
     "vector_cells": lambda s, d: V.cell_search(_vec(s, d), _queries(s, d), 10).select("qid", "vec_id", "rank"),
@@ -99,9 +99,8 @@ def _lookup(s, d):
 
 
 def _hamming(s, d):
-    v = _vec(s, d).select("vec_id", V.sign_code(F.col("embedding"), 64).alias("c"))
-    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("c").alias("qc"))
-    return v.join(q, F.col("vec_id") != F.col("qid")).select("qid", "vec_id", V.hamming(F.col("c"), F.col("qc")).alias("bits"))
+    codes = _vec(s, d).select("vec_id", V.sign_code(F.col("embedding"), 64).alias("code"))
+    return V.hamming_top_k(codes, codes.where("vec_id % 100 = 0"), 10)
 
 
 def _near_sql(score: str, order: str) -> str:
@@ -139,7 +138,9 @@ SQL = {
     "vector_dot": _near_sql("list_inner_product(q.v, x.v)", "DESC"),
     "vector_l2": _near_sql("list_distance(q.v, x.v)", "ASC"),
     "vector_sign_codes": f"SELECT vec_id, (list_sum(list_transform(b[1:63], lambda x, i: x::BIGINT << (i - 1))) + CASE WHEN b[64] = 1 THEN -9223372036854775808 ELSE 0 END)::BIGINT AS code FROM {_SIGN}",
-    "vector_hamming": f"SELECT q.vec_id AS qid, x.vec_id, list_sum(list_transform(x.b, lambda v, i: CASE WHEN v != q.b[i] THEN 1 ELSE 0 END))::INT AS bits FROM {_SIGN} q JOIN {_SIGN} x ON q.vec_id != x.vec_id WHERE q.vec_id % 100 = 0",
+    "vector_hamming_top": f"WITH p AS (SELECT q.vec_id AS qid, x.vec_id, list_sum(list_transform(x.b, lambda v, i: CASE WHEN v != q.b[i] THEN 1 ELSE 0 END))::INT AS bits FROM {_SIGN} q JOIN {_SIGN} x ON q.vec_id != x.vec_id WHERE q.vec_id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY bits, vec_id)::INT AS rank FROM p) SELECT * FROM r WHERE rank <= 10",
+    "vector_quantised": f"SELECT qid, vec_id, rank FROM ({_near_sql('list_cosine_similarity(q.v, x.v)', 'DESC')})",
+    "vector_cells": f"SELECT qid, vec_id, rank FROM ({_near_sql('list_cosine_similarity(q.v, x.v)', 'DESC')})",
     "vector_label_means": "SELECT label, (i - 1)::INT AS i, round(avg(embedding[i]::DOUBLE), 5) AS mean FROM embeddings, (SELECT unnest(range(1, 65)) AS i) GROUP BY label, i",
     "page_links": f"SELECT doc_id, unnest(regexp_extract_all(html, '(?i)<a\\s[^>]*href\\s*=\\s*[\"'']([^\"'']*)[\"'']', 1)) AS href FROM {_PAGE}",
     "page_links_normalized": "SELECT doc_id, 'http://example.org/d/' || (doc_id % 50) || '?a=' || (doc_id % 3) || '&b=2' AS url FROM documents WHERE text IS NOT NULL",
