@@ -93,4 +93,19 @@ WITH doc AS (SELECT doc_id, text FROM documents WHERE length(text) >= 300 AND do
 gram AS (SELECT DISTINCT doc_id, hash(substring(text, i, 300)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM doc)),
 hit AS (SELECT h FROM gram GROUP BY h HAVING count(*) > 1)
 SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM gram a JOIN hit USING (h) JOIN gram b ON a.h = b.h AND a.doc_id < b.doc_id""",
+    "p9_spans": """
+WITH doc AS (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 300 AND doc_id IS NOT NULL),
+gram AS (SELECT doc_id, i, hash(substring(text, i, 300)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM doc)),
+hit AS (SELECT h FROM gram GROUP BY h HAVING count(DISTINCT doc_id) > 1),
+meet AS (SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b, a.i, b.i - a.i AS shift FROM gram a JOIN hit USING (h) JOIN gram b ON a.h = b.h AND a.doc_id < b.doc_id),
+run AS (SELECT *, i - row_number() OVER (PARTITION BY doc_a, doc_b, shift ORDER BY i) AS run FROM meet)
+SELECT doc_a, doc_b, (min(i) - 1)::INT AS start_a, (min(i) - 1 + shift)::INT AS start_b, (count(*) + 299)::INT AS length FROM run GROUP BY doc_a, doc_b, shift, run""",
+    "p9_share": """
+WITH doc AS (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 300 AND doc_id IS NOT NULL),
+gram AS (SELECT doc_id, i, hash(substring(text, i, 300)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM doc)),
+hit AS (SELECT h FROM gram GROUP BY h HAVING count(DISTINCT doc_id) > 1),
+cov AS (SELECT doc_id, least(300, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i), 300)) AS fresh FROM (SELECT DISTINCT doc_id, i FROM gram JOIN hit USING (h))),
+part AS (SELECT doc_id, sum(fresh)::BIGINT AS shared_chars FROM cov GROUP BY doc_id),
+size AS (SELECT doc_id, coalesce(max(length(text)), 0)::INT AS n_chars FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id)
+SELECT doc_id, n_chars, coalesce(shared_chars, 0) AS shared_chars, CASE WHEN n_chars > 0 THEN round(coalesce(shared_chars, 0) / n_chars, 6) ELSE 0.0 END AS share FROM size LEFT JOIN part USING (doc_id)""",
 }
