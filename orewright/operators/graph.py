@@ -97,6 +97,25 @@ def shortest_path_length(edges: DataFrame, src: str, dst: str, limit: int) -> Da
     return seen.where(F.col("id") == dst).select(F.lit(src).alias("src"), F.col("id").alias("dst"), F.col("depth").alias("hops"))
 
 
+def shortest_path(edges: DataFrame, src: str, dst: str, limit: int) -> DataFrame:
+    """(hop, id): the nodes of a shortest path from `src` to `dst`, no row where none has `limit` hops or
+    fewer. Of several, the one whose nodes are the least, looked at from its end.
+
+    The levels of the search are kept; from the end the path goes back through them, so at
+    most one node a level comes to the driver.
+    """
+    spark = edges.sparkSession
+    e = materialize(edges.select("src", "dst").distinct(), "arcs")
+    level = materialize(k_hop(e, spark.createDataFrame([(src,)], "id string"), limit), "levels")
+    end = level.where(F.col("id") == dst).first()
+    path = [] if end is None else [(end["depth"], dst)]
+    while path and path[-1][0] > 0:
+        depth, node = path[-1]
+        before = e.where(F.col("dst") == node).join(level.where(F.col("depth") == depth - 1), F.col("src") == F.col("id")).agg(F.min("src")).first()[0]
+        path.append((depth - 1, before))
+    return spark.createDataFrame(path[::-1], "hop int, id string")
+
+
 def common_partners(edges: DataFrame, nodes: list[str]) -> DataFrame:
     """(id, mass): nodes that all of `nodes` (up to 32) point to, with the sum of the weights."""
     if len(set(nodes)) > 32:
@@ -105,9 +124,10 @@ def common_partners(edges: DataFrame, nodes: list[str]) -> DataFrame:
     return e.groupBy(F.col("dst").alias("id")).agg(F.countDistinct("src").alias("n"), F.sum("weight").alias("mass")).where(F.col("n") == len(set(nodes))).select("id", "mass")
 
 
-def weighted_page_rank(nodes: DataFrame, edges: DataFrame, iterations: int, damping: float = 0.85, want: int | None = None) -> DataFrame:
+def weighted_page_rank(nodes: DataFrame, edges: DataFrame, iterations: int, damping: float = 0.85, want: int | None = None, tolerance: float | None = None) -> DataFrame:
     """(id, rank): start 1/n, weights of signed edges, the mass of nodes without outgoing
-    edges spread evenly; damping is kept within 0.05 and 0.99."""
+    edges spread evenly; damping is kept within 0.05 and 0.99. With a `tolerance` the rounds
+    end before `iterations` once the ranks change by less in sum."""
     d = min(max(damping, 0.05), 0.99)
     e = signed(edges).where("signed_weight != 0")
     if want is not None:
@@ -122,9 +142,13 @@ def weighted_page_rank(nodes: DataFrame, edges: DataFrame, iterations: int, damp
         loose = rank.where("sink").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("loose"))
         flow = link.join(rank.select("id", "rank"), link["src"] == rank["id"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("p")).alias("flow"))
         j = node.join(flow, node["id"] == flow["dst"], "left").crossJoin(F.broadcast(loose))
-        rank = j.select("id", "sink", ((1 - d) / F.col("n") + d * F.coalesce("flow", F.lit(0.0)) + d * F.col("loose") / F.col("n")).alias("rank"))
-        if i < iterations - 1:  # a round reads the ranks twice
+        was, rank = rank, j.select("id", "sink", ((1 - d) / F.col("n") + d * F.coalesce("flow", F.lit(0.0)) + d * F.col("loose") / F.col("n")).alias("rank"))
+        if i < iterations - 1 or tolerance is not None:  # a round reads the ranks twice
             rank = materialize(rank, "rank")
+        if tolerance is not None:
+            moved = rank.join(was.select("id", F.col("rank").alias("was")), "id").agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] or 0.0
+            if moved < tolerance:
+                break
     return rank.select("id", "rank")
 
 
@@ -190,6 +214,34 @@ def impact(calls: DataFrame, symbols: DataFrame, depth: int) -> DataFrame:
     return j.select(F.col("id").alias("symbol"), F.coalesce("callers", z).alias("callers"), n.alias("files"), danger(n).alias("danger"))
 
 
+def reached(arcs: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
+    """(root, id, depth): what each of `roots` (id) reaches over `arcs` (src, dst) within `depth` hops, itself at 0."""
+    e = materialize(arcs.where("src is not null and dst is not null").select("src", "dst").distinct(), "arcs")
+    seen = frontier = roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth")).distinct()
+    for hop in range(1, depth + 1):
+        nxt = frontier.join(e, F.col("id") == F.col("src")).select("root", F.col("dst").alias("id")).distinct().join(seen, ["root", "id"], "left_anti")
+        frontier = materialize(nxt.select("root", "id", F.lit(hop).alias("depth")), "reach")
+        seen = seen.unionByName(frontier)
+    return seen
+
+
+def passport(calls: DataFrame, symbols: DataFrame, depth: int) -> DataFrame:
+    """(symbol, upstream, downstream, files, files_below, danger): for each of `symbols` (id) how many functions
+    call it and how many it calls, directly or through others within `depth` hops, and in how
+    many files either happens; `calls` has src, dst and file. The danger is that of all files."""
+    down = reached(calls.select("src", "dst"), symbols, depth)
+    up = reached(calls.select(F.col("dst").alias("src"), F.col("src").alias("dst")), symbols, depth)
+    sites = calls.where("src is not null and dst is not null").select("src", "dst", "file").distinct()
+    above = up.where(F.col("depth") < depth).select("root", F.col("id").alias("dst")).join(sites, "dst").select("root", "file")
+    below = down.where(F.col("depth") < depth).select("root", F.col("id").alias("src")).join(sites, "src").select("root", "file")
+    far = lambda r, name: r.where("depth > 0").groupBy("root").agg(F.count("*").alias(name))
+    both = above.withColumn("up", F.lit(1)).unionByName(below.withColumn("up", F.lit(0)))
+    files = both.groupBy("root", "file").agg(F.max("up").alias("up"), F.min("up").alias("low")).groupBy("root").agg(F.sum("up").alias("files"), F.sum(1 - F.col("low")).alias("files_below"), F.count("*").alias("all_files"))
+    j = symbols.select(F.col("id").alias("root")).distinct().join(far(up, "upstream"), "root", "left").join(far(down, "downstream"), "root", "left").join(files, "root", "left")
+    z = lambda c: F.coalesce(c, F.lit(0).cast("bigint"))
+    return j.select(F.col("root").alias("symbol"), z("upstream").alias("upstream"), z("downstream").alias("downstream"), z("files").alias("files"), z("files_below").alias("files_below"), danger(z("all_files")).alias("danger"))
+
+
 def dedup_triples(triples: DataFrame) -> DataFrame:
     """Distinct (s, p, o), the display name of each entity being its most capitalised spelling."""
     ent = triples.select(F.col("s").alias("name")).unionByName(triples.select(F.col("o").alias("name"))).where("name is not null")

@@ -105,14 +105,14 @@ s AS (SELECT id, line_no, count(head) OVER w AS section, last_value(head IGNORE
 x AS (SELECT m.*, section, heading FROM m JOIN s ON s.id = m.id AND s.line_no = m.line_no)"""
 _TOK = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
 _CARD = r"(SELECT doc_id, array_to_string(string_split(text, chr(10))[1:60], chr(10)) AS head FROM documents WHERE text IS NOT NULL)"
-_HITS = f"WITH ts AS (SELECT doc_id, ingested_at, unnest(range(len(t))) AS pos, unnest(t) AS tok FROM (SELECT doc_id, ingested_at, {_TOK} AS t FROM documents)) SELECT a.doc_id, a.pos::INT AS pos FROM ts a JOIN ts b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.tok = 'lattice' AND b.tok = 'kernel'"
+_HITS = f"WITH a AS (SELECT doc_id, ingested_at, {_TOK} AS t FROM documents WHERE text IS NOT NULL) SELECT doc_id, unnest(list_filter(range(len(t) - 1), lambda i: t[i + 1] = 'lattice' AND t[i + 2] = 'kernel'))::INT AS pos FROM a WHERE true"
 
 SQL = {
     "scan_matches": f"WITH {_M} SELECT * FROM m",
     "scan_line_of_byte": f"WITH {_M} SELECT id, byte, line_no, line_no AS line FROM m",
     "scan_scene": f"WITH {_M}, {_S} SELECT id, line_no, section, heading FROM x",
     "scan_temporal": rf"SELECT doc_id, metric FROM (SELECT doc_id, nullif(trim(regexp_extract(head, '(?im)^\*{{0,2}}(?:Metric|Метрика|Metrik|Métrica)\s*:\s*([^*\n]+)\*{{0,2}}\s*$', 1)), '') AS metric FROM {_CARD}) WHERE metric IS NULL OR metric LIKE 'Т-9%'",
-    "scan_diff": _HITS + " AND NOT (a.ingested_at < '2024-06-01')",
+    "scan_diff": _HITS + " AND NOT (ingested_at < '2024-06-01')",
     "scan_cooccurrence": rf"""WITH n AS (SELECT DISTINCT doc_id, unnest(list_distinct(list_filter(list_transform(string_split(regexp_extract(head, '(?im)^\*{{0,2}}(?:Subjects|Субъекты|Суб''єкти|Subjekte|Sujetos)\s*:\s*([^*\n]+)\*{{0,2}}\s*$', 1), ','), lambda x: trim(x)), lambda x: x != ''))) AS name FROM {_CARD})
 SELECT x.name AS a, y.name AS b, count(*) AS scenes FROM n x JOIN n y ON x.doc_id = y.doc_id AND x.name < y.name GROUP BY ALL""",
     "scan_stride_sample": r"WITH p AS (SELECT id, len(list_filter(regexp_split_to_array(full_text, '\n\s*\n'), lambda x: trim(x) != '')) AS k FROM (SELECT DISTINCT id, full_text FROM specs WHERE full_text IS NOT NULL)) SELECT id, unnest(range(0, k, 7))::INT AS no FROM p",

@@ -8,8 +8,9 @@ from orewright.core.references import last_segment
 from orewright.operators import graph as G
 from orewright.operators import search as S
 from orewright.operators.index import Index, parse_query
+from orewright.operators.rescan import file_counts, rescan
 from orewright.operators.vectors import cosine
-from orewright.session import scratch, table, texts
+from orewright.session import materialize, scratch, table, texts
 
 TERMS = {"lattice": 1.0, "heartbeat": 1.0, "journal": 1.0}
 LEXICON = {"lattice": [("решётки", 0.90), ("gitterkern", 0.70)], "journal": [("журнал", 0.90), ("lattice", 0.70)]}
@@ -101,6 +102,16 @@ def _triples(s, d):
     return t.unionByName(i)
 
 
+def _rescan(s, d):
+    """A scan of the files known at a day, then one of all files, some of which were deleted after it."""
+    f = texts(s, d, "source_files").select("path", F.col("bytes").alias("size"), F.col("indexed_at").alias("mtime"), "text", "deleted_at")
+    day = F.lit("2024-06-01 00:00:00").cast("timestamp_ntz")
+    first = f.where(F.col("mtime") < day)
+    counts = materialize(file_counts(first), "counts")
+    vocab = counts.groupBy("tok").agg(F.sum("n").alias("freq"))
+    return rescan(first.select("path", "size", "mtime"), counts, vocab, f.where("deleted_at is null"))
+
+
 def _calls(s, d):
     return table(s, d, "calls").select(F.col("caller").alias("src"), last_segment(F.col("callee")).alias("dst"), "file").where("dst is not null and file is not null")
 
@@ -141,6 +152,10 @@ QUERIES = {
     "graph_propagate": lambda s, d: _r(G.propagate(edges(s, d), _seed(s, SEED), 2), "x", n=4),
     "graph_motifs": lambda s, d: G.motifs(edges(s, d)),
     "graph_impact": lambda s, d: G.impact(_calls(s, d), _seed(s, SEED, "with_limit", "nov_walk_window_edge", "default"), 2),
+    "graph_passport": lambda s, d: G.passport(_calls(s, d), _seed(s, SEED, "with_limit", "nov_walk_window_edge", "default", "no_such_symbol"), 2),
+    "graph_path": lambda s, d: G.shortest_path(edges(s, d), SEED, "is_empty_run", 4),
+    "rescan_vocabulary": lambda s, d: _rescan(s, d)[2],
+    "rescan_plan": lambda s, d: _rescan(s, d)[0].groupBy("act").agg(F.count("*").alias("files")),
     "triples_dedup": lambda s, d: G.dedup_triples(_triples(s, d)),
     "triples_counts": lambda s, d: _triples(s, d).groupBy("p").agg(F.count("*").alias("n"), F.countDistinct("s", "o").alias("pairs")),
     "causal_nexus": lambda s, d: G.nexus(table(s, d, "defs").distinct().withColumn("lang", F.regexp_extract("file", r"\.([a-z]+)$", 1))),
@@ -238,6 +253,18 @@ LEFT JOIN (SELECT t.u, count(*) AS n FROM two t JOIN e c ON c.src = t.w AND c.ds
 hop(root, id, depth) AS (SELECT root, root, 0 FROM root UNION SELECT h.root, e.src, h.depth + 1 FROM hop h JOIN e ON e.dst = h.id WHERE h.depth < 2), near AS (SELECT root, id, min(depth) AS depth FROM hop GROUP BY ALL),
 k AS (SELECT root, count(*) FILTER (depth > 0) AS callers FROM near GROUP BY root), f AS (SELECT root, count(DISTINCT file) AS files FROM near JOIN c ON c.dst = near.id GROUP BY root)
 SELECT root AS symbol, coalesce(callers, 0) AS callers, coalesce(files, 0) AS files, CASE WHEN coalesce(files, 0) = 0 THEN 'LOW' WHEN files <= 3 THEN 'MEDIUM' WHEN files <= 10 THEN 'HIGH' ELSE 'CRITICAL' END AS danger FROM root LEFT JOIN k USING (root) LEFT JOIN f USING (root)""",
+    "graph_passport": f"""WITH RECURSIVE c AS MATERIALIZED (SELECT DISTINCT caller AS src, {_SEG} AS dst, file FROM calls WHERE file IS NOT NULL AND caller IS NOT NULL AND {_SEG} IS NOT NULL), e AS MATERIALIZED (SELECT DISTINCT src, dst FROM c),
+root(root) AS (VALUES ('{SEED}'), ('with_limit'), ('nov_walk_window_edge'), ('default'), ('no_such_symbol')),
+u(root, id, depth) AS (SELECT root, root, 0 FROM root UNION SELECT u.root, e.src, u.depth + 1 FROM u JOIN e ON e.dst = u.id WHERE u.depth < 2), up AS (SELECT root, id, min(depth) AS depth FROM u GROUP BY ALL),
+w(root, id, depth) AS (SELECT root, root, 0 FROM root UNION SELECT w.root, e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.id WHERE w.depth < 2), down AS (SELECT root, id, min(depth) AS depth FROM w GROUP BY ALL),
+fa AS (SELECT DISTINCT root, file FROM up JOIN c ON c.dst = up.id WHERE depth < 2), fb AS (SELECT DISTINCT root, file FROM down JOIN c ON c.src = down.id WHERE depth < 2)
+SELECT root AS symbol, (SELECT count(*) FROM up WHERE up.root = r.root AND depth > 0) AS upstream, (SELECT count(*) FROM down WHERE down.root = r.root AND depth > 0) AS downstream,
+(SELECT count(*) FROM fa WHERE fa.root = r.root) AS files, (SELECT count(*) FROM fb WHERE fb.root = r.root) AS files_below,
+(SELECT CASE WHEN count(*) = 0 THEN 'LOW' WHEN count(*) <= 3 THEN 'MEDIUM' WHEN count(*) <= 10 THEN 'HIGH' ELSE 'CRITICAL' END FROM (SELECT * FROM fa UNION SELECT * FROM fb) x WHERE x.root = r.root) AS danger FROM root r""",
+    "graph_path": f"""WITH RECURSIVE {_E}, e AS (SELECT DISTINCT src, dst FROM edge), {_HOPS.format(s=SEED, k=4)},
+back(hop, id) AS (SELECT depth, id FROM near WHERE id = 'is_empty_run' UNION ALL SELECT b.hop - 1, (SELECT min(e.src) FROM e JOIN near n ON n.id = e.src WHERE e.dst = b.id AND n.depth = b.hop - 1) FROM back b WHERE b.hop > 0) SELECT hop::INT AS hop, id FROM back""",
+    "rescan_vocabulary": r"SELECT tok, count(*) AS freq FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS tok FROM source_files WHERE deleted_at IS NULL) GROUP BY tok",
+    "rescan_plan": """SELECT act, count(*) AS files FROM (SELECT CASE WHEN indexed_at < '2024-06-01' AND deleted_at IS NULL THEN 'keep' WHEN indexed_at < '2024-06-01' THEN 'remove' WHEN deleted_at IS NULL THEN 'add' END AS act FROM source_files) WHERE act IS NOT NULL GROUP BY act""",
     "triples_dedup": f"""WITH t AS (SELECT caller AS s, 'calls' AS p, {_SEG} AS o FROM calls WHERE caller IS NOT NULL UNION ALL SELECT file, 'imports', module FROM imports WHERE file IS NOT NULL), u AS (SELECT * FROM t WHERE o IS NOT NULL),
 n AS (SELECT s AS name FROM u UNION ALL SELECT o FROM u), m AS (SELECT DISTINCT ON (lower(name)) lower(name) AS k, name FROM n ORDER BY lower(name), length(regexp_replace(name, '[^\\p{{Lu}}]', '', 'g')) DESC, name DESC)
 SELECT a.name AS s, p, b.name AS o FROM (SELECT DISTINCT lower(s) AS s, p, lower(o) AS o FROM u) JOIN m a ON a.k = s JOIN m b ON b.k = o""",

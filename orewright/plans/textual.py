@@ -109,7 +109,7 @@ SQL = {
     "text_vocabulary": f"SELECT tok, count(*) AS freq FROM ({_TS}) GROUP BY tok",
     "text_term_frequency": f"SELECT doc_id, tok, count(*) AS tf FROM ({_TS}) GROUP BY ALL",
     "text_postings": f"SELECT tok, doc_id, count(*) AS tf, min(pos)::INT AS first_pos, string_agg(pos::VARCHAR, ' ' ORDER BY pos) AS positions FROM ({_TS}) GROUP BY tok, doc_id",
-    "text_phrase": f"WITH ts AS ({_TS}) SELECT doc_id, pos::INT AS pos FROM ({_PHRASE})",
+    "text_phrase": f"SELECT doc_id, unnest(list_filter(range(len(toks) - 1), lambda i: toks[i + 1] = 'lattice' AND toks[i + 2] = 'kernel'))::INT AS pos FROM ({_DT})",
     "text_proximity": f"""WITH ts AS MATERIALIZED ({_TS}), c AS (SELECT doc_id, count(*) FILTER (tok = 'journal') AS a, count(*) FILTER (tok = 'heartbeat') AS b FROM ts GROUP BY doc_id HAVING a > 0 AND b > 0),
 ex AS (SELECT DISTINCT x.doc_id FROM ts x JOIN ts y ON x.doc_id = y.doc_id AND y.pos = x.pos + 1 WHERE x.tok = 'journal' AND y.tok = 'heartbeat')
 SELECT DISTINCT t.doc_id, t.pos::INT AS pos FROM c JOIN ts t ON t.doc_id = c.doc_id AND t.tok = CASE WHEN a <= b THEN 'journal' ELSE 'heartbeat' END

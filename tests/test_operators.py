@@ -529,3 +529,32 @@ def test_a_broken_llm_module_is_no_missing_one(monkeypatch):
         entry.queries()
     monkeypatch.setattr(entry, "import_module", lambda name: (_ for _ in ()).throw(ModuleNotFoundError("gone", name="orewright.llm")))
     assert "p3_found" not in entry.queries() and "resonance_hits" in entry.queries()
+
+
+def test_rescan_takes_back_what_changed(spark, rows):
+    from orewright.operators import rescan
+
+    cols = "path string, size bigint, mtime int, text string"
+    old = spark.createDataFrame([("a", 1, 1, "x y x"), ("b", 1, 1, "y z"), ("c", 1, 1, "only here"), ("e", 1, 1, "same")], cols)
+    now = spark.createDataFrame([("a", 1, 1, "never read"), ("b", 2, 1, "z z"), ("d", 1, 1, "new x"), ("e", 1, 2, "same")], cols)
+    counts = rescan.file_counts(old)
+    plan, counts, vocab = rescan.rescan(old.select("path", "size", "mtime"), counts, counts.groupBy("tok").agg(F.sum("n").alias("freq")), now)
+    assert rows(plan) == [("a", "keep"), ("b", "change"), ("c", "remove"), ("d", "add"), ("e", "change")]
+    assert rows(vocab) == [("new", 1), ("same", 1), ("x", 3), ("y", 1), ("z", 2)]
+    assert rows(counts.groupBy("tok").agg(F.sum("n"))) == rows(vocab)
+
+
+def test_ranks_stop_where_they_stay(spark):
+    nodes = spark.createDataFrame([(c,) for c in "abcd"], "id string")
+    e = spark.createDataFrame([("a", "b", 2, 1), ("b", "c", 1, 1), ("c", "a", 1, 1), ("a", "d", 1, 1)], "src string, dst string, weight bigint, cls int")
+    few = {r["id"]: r["rank"] for r in graph.weighted_page_rank(nodes, e, 60, tolerance=1e-7).collect()}
+    many = {r["id"]: r["rank"] for r in graph.weighted_page_rank(nodes, e, 40).collect()}
+    assert all(abs(few[k] - many[k]) < 1e-6 for k in many) and abs(sum(few.values()) - 1) < 1e-9
+
+
+def test_path_and_passport(spark, rows):
+    calls = spark.createDataFrame([("a", "b", "f1"), ("b", "c", "f2"), ("a", "x", "f1"), ("x", "c", "f3"), ("c", "d", "f4"), (None, "b", "f5"), ("b", None, "f2"), ("d", "a", "f6")], "src string, dst string, file string")
+    assert rows(graph.shortest_path(calls.where("src is not null and dst is not null"), "a", "d", 5)) == [(0, "a"), (1, "b"), (2, "c"), (3, "d")]
+    assert rows(graph.shortest_path(calls, "a", "d", 2)) == [] and rows(graph.shortest_path(calls, "a", "a", 2)) == [(0, "a")]
+    got = graph.passport(calls, spark.createDataFrame([("c",), ("none",)], "id string"), 1)
+    assert rows(got) == [("c", 2, 1, 2, 1, "MEDIUM"), ("none", 0, 0, 0, 0, "LOW")]
