@@ -79,6 +79,8 @@ QUERIES = {
     "rel_pricing_summary": pricing_summary,
     "rel_nation_revenue": nation_revenue,
     "rel_semi": lambda s, d: customer(s, d).join(orders(s, d).where("o_totalprice > 300000"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey"),
+    "rel_anti_urgent": lambda s, d: customer(s, d).join(orders(s, d).where("o_orderpriority = '1-URGENT'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey"),
+    "rel_except_large": lambda s, d: part(s, d).select(F.col("p_partkey").alias("k")).subtract(lineitem(s, d).where("l_quantity > 48").select(F.col("l_partkey").alias("k"))),
     "rel_anti": lambda s, d: customer(s, d).join(orders(s, d), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey"),
     "rel_full_outer": lambda s, d: customer(s, d).groupBy("c_nationkey").agg(F.count("*").alias("customers")).join(supplier(s, d).groupBy("s_nationkey").agg(F.count("*").alias("suppliers")), F.col("c_nationkey") == F.col("s_nationkey"), "full_outer").select(F.coalesce("c_nationkey", "s_nationkey").alias("nation"), F.coalesce("customers", F.lit(0)).alias("customers"), F.coalesce("suppliers", F.lit(0)).alias("suppliers")),
     "rel_broadcast": lambda s, d: customer(s, d).join(nation(s, d), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("n"), F.round(F.avg("c_acctbal"), 4).alias("bal")),
@@ -118,6 +120,8 @@ SQL = {
     "rel_pricing_summary": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 1) AS qty, round(sum(l_extendedprice), 1) AS price, round(sum(l_extendedprice * (1 - l_discount)), 1) AS revenue, round(avg(l_discount), 6) AS disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL",
     "rel_nation_revenue": "SELECT r_name, n_name, round(sum(l_extendedprice * (1 - l_discount)), 1) AS revenue, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL",
     "rel_semi": "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)",
+    "rel_anti_urgent": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')",
+    "rel_except_large": "SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 48",
     "rel_anti": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
     "rel_full_outer": "SELECT coalesce(c_nationkey, s_nationkey) AS nation, coalesce(customers, 0) AS customers, coalesce(suppliers, 0) AS suppliers FROM (SELECT c_nationkey, count(*) AS customers FROM customer GROUP BY ALL) FULL JOIN (SELECT s_nationkey, count(*) AS suppliers FROM supplier GROUP BY ALL) ON c_nationkey = s_nationkey",
     "rel_broadcast": "SELECT n_name, count(*) AS n, round(avg(c_acctbal), 4) AS bal FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL",

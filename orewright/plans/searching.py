@@ -102,6 +102,16 @@ def _triples(s, d):
     return t.unionByName(i)
 
 
+def _defs(s, d):
+    return table(s, d, "defs").distinct().withColumn("lang", F.regexp_extract("file", r"\.([a-z]+)$", 1))
+
+
+def _name_words(symbol):
+    """The longer words of a name in their order by letters, however they are joined."""
+    apart = F.lower(F.regexp_replace(symbol, "([a-z0-9])([A-Z])", "$1_$2"))
+    return F.array_join(F.array_sort(F.filter(F.split(apart, "_"), lambda w: F.length(w) > 3)), " ")
+
+
 def _rescan(s, d):
     """A scan of the files known at a day, then one of all files, some of which were deleted after it."""
     f = texts(s, d, "source_files").select("path", F.col("bytes").alias("size"), F.col("indexed_at").alias("mtime"), "text", "deleted_at")
@@ -158,7 +168,8 @@ QUERIES = {
     "rescan_plan": lambda s, d: _rescan(s, d)[0].groupBy("act").agg(F.count("*").alias("files")),
     "triples_dedup": lambda s, d: G.dedup_triples(_triples(s, d)),
     "triples_counts": lambda s, d: _triples(s, d).groupBy("p").agg(F.count("*").alias("n"), F.countDistinct("s", "o").alias("pairs")),
-    "causal_nexus": lambda s, d: G.nexus(table(s, d, "defs").distinct().withColumn("lang", F.regexp_extract("file", r"\.([a-z]+)$", 1))),
+    "causal_nexus_words": lambda s, d: G.nexus(_defs(s, d).withColumn("symbol", _name_words(F.col("symbol")))),
+    "causal_nexus": lambda s, d: G.nexus(_defs(s, d)),
 }
 
 _SEG = r"nullif(trim(regexp_replace(trim(regexp_replace(trim(callee), '\s*(\(\)|!)$', '')), '^.*(::|\.)', '')), '')"
@@ -269,6 +280,8 @@ back(hop, id) AS (SELECT depth, id FROM near WHERE id = 'is_empty_run' UNION ALL
 n AS (SELECT s AS name FROM u UNION ALL SELECT o FROM u), m AS (SELECT DISTINCT ON (lower(name)) lower(name) AS k, name FROM n ORDER BY lower(name), length(regexp_replace(name, '[^\\p{{Lu}}]', '', 'g')) DESC, name DESC)
 SELECT a.name AS s, p, b.name AS o FROM (SELECT DISTINCT lower(s) AS s, p, lower(o) AS o FROM u) JOIN m a ON a.k = s JOIN m b ON b.k = o""",
     "triples_counts": f"SELECT p, count(*) AS n, count(DISTINCT (s, o)) AS pairs FROM (SELECT caller AS s, 'calls' AS p, {_SEG} AS o FROM calls WHERE caller IS NOT NULL UNION ALL SELECT file, 'imports', module FROM imports WHERE file IS NOT NULL) WHERE o IS NOT NULL GROUP BY p",
+    "causal_nexus_words": r"""SELECT symbol, count(DISTINCT lang) AS langs, count(DISTINCT file) AS files, count(*) AS places, string_agg(DISTINCT lang, ',' ORDER BY lang) AS lang_list FROM (SELECT * REPLACE (array_to_string(list_sort(list_filter(string_split(lower(regexp_replace(symbol, '([a-z0-9])([A-Z])', '\1_\2', 'g')), '_'), lambda x: length(x) > 3)), ' ') AS symbol), regexp_extract(file, '\.([a-z]+)$', 1) AS lang FROM (SELECT DISTINCT * FROM defs))
+GROUP BY symbol HAVING langs > 1 OR files > 1""",
     "causal_nexus": r"SELECT symbol, count(DISTINCT lang) AS langs, count(DISTINCT file) AS files, count(*) AS places, string_agg(DISTINCT lang, ',' ORDER BY lang) AS lang_list FROM (SELECT DISTINCT *, regexp_extract(file, '\.([a-z]+)$', 1) AS lang FROM defs) GROUP BY symbol HAVING langs > 1 OR files > 1",
 }
 _PARTS = r"SELECT list_filter(regexp_extract_all(s, '[\p{{L}}\p{{N}}_]+'), lambda x: true) AS t FROM (SELECT unnest(regexp_split_to_array(lower({c}), '[.!?…\n]+')) AS s FROM {f})"
