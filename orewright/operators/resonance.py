@@ -97,11 +97,18 @@ def field_resonance(docs: DataFrame, query: str, radius: int = RADIUS, phi: floa
     some = docs.where(T.has_literals(F.col(text), q))
     hits = T.phrase_hits(some, query, key, text)
     f = density_field(some, query, radius, KAPPA, key, text, corpus=docs)
-    w = Window.partitionBy(key).orderBy("pos").rowsBetween(1 - memory_of(phi), 0)
-    # the fold is made for the hits alone: the lists of the other tokens are never read
-    hit = hits.withColumn("hit", F.lit(True))
-    f = f.join(hit, [key, "pos"], "left").withColumn("near", F.collect_list("density").over(w)).where("hit")
-    return f.select(key, "pos", "density", fold(F.col("near"), phi).alias("resonance"))
+    # a text's field as one array, out of which each hit folds what it still remembers
+    field = f.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "density"))).alias("f"))
+    at = hits.groupBy(key).agg(F.collect_list("pos").alias("at"))
+    back = memory_of(phi)
+
+    def heard(p: Column) -> Column:
+        first = F.greatest(p + 1 - back, F.lit(0))
+        near = F.slice(F.col("f"), first + 1, p - first + 1)
+        said = F.aggregate(near, F.lit(0.0), lambda a, x: x["density"] + phi * a)
+        return F.struct(p.alias("pos"), F.get(F.col("f"), p)["density"].alias("density"), said.alias("resonance"))
+
+    return field.join(at, key).select(key, F.inline(F.transform("at", heard)))
 
 
 def top_hits(hits: DataFrame, n: int, order: Sequence[str] = ("doc_id", "pos")) -> DataFrame:

@@ -36,8 +36,9 @@ def vocabulary(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(tok, key, tf, first_pos, positions)."""
-    return token_stream(docs, key, text).groupBy("tok", key).agg(F.count("*").alias("tf"), F.min("pos").alias("first_pos"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    """(tok, key, tf, first_pos, positions). Texts are dealt by key, so their tokens meet where they are made:
+    the text is shuffled once, and no row a token."""
+    return token_stream(docs.select(key, text).repartition(key), key, text).groupBy("tok", key).agg(F.count("*").alias("tf"), F.min("pos").alias("first_pos"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
 def has_literals(text: Column, words: Sequence[str], every: bool = True) -> Column:
