@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -117,10 +117,16 @@ def expand(terms: Sequence[str], lexicon: dict[str, list[tuple[str, float]]], we
 PROVENANCE = {"narrative": (0, 0.7), "source_document": (1, 1.0), "mvr_verified": (2, 1.5)}
 
 
-def provenance(source: Column) -> Column:
-    """The provenance of a document by its source."""
-    s = F.lower(F.trim(source))
-    return F.when(s.isin("proof-notes", "audit-files", "test-plans"), "mvr_verified").when(s.isin("engine-docs", "code-comments", "pts-drafts", "scan-reports", "release-notes", "lattice-wiki"), "source_document").otherwise("narrative")
+def provenance(source: Column, known: Mapping[str, str], other: str = "narrative") -> Column:
+    """The provenance of a document by its source, in whatever case and between whatever blanks, from a
+    table of source -> provenance; `other` for the rest."""
+    wrong = set(known.values()) - set(PROVENANCE)
+    if wrong:
+        raise ValueError(f"unknown provenance: {sorted(wrong)}")
+    name, out = F.lower(F.trim(source)), F.lit(other)
+    for kind in sorted(set(known.values())):
+        out = F.when(name.isin(*sorted(k for k, v in known.items() if v == kind)), kind).otherwise(out)
+    return out
 
 
 def provenance_weight(p: Column) -> Column:

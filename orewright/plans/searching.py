@@ -18,6 +18,13 @@ PHRASE = ["lattice", "kernel"]
 SEED, PAIR = "push_hit", ["default", "new"]
 
 
+#: What the sources of the given tables are worth.
+SOURCES = {
+    "proof-notes": "mvr_verified", "audit-files": "mvr_verified", "test-plans": "mvr_verified", "engine-docs": "source_document", "code-comments": "source_document",
+    "pts-drafts": "source_document", "scan-reports": "source_document", "release-notes": "source_document", "lattice-wiki": "source_document",
+}
+
+
 def _docs(s, d):
     return texts(s, d, "documents")
 
@@ -83,7 +90,7 @@ def _hybrid(s, d):
     q = e.where(F.col("id") == ASKED_VECTOR).select(F.col("v").alias("q"))  # one row
     cos = e.crossJoin(F.broadcast(q)).select("id", cosine(F.col("v"), F.col("q")).alias("cos"))
     lex = _index(s, d).bm25(TERMS).select(F.col("doc_id").alias("id"), "bm25")
-    return S.fuse(lex, cos, _docs(s, d).select(F.col("doc_id").alias("id"), S.provenance(F.col("source")).alias("provenance")))
+    return S.fuse(lex, cos, _docs(s, d).select(F.col("doc_id").alias("id"), S.provenance(F.col("source"), SOURCES).alias("provenance")))
 
 
 def _web(s, d):
@@ -139,8 +146,8 @@ QUERIES = {
     "index_persisted": lambda s, d: _r(_index(s, d).bm25(TERMS), "bm25").drop("occ"),
     "index_persisted_phrase": lambda s, d: _r(_asked(s, d), "bm25").select("doc_id", "bm25", "occ"),
     "index_upserts": lambda s, d: _index(s, d).manifest().select("gen", "pages", "added", "changed", "same", "removed"),
-    "provenance_stats": lambda s, d: _docs(s, d).groupBy(S.provenance(F.col("source")).alias("provenance")).agg(F.count("*").alias("n"), F.countDistinct(F.lower(F.trim("source"))).alias("sources")),
-    "min_provenance": lambda s, d: _docs(s, d).where(S.provenance(F.col("source")) == "mvr_verified").select("doc_id"),
+    "provenance_stats": lambda s, d: _docs(s, d).groupBy(S.provenance(F.col("source"), SOURCES).alias("provenance")).agg(F.count("*").alias("n"), F.countDistinct(F.lower(F.trim("source"))).alias("sources")),
+    "min_provenance": lambda s, d: _docs(s, d).where(S.provenance(F.col("source"), SOURCES) == "mvr_verified").select("doc_id"),
     "snapshot_changes": lambda s, d: S.upsert(_docs(s, d).where("ingested_at < timestamp_ntz'2024-06-01 00:00:00'").select("doc_id", F.md5("text").alias("h")), _docs(s, d).where("ingested_at >= timestamp_ntz'2024-03-01 00:00:00'").select("doc_id", F.md5(F.concat("text", F.when(F.col("doc_id") % 10 == 0, "x").otherwise(""))).alias("h")), "doc_id", "h"),
     "bigram_trits": lambda s, d: S.bigram_trits(texts(s, d, "poler_notes").select("id", "title").distinct(), "id", "title"),
     "bigram_trits_corpus": lambda s, d: S.bigram_trits(_docs(s, d), "doc_id", "text").groupBy("trit").agg(F.count("*").alias("pairs"), F.sum("n").alias("n")),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from orewright.session import shared_dir, table
 
@@ -81,21 +82,27 @@ def run(stream: DataFrame, name: str, mode: str = "append", spark: SparkSession
     return s.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{at}/table")
 
 
+#: Buckets of keys in the table of an incremental stream.
+BUCKETS = 64
+
+
 def incremental(spark: SparkSession, source: str, sink: str, key: str, digest: str, checkpoint: str) -> StreamingQuery:
     """Keeps `sink` (Parquet, one folder a batch) up to date with the rows of `source` whose digest is new.
 
-    Each batch is compared with what the sink has by a left anti join on key and digest.
+    Each batch is compared with what the sink has by a left anti join on key and digest; of the
+    sink only the buckets of the batch's keys are read.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        hashed = batch.withColumn("digest", F.md5(digest)).dropDuplicates([key, "digest"])
-        try:
-            have = batch.sparkSession.read.option("recursiveFileLookup", "true").parquet(sink).select(key, "digest")
+        s = batch.sparkSession
+        hashed = batch.withColumn("digest", F.md5(digest)).dropDuplicates([key, "digest"]).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
+        path = s.sparkContext._jvm.org.apache.hadoop.fs.Path(sink)
+        if path.getFileSystem(s.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            mine = [r[0] for r in hashed.select("bucket").distinct().collect()]
+            have = s.read.schema(StructType([*hashed.schema.fields, StructField("batch", LongType())])).parquet(sink)
+            have = have.where(F.col("bucket").isin(mine) & (F.col("batch") != number)).select(key, "digest")
             hashed = hashed.join(have, [key, "digest"], "left_anti")
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        hashed.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        hashed.write.mode("overwrite").partitionBy("bucket").parquet(f"{sink}/batch={number}")
 
     return read(spark, source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
