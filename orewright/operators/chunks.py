@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orewright.operators import text as T
+from orewright.session import cores
 
 TARGET, OVERLAP, LEAST = 384, 48, 32
 WORD, LINE, SENTENCE, PARAGRAPH, SECTION = range(5)
@@ -226,3 +227,35 @@ def import_lines(files: DataFrame, key: str, text: str) -> DataFrame:
 def triage(files: DataFrame, key: str, text: str) -> DataFrame:
     """(key, unsafe, todo, unwrap, panic): markers that call for a look, by their number."""
     return files.where(F.col(text).isNotNull()).select(key, *[T.occurrences(F.col(text), m).alias(n) for n, m in (("unsafe", "unsafe"), ("todo", "TODO"), ("unwrap", "unwrap("), ("fixme", "FIXME"))])
+
+
+#: Bytes from which a text counts as a giant, and of its parts.
+GIANT, PART = 8 << 20, 2 << 20
+
+
+def _parts_of(text: str, size: int) -> Iterator[str]:
+    """Stretches of about `size` characters that end behind an empty line, or a line feed, or where they must."""
+    at = 0
+    while len(text) - at > size:
+        end = text.rfind("\n\n", at + 1, at + size - 1)
+        end = end + 2 if end >= 0 else text.rfind("\n", at + 1, at + size) + 1 or at + size
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+def split_giants(docs: DataFrame, key: str, text: str, giant: int = GIANT, part: int = PART) -> DataFrame:
+    """(key, part_no, part): texts of `giant` characters or more in parts of at most `part`, dealt to all cores so that
+    no task holds a giant; others as one part. The parts of a text make the text again. Null texts give no row."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for k, t in zip(pdf["k"], pdf["t"], strict=True):
+                parts = list(_parts_of(t, part)) if len(t) >= giant else [t]
+                yield pd.DataFrame({"k": [k] * len(parts), "part_no": range(len(parts)), "part": parts})
+
+    kind = dict(docs.dtypes)[key]
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t is not null")
+    small = rows.where(F.length("t") < giant).select("k", F.lit(0).alias("part_no"), F.col("t").alias("part"))
+    large = rows.where(F.length("t") >= giant).mapInPandas(run, f"k {kind}, part_no int, part string").repartition(cores(docs.sparkSession))
+    return small.unionByName(large).withColumnRenamed("k", key)

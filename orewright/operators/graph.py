@@ -258,3 +258,8 @@ def nexus(defs: DataFrame) -> DataFrame:
     g = defs.groupBy("symbol").agg(F.countDistinct("lang").alias("langs"), F.countDistinct("file").alias("files"), F.count("*").alias("places"), F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("lang_list"))
     return g.where("langs > 1 or files > 1")
 
+
+def sql_export(edges: DataFrame, name: str = "edge") -> DataFrame:
+    """(line): an INSERT statement for each edge (src, dst, weight), quotes doubled, for a text sink."""
+    quoted = lambda c: F.concat(F.lit("'"), F.replace(F.col(c), F.lit("'"), F.lit("''")), F.lit("'"))
+    return edges.select(F.concat(F.lit(f"INSERT INTO {name} (src, dst, weight) VALUES ("), quoted("src"), F.lit(", "), quoted("dst"), F.lit(", "), F.col("weight").cast("string"), F.lit(");")).alias("line"))

@@ -152,6 +152,18 @@ class Index:
         return out.select(key, (F.col("bm25") + PHRASE_BONUS * F.col("phrase_idf") * F.least("occ", F.lit(8))).alias("bm25"), "hits", "title_hits", "doclen", "occ")
 
 
+def why(index: Index, terms: dict[str, float]) -> DataFrame:
+    """(key, term, tf, title_tf, idf, part): what each term adds to the BM25 score of each document it is in."""
+    n, mean = index.totals()
+    p = index.postings(list(terms))
+    weigh = index.spark.createDataFrame([(t, float(w)) for t, w in terms.items()], "term string, weight double")
+    df = p.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(weigh), "term")  # one row a term of the query
+    idf = F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    f = F.col("tf") + F.col("title_tf")
+    part = F.col("weight") * F.col("idf") * f * (K1 + 1) / (f + K1 * (1 - B + B * F.greatest("doclen", F.lit(1)) / mean))
+    return p.join(F.broadcast(df.select("term", "weight", idf.alias("idf"))), "term").select(index.key, "term", "tf", "title_tf", "idf", part.alias("part"))
+
+
 def parse_query(query: str) -> tuple[list[str], list[list[str]]]:
     """The terms of a query, and the phrases that stand in it in double quotes or guillemets."""
     def terms(part: str) -> list[str]:
@@ -161,4 +173,4 @@ def parse_query(query: str) -> tuple[list[str], list[list[str]]]:
     return list(dict.fromkeys(terms(query))), [p for p in phrases if len(p) > 1]
 
 
-__all__ = ["BUCKETS", "Index", "parse_query"]
+__all__ = ["BUCKETS", "Index", "parse_query", "why"]

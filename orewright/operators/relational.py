@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,3 +64,16 @@ def latest(df: DataFrame, key: str, *order: Column) -> DataFrame:
     """The latest row of each key."""
     w = Window.partitionBy(key).orderBy(*order)
     return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+
+
+def sample_rows(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """`n` rows of `df`, each set of rows being as likely as any other: those of the least digests of key and
+    seed. A partition sends on `n` rows at most; equal keys are taken together by their order."""
+    return df.orderBy(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))), key).limit(n)
+
+
+def page_of(df: DataFrame, order: Sequence[Column | str], number: int, size: int) -> DataFrame:
+    """Page `number` (from 1) of `size` rows in an order; no partition sends on more rows than the pages up to it hold."""
+    if number < 1 or size < 1:
+        raise ValueError("pages and their rows count from 1")
+    return df.orderBy(*order).offset((number - 1) * size).limit(size)

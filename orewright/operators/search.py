@@ -113,6 +113,13 @@ def expand(terms: Sequence[str], lexicon: dict[str, list[tuple[str, float]]], we
     return out
 
 
+def unique_results(scored: DataFrame, digests: DataFrame, key: str = "doc_id", score: str = "bm25") -> DataFrame:
+    """`scored` without documents that say the same as a better one: of those of one digest (key, digest) the
+    first by score and key is kept."""
+    w = Window.partitionBy("digest").orderBy(F.desc(F.round(score, 9)), key)
+    return scored.join(digests.select(key, "digest"), key).withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn", "digest")
+
+
 #: Trust in a source of text: rank and coefficient. Fixed values.
 PROVENANCE = {"narrative": (0, 0.7), "source_document": (1, 1.0), "mvr_verified": (2, 1.5)}
 

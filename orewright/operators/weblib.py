@@ -52,3 +52,11 @@ def rules_for(body: str, agent: str) -> list[tuple[bool, str]]:
             if want in names:
                 return rules
     return []
+
+
+def fnv1a(data: bytes) -> int:
+    """The 64-bit FNV-1a hash."""
+    h = 0xCBF29CE484222325
+    for b in data:
+        h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
+    return h

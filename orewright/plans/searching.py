@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from orewright.core.references import last_segment
 from orewright.operators import graph as G
 from orewright.operators import search as S
-from orewright.operators.index import Index, parse_query
+from orewright.operators import web as W
+from orewright.operators.chunks import split_giants
+from orewright.operators.index import Index, parse_query, why
+from orewright.operators.relational import page_of, sample_rows
 from orewright.operators.rescan import file_counts, rescan
 from orewright.operators.vectors import cosine
 from orewright.session import materialize, scratch, table, texts
@@ -145,6 +148,13 @@ QUERIES = {
     "hybrid_search": lambda s, d: _r(_hybrid(s, d), "score"),
     "index_persisted": lambda s, d: _r(_index(s, d).bm25(TERMS), "bm25").drop("occ"),
     "index_persisted_phrase": lambda s, d: _r(_asked(s, d), "bm25").select("doc_id", "bm25", "occ"),
+    "index_why": lambda s, d: _r(why(_index(s, d), TERMS), "idf", "part"),
+    "index_unique": lambda s, d: _r(S.unique_results(_bm25(s, d), _docs(s, d).where("text is not null").select("doc_id", F.md5("text").alias("digest"))), "bm25").select("doc_id", "bm25"),
+    "index_page": lambda s, d: page_of(_r(_bm25(s, d), "bm25", n=4).select("doc_id", "bm25"), [F.desc("bm25"), "doc_id"], 3, 10),
+    "document_sample": lambda s, d: sample_rows(_docs(s, d).select("doc_id", "n_chars"), "doc_id", 50, 7),
+    "graph_sql_export": lambda s, d: G.sql_export(edges(s, d)),
+    "url_slugs": lambda s, d: texts(s, d, "source_files").select("path", W.url_slug(F.concat(F.lit("http://example.org/"), F.col("path"))).alias("slug")),
+    "giant_split": lambda s, d: split_giants(texts(s, d, "specs").distinct(), "id", "full_text", 8192, 2048).groupBy("id").agg(F.count("*").alias("parts"), F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part_no", "part"))), lambda p: p["part"]), "")).alias("h")).select("id", "h", (F.col("parts") > 1).alias("cut")),
     "index_upserts": lambda s, d: _index(s, d).manifest().select("gen", "pages", "added", "changed", "same", "removed"),
     "provenance_stats": lambda s, d: _docs(s, d).groupBy(S.provenance(F.col("source"), SOURCES).alias("provenance")).agg(F.count("*").alias("n"), F.countDistinct(F.lower(F.trim("source"))).alias("sources")),
     "min_provenance": lambda s, d: _docs(s, d).where(S.provenance(F.col("source"), SOURCES) == "mvr_verified").select("doc_id"),
@@ -237,6 +247,14 @@ SELECT doc_id AS id, round((0.65 * coalesce(bm25 / (SELECT max(bm25) FROM sc), 0
     "index_persisted": f"WITH {_bm25_sql(TERMS)} SELECT doc_id, round(bm25, 6) AS bm25, hits, title_hits, doclen FROM sc",
     "index_persisted_phrase": f"""WITH {_bm25_sql({"lattice": 1.0, "kernel": 1.0, "journal": 1.0})}, occ AS (SELECT doc_id, len(list_filter(range(1, len(body)), lambda i: body[i] = 'lattice' AND body[i + 1] = 'kernel')) AS occ FROM idx)
 SELECT doc_id, round(bm25 + 0.5 * (SELECT sum(ln(1 + (n - df + 0.5) / (df + 0.5))) FROM df, n WHERE term != 'journal') * least(occ, 8), 6) AS bm25, occ::INT AS occ FROM sc JOIN occ USING (doc_id) WHERE occ > 0""",
+    "index_why": f"WITH {_bm25_sql(TERMS)} SELECT doc_id, term, (f - t)::INT AS tf, t::INT AS title_tf, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf, round(ln(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * greatest(doclen, 1) / avgdl)), 6) AS part FROM (SELECT tf.*, len(list_filter(head, lambda x: x = term)) AS t FROM tf JOIN idx USING (doc_id)) JOIN df USING (term), n WHERE f > 0",
+    "index_unique": f"WITH {_bm25_sql(TERMS)}, r AS (SELECT doc_id, bm25, row_number() OVER (PARTITION BY md5(text) ORDER BY round(bm25, 9) DESC, doc_id) AS rn FROM sc JOIN documents USING (doc_id)) SELECT doc_id, round(bm25, 6) AS bm25 FROM r WHERE rn = 1",
+    "index_page": f"WITH {_bm25_sql(TERMS)} SELECT doc_id, round(bm25, 4) AS bm25 FROM sc ORDER BY round(bm25, 4) DESC, doc_id LIMIT 10 OFFSET 20",
+    "document_sample": "SELECT doc_id, n_chars FROM documents ORDER BY md5(doc_id || '|7'), doc_id LIMIT 50",
+    "graph_sql_export": f"WITH {_E} SELECT 'INSERT INTO edge (src, dst, weight) VALUES (' || chr(39) || replace(src, chr(39), chr(39) || chr(39)) || chr(39) || ', ' || chr(39) || replace(dst, chr(39), chr(39) || chr(39)) || chr(39) || ', ' || weight || ');' AS line FROM edge",
+    "url_slugs": r"""WITH u AS (SELECT path, 'http://example.org/' || path AS url FROM source_files)
+SELECT path, format('{:016x}', list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(string_split(url, ''), lambda c: ord(c)::UHUGEINT)), lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT) || '_' || regexp_replace(reverse(right(url, 24)), '[^\p{L}\p{N}.-]', '', 'g') AS slug FROM u""",
+    "giant_split": "SELECT id, md5(full_text) AS h, length(full_text) >= 8192 AS cut FROM (SELECT DISTINCT * FROM specs) WHERE full_text IS NOT NULL",
     "index_upserts": """WITH d AS (SELECT *, ingested_at < '2024-06-01' AS early FROM documents WHERE text IS NOT NULL)
 SELECT 1 AS gen, count(*) FILTER (early) AS pages, count(*) FILTER (early) AS added, 0::BIGINT AS changed, 0::BIGINT AS same, 0::BIGINT AS removed FROM d
 UNION ALL SELECT 2, count(*) FILTER (early IS NOT TRUE), count(*) FILTER (early IS NOT TRUE), count(*) FILTER (early AND coalesce(title, '') != ''), count(*) FILTER (early AND coalesce(title, '') = ''), 0 FROM d""",
