@@ -22,11 +22,15 @@ _token = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _fence = re.compile(r"^[ \t]*(```|~~~).*?(?:^[ \t]*\1[ \t]*$|\Z)", re.S | re.M)
 _noise = re.compile(r"[\[{][^\n]*\":[^\n]*[\]}]|`[^`\n]*`|\$[^$\n]*\$|https?://\S+|data:\S+|(?<![A-Za-z0-9+/=])[A-Za-z0-9+/=]{40,}|<[^<>\n]{1,80}>|\b[^\W\d_]*+[_\d]\w*+(?:[.:/\\]\w+)*")
 _bullet = re.compile(r"^[ \t>]*(?:[-*•+]|\d{1,3}[.)])?[ \t]+", re.M)
-_stop = re.compile(r"(?<=[.!?…])[\"'»”)\]*]*\s+|[\r\n]+")
+_stop = re.compile(r"[.!?…][\"'»”)\]*]*\s+|[\r\n]+")
+#: What any noise holds, but for long runs of letters.
+_sign = re.compile(r"[\[{`$<_\d/:=+]")
 
 
 def prose(text: str) -> str:
     """The text without code, formulas, addresses, tags and names with digits or underscores."""
+    if not _sign.search(text) and (len(text) < 40 or max(map(len, text.split()), default=0) < 40):
+        return _fence.sub("\n", text) if "~~~" in text else text
     return _noise.sub(" ", _fence.sub("\n", text) if "```" in text or "~~~" in text else text)
 
 
@@ -36,7 +40,8 @@ def each_sentence(text: str) -> Iterator[tuple[int, int]]:
     blank = _fence.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text) if "```" in text or "~~~" in text else text
     at = 0
     for m in _stop.finditer(blank):
-        if found := _trimmed(blank, at, m.start()):
+        e = m.start()
+        if found := _trimmed(blank, at, e if blank[e] in "\r\n" else e + 1):
             yield found
         at = m.end()
     if found := _trimmed(blank, at, len(blank)):
@@ -58,7 +63,7 @@ def sentences(text: str) -> list[tuple[int, int]]:
 
 def language(sentence: str) -> str | None:
     """The language of a sentence by its script, its letters and its small words, or None."""
-    low = _noise.sub(" ", sentence).lower()
+    low = (_noise.sub(" ", sentence) if _sign.search(sentence) or len(sentence) >= 40 and max(map(len, sentence.split()), default=0) >= 40 else sentence).lower()
     cyr, lat = sum(map(len, _cyr.findall(low))), sum(map(len, _lat.findall(low)))
     if cyr + lat < 4:
         return None
