@@ -193,6 +193,18 @@ def rot3(axis: str, a: Column) -> Column:
     return F.array(*[F.array(*r) for r in rows])
 
 
+def so_generator(n: int, i: int, j: int) -> Column:
+    """The generator of rotations of the plane (i, j) in n dimensions: its exponential at an angle turns i towards j."""
+    if i == j or not (0 <= i < n and 0 <= j < n):
+        raise ValueError("two different places within the matrix")
+    return F.array(*[F.array(*[F.lit(float((r == j and c == i) - (r == i and c == j))) for c in range(n)]) for r in range(n)])
+
+
+def dagger(m: Column) -> Column:
+    """The conjugate transpose of a matrix of structs (re, im)."""
+    return F.transform(transpose(m), lambda r: F.transform(r, lambda z: F.struct(z["re"].alias("re"), (-z["im"]).alias("im"))))
+
+
 def trace(m: Column) -> Column:
     return F.aggregate(F.transform(m, lambda r, i: F.get(r, i)), F.lit(0.0), lambda a, x: a + x)
 

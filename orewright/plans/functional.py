@@ -76,6 +76,8 @@ QUERIES = {
     "fn_big_integers": lambda s, d: _int(s, d).select((F.col("b") - 1).alias("n")).distinct().select("n", N.fib("n").alias("fib"), N.factorial("n").alias("fact"), N.catalan("n").alias("catalan"), N.binomial(F.col("n") + 2, F.lit(3)).alias("choose")),
     "fn_gamma": lambda s, d: _r(_ev(s, d).select("event_id", N.gamma(F.abs("y") + 0.5).alias("gamma"), N.lgamma(F.abs("y") + 0.5).alias("lgamma"), N.beta(F.abs("y") + 0.5, F.lit(2.0)).alias("beta"))),
     "fn_matrix": lambda s, d: _r(_matrix(s, d).select("event_id", S.trace(F.col("m")).alias("trace"), N.det("m").alias("det"), F.get(S.matvec(F.col("m"), F.col("v")), 1).alias("mv1"), F.get(F.get(S.transpose(F.col("m")), 2), 0).alias("t20"), F.get(F.get(S.rot2(F.get("v", 0)), 0), 1).alias("rot"))),
+    "fn_rotations": lambda s, d: _rotations(s, d),
+    "fn_zeta": lambda s, d: _r(_ev(s, d).select("event_id", N.zeta(F.abs("y") + 1.5).alias("zeta"))),
     "fn_linear_algebra": lambda s, d: _r(_matrix(s, d).select("event_id", F.get(F.get(N.inv("m"), 0), 0).alias("inv00"), F.get(N.lsolve("m", "v"), 0).alias("x0"), N.logdet("m")["ln"].alias("logdet"), F.get(N.charpoly("m"), 3).alias("c3"), F.get(N.eigen_symmetric("m"), 2).alias("top"))),
 }
 
@@ -101,6 +103,22 @@ _DET = "(a * ((a + 3) * (a + b) - 1) - b * (b * (a + b) - 0.5) + 0.5 * (b - 0.5
 
 
 
+def _rotations(s, d):
+    """Entries of constant matrices, rotations, products and states that two levels pass through."""
+    e, at = _ev(s, d), lambda m, i, j: F.get(F.get(m, i), j)
+    y = F.col("y")
+    two = F.array(F.array(F.lit(0.0), F.lit(1.0)), F.array(F.lit(1.0), F.lit(0.0)))
+    plane = F.transform(S.so_generator(3, 0, 2), lambda r: F.transform(r, lambda x: x * y))
+    held = F.array(F.array(F.struct(y.alias("re"), F.lit(1.0).alias("im")), F.struct(F.lit(2.0).alias("re"), y.alias("im"))))
+    state = N.schrodinger(two, F.array(F.lit(1.0), F.lit(0.0)), y)
+    made = e.select(
+        "event_id", at(S.rot3("x", y), 1, 2).alias("rx"), at(S.rot3("y", y), 0, 2).alias("ry"), at(S.rot3("z", y), 1, 0).alias("rz"), at(S.identity(3), 1, 1).alias("one"),
+        at(S.tridiag(4, -1.0, 2.0, -1.0), 2, 1).alias("tri"), at(N.kron(S.rot2(y), S.constant_matrix(S.HADAMARD)), 3, 3).alias("kron"), at(N.pinv(S.rot2(y)), 0, 1).alias("pinv"),
+        at(N.expm(plane), 0, 2).alias("turned"), at(S.dagger(held), 1, 0)["im"].alias("conj"), F.get(state, 0)["re"].alias("stay"), F.get(state, 1)["im"].alias("pass"),
+    )
+    return _r(made.select("event_id", *[(F.lit(0.0) + F.col(c)).alias(c) for c in made.columns[1:]]))  # no zero below zero
+
+
 def _planets_sql(wanted: list[tuple[str, str]]) -> str:
     """The planets' positions written as steps of one query: elements, Newton steps, vectors, pulls, view from the earth."""
     names = sorted({n for n, _ in wanted})
@@ -184,6 +202,11 @@ pw AS (SELECT a, p, max(k) AS k FROM n, pr, (SELECT unnest(range(1, 11)) AS k) W
 SELECT a, a IN (SELECT p FROM pr) AS is_prime, (SELECT min(p) FROM pr WHERE p > a) AS next, (SELECT max(p) FROM pr WHERE p < a) AS prev, coalesce((SELECT string_agg(p || ',' || k, ',' ORDER BY p) FROM pw WHERE pw.a = n.a), '') AS factors FROM n""",
     "fn_divisors": f"SELECT b, string_agg(k::VARCHAR, ',' ORDER BY k) AS divisors FROM (SELECT DISTINCT b FROM {_INT}), (SELECT unnest(range(1, 361)) AS k) WHERE b % k = 0 GROUP BY b",
     "fn_gamma": _sql(gamma="gamma(abs(y) + 0.5)", lgamma="lgamma(abs(y) + 0.5)", beta="exp(lgamma(abs(y) + 0.5) + lgamma(2) - lgamma(abs(y) + 2.5))"),
+    "fn_linear_algebra": f"""WITH t AS (SELECT *, {_DET} AS det, (3 * a + b + 3) / 3 AS q FROM {_MAT}), p AS (SELECT *, sqrt((pow(a - q, 2) + pow(a + 3 - q, 2) + pow(a + b - q, 2) + 2 * (b * b + 1.25)) / 6) AS p FROM t),
+r AS (SELECT *, ((a - q) * ((a + 3 - q) * (a + b - q) - 1) - b * (b * (a + b - q) - 0.5) + 0.5 * (b - 0.5 * (a + 3 - q))) / (2 * p * p * p) AS r FROM p)
+SELECT event_id, round(((a + 3) * (a + b) - 1) / det, 6) AS inv00, round((a * ((a + 3) * (a + b) - 1) - b * (b * (a + b) - 2) + 0.5 * (b - 2 * (a + 3))) / det, 6) AS x0, round(ln(abs(det)), 6) AS logdet, round(-det, 6) AS c3, round(q + 2 * p * cos(acos(greatest(-1, least(1, r))) / 3), 6) AS top FROM r""",
+    "fn_rotations": _sql(rx="0 - sin(y)", ry="sin(y)", rz="sin(y)", one="1.0::DOUBLE", tri="-1.0::DOUBLE", kron="-cos(y) / sqrt(2)", pinv="sin(y)", turned="0 - sin(y)", conj="0 - y", stay="cos(y)", **{"pass": "0 - sin(y)"}),
+    "fn_zeta": _sql(zeta="list_sum(list_transform(range(1, 200), lambda k: pow(k, -(abs(y) + 1.5)))) + pow(200, -(abs(y) + 0.5)) / (abs(y) + 0.5) + 0.5 * pow(200, -(abs(y) + 1.5)) + (abs(y) + 1.5) / 12 * pow(200, -(abs(y) + 2.5))"),
     "fn_matrix": f"SELECT event_id, round(a + (a + 3) + (a + b), 6) AS trace, round({_DET}, 6) AS det, round(b * a + (a + 3) * b + 2, 6) AS mv1, round(0.5, 6)::DOUBLE AS t20, round(-sin(a), 6) AS rot FROM {_MAT}",
 
 }
