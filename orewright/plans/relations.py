@@ -75,10 +75,20 @@ def _epoch(c):
     return F.when(F.col(c) > 100_000_000_000, F.floor(F.col(c) / 1000)).otherwise(F.col(c))
 
 
+def _boxes_that_meet(s, d):
+    """Files of like size that lived at the same time, as boxes of days and bytes."""
+    day = lambda c: F.unix_micros(c.cast("timestamp")) / 86_400_000_000.0
+    f = table(s, d, "source_files")
+    end = F.coalesce("deleted_at", F.col("indexed_at") + F.expr("INTERVAL 30 DAY"))
+    b = f.select(F.col("path").alias("id"), day(F.col("indexed_at")).alias("x0"), F.col("bytes").cast("double").alias("y0"), day(end).alias("x1"), (F.col("bytes") * F.lit(1.2)).alias("y1"))
+    return R.bbox_join(b, b, 60.0, 4000.0).where("l < r")
+
+
 QUERIES = {
     "rel_pricing_summary": pricing_summary,
     "rel_nation_revenue": nation_revenue,
     "rel_semi": lambda s, d: customer(s, d).join(orders(s, d).where("o_totalprice > 300000"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey"),
+    "rel_bbox_join": lambda s, d: _boxes_that_meet(s, d),
     "rel_anti_urgent": lambda s, d: customer(s, d).join(orders(s, d).where("o_orderpriority = '1-URGENT'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey"),
     "rel_except_large": lambda s, d: part(s, d).select(F.col("p_partkey").alias("k")).subtract(lineitem(s, d).where("l_quantity > 48").select(F.col("l_partkey").alias("k"))),
     "rel_anti": lambda s, d: customer(s, d).join(orders(s, d), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey"),
@@ -120,6 +130,8 @@ SQL = {
     "rel_pricing_summary": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 1) AS qty, round(sum(l_extendedprice), 1) AS price, round(sum(l_extendedprice * (1 - l_discount)), 1) AS revenue, round(avg(l_discount), 6) AS disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL",
     "rel_nation_revenue": "SELECT r_name, n_name, round(sum(l_extendedprice * (1 - l_discount)), 1) AS revenue, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL",
     "rel_semi": "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)",
+    "rel_bbox_join": """WITH b AS (SELECT path AS id, epoch(indexed_at) / 86400 AS x0, epoch(coalesce(deleted_at, indexed_at + INTERVAL 30 DAY)) / 86400 AS x1, bytes::DOUBLE AS y0, bytes * 1.2 AS y1 FROM source_files)
+SELECT p.id AS l, q.id AS r FROM b p JOIN b q ON p.x0 <= q.x1 AND q.x0 <= p.x1 AND p.y0 <= q.y1 AND q.y0 <= p.y1 WHERE p.id < q.id AND p.x0 <= p.x1 AND q.x0 <= q.x1""",
     "rel_anti_urgent": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')",
     "rel_except_large": "SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 48",
     "rel_anti": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",

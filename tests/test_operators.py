@@ -558,3 +558,37 @@ def test_path_and_passport(spark, rows):
     assert rows(graph.shortest_path(calls, "a", "d", 2)) == [] and rows(graph.shortest_path(calls, "a", "a", 2)) == [(0, "a")]
     got = graph.passport(calls, spark.createDataFrame([("c",), ("none",)], "id string"), 1)
     assert rows(got) == [("c", 2, 1, 2, 1, "MEDIUM"), ("none", 0, 0, 0, 0, "LOW")]
+
+
+def test_boxes_meet_once(spark, rows):
+    rng = random.Random(4)
+    made = [(i, x := rng.uniform(-9, 9), y := rng.uniform(-9, 9), x + rng.uniform(0, 5), y + rng.uniform(0, 5)) for i in range(60)]
+    bad = [(90, None, 0.0, 1.0, 1.0), (91, 2.0, 0.0, 1.0, 1.0), (92, -2.0, -2.0, -2.0, -2.0)]
+    df = spark.createDataFrame(made + bad, "id int, x0 double, y0 double, x1 double, y1 double")
+    good = [*made, bad[2]]
+    want = sorted((a[0], b[0]) for a in good for b in good if a[1] <= b[3] and b[1] <= a[3] and a[2] <= b[4] and b[2] <= a[4])
+    for w, h in ((1.0, 2.0), (7.0, 0.5), (100.0, 100.0)):
+        assert sorted(tuple(r) for r in relational.bbox_join(df, df, w, h).collect()) == want
+    assert rows(relational.bbox_join(df, df.limit(0), 1.0, 1.0)) == []
+
+
+def test_samples_pages_exports(spark, rows):
+    df = spark.range(100).selectExpr("id", "id % 3 AS k")
+    one = rows(relational.sample_rows(df, "id", 10, 1))
+    assert len(set(one)) == 10 and one == rows(relational.sample_rows(df, "id", 10, 1)) != rows(relational.sample_rows(df, "id", 10, 2))
+    assert [r["id"] for r in relational.page_of(df, [F.desc("k"), "id"], 2, 3).collect()] == [11, 14, 17]
+    e = spark.createDataFrame([("a'b", "c", 2)], "src string, dst string, weight int")
+    assert rows(graph.sql_export(e)) == [("INSERT INTO edge (src, dst, weight) VALUES ('a''b', 'c', 2);",)]
+    assert spark.range(1).select(web.url_slug(F.lit("http://a.example/x?y=ж"))).first()[0].split("_")[1] == "жyxelpmaxe.aptth"
+    texts = spark.createDataFrame([(1, "ab\n\ncd\nef" * 50), (2, "x" * 300), (3, "tiny"), (4, None), (5, "")], "id int, t string")
+    parts = chunks.split_giants(texts, "id", "t", 100, 40).orderBy("id", "part_no").collect()
+    assert {i: "".join(r["part"] for r in parts if r["id"] == i) for i in (1, 2, 3, 5)} == {1: "ab\n\ncd\nef" * 50, 2: "x" * 300, 3: "tiny", 5: ""}
+    assert all(len(r["part"]) <= 40 for r in parts) and not any(r["id"] == 4 for r in parts)
+
+
+def test_copies_of_better_results_fall_out(spark, rows):
+    scored = spark.createDataFrame([(1, 2.0), (2, 3.0), (3, 2.0), (4, 1.0)], "doc_id int, bm25 double")
+    digests = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, "b")], "doc_id int, digest string")
+    assert rows(search.unique_results(scored, digests)) == [(1, 2.0), (2, 3.0)]
+    with pytest.raises(ValueError, match="gossip"):
+        search.provenance(F.lit("x"), {"x": "gossip"})
