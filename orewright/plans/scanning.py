@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from orewright.operators import chunks as C
 from orewright.operators import text as T
+from orewright.plans.structural import SCENES_SQL
 from orewright.session import table, texts
 
 NEEDLE = "residual error"
@@ -93,7 +94,7 @@ def digest_report(s, d):
 
 
 QUERIES = {
-    "scan_matches": matched_lines, "scan_line_of_byte": line_of_byte, "scan_scene": scene_of_match, "scan_context_json": context_json, "scan_temporal": temporal, "scan_diff": scan_diff,
+    "scan_matches": matched_lines, "scan_line_of_byte": line_of_byte, "scan_scene": scene_of_match, "scan_context_json": context_json, "scan_temporal": temporal, "scan_temporal_by_scene": temporal, "scan_cooccurrence_by_scene": cooccurrence, "scan_diff": scan_diff,
     "scan_cooccurrence": cooccurrence, "scan_stride_sample": stride_sample, "scan_stop_terms": stop_terms, "scan_digest": digest_report,
 }
 
@@ -112,6 +113,10 @@ SQL = {
     "scan_line_of_byte": f"WITH {_M} SELECT id, byte, line_no, line_no AS line FROM m",
     "scan_scene": f"WITH {_M}, {_S} SELECT id, line_no, section, heading FROM x",
     "scan_temporal": rf"SELECT doc_id, metric FROM (SELECT doc_id, nullif(trim(regexp_extract(head, '(?im)^\*{{0,2}}(?:Metric|Метрика|Metrik|Métrica)\s*:\s*([^*\n]+)\*{{0,2}}\s*$', 1)), '') AS metric FROM {_CARD}) WHERE metric IS NULL OR metric LIKE 'Т-9%'",
+    "scan_temporal_by_scene": SCENES_SQL + " SELECT doc_id, metric FROM m WHERE metric IS NULL OR metric LIKE 'Т-9%'",
+    "scan_cooccurrence_by_scene": SCENES_SQL
+    + """, n AS (SELECT DISTINCT doc_id, part, scene, unnest(list_distinct(list_filter(list_transform(string_split(sub, ','), lambda x: trim(x)), lambda x: x != ''))) AS name FROM m)
+SELECT x.name AS a, y.name AS b, count(*) AS scenes FROM n x JOIN n y ON x.doc_id = y.doc_id AND x.part = y.part AND x.scene = y.scene AND x.name < y.name GROUP BY ALL""",
     "scan_diff": _HITS + " AND NOT (ingested_at < '2024-06-01')",
     "scan_cooccurrence": rf"""WITH n AS (SELECT DISTINCT doc_id, unnest(list_distinct(list_filter(list_transform(string_split(regexp_extract(head, '(?im)^\*{{0,2}}(?:Subjects|Субъекты|Суб''єкти|Subjekte|Sujetos)\s*:\s*([^*\n]+)\*{{0,2}}\s*$', 1), ','), lambda x: trim(x)), lambda x: x != ''))) AS name FROM {_CARD})
 SELECT x.name AS a, y.name AS b, count(*) AS scenes FROM n x JOIN n y ON x.doc_id = y.doc_id AND x.name < y.name GROUP BY ALL""",

@@ -118,6 +118,14 @@ _LN = "SELECT {k}, unnest(range(1, len(l) + 1)) AS line_no, unnest(l) AS line FR
 _SP = "(SELECT DISTINCT id, full_text AS text FROM specs WHERE full_text IS NOT NULL)"
 _META = lambda n, a: f"nullif(trim(regexp_extract(head, '(?im)^\\*{{0,2}}(?:{n})\\s*:\\s*([^*\\n]+)\\*{{0,2}}\\s*$', 1)), '') AS {a}"
 
+#: The card of every scene, line by line.
+SCENES_SQL = f"""WITH l AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS no, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)),
+h AS (SELECT *, regexp_matches(line, '^#{{1,6}}[ \\t]+\\S') AS head, regexp_matches(line, '^#[ \\t]+\\S') AS h1, nullif(regexp_extract(replace(line, chr(13), ''), '^#{{1,6}}[ \\t]+(\\S.*?)[ \\t]*$', 1), '') AS title FROM l),
+s AS (SELECT *, sum(head::INT) OVER w AS scene, sum(h1::INT) OVER w AS part FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY no ROWS UNBOUNDED PRECEDING)),
+top AS (SELECT doc_id, arg_min(title, no) AS top FROM h WHERE title IS NOT NULL GROUP BY doc_id),
+part AS (SELECT doc_id, part, min(title) AS chapter FROM s WHERE h1 GROUP BY ALL),
+g AS (SELECT doc_id, part, scene, array_to_string(list(line ORDER BY no)[1:60], chr(10)) AS head, bool_or(regexp_matches(line, '\\S')) AS filled FROM s GROUP BY ALL),
+m AS (SELECT g.doc_id, part, scene, coalesce(chapter, top) AS chapter, {_META("Metric|Метрика|Metrik|Métrica", "metric")}, {_META("Location|Локация|Локація|Ort|Lugar", "location")}, {_META("Subjects|Субъекты|Суб''єкти|Subjekte|Sujetos", "sub")} FROM g LEFT JOIN part USING (doc_id, part) LEFT JOIN top USING (doc_id) WHERE scene > 0 OR filled OR top IS NULL)"""
 _HAS = lambda words, text: " + ".join(f"CASE WHEN contains({text}, '{w}') THEN 1 ELSE 0 END" for w in words)
 _FEATURE_SQL = {
     "words": "least(n / 24, 1)",
@@ -168,14 +176,7 @@ s AS (SELECT *, count(head) OVER (PARTITION BY id ORDER BY line_no) AS section F
     "scene_cards": f"""WITH h AS (SELECT doc_id, array_to_string(string_split(text, chr(10))[1:60], chr(10)) AS head FROM documents WHERE text IS NOT NULL),
 m AS (SELECT doc_id, nullif(trim(regexp_extract(head, '(?m)^#{{1,6}}[ \\t]+(.+?)[ \\t]*$', 1)), '') AS chapter, {_META("Metric|Метрика|Metrik|Métrica", "metric")}, {_META("Location|Локация|Локація|Ort|Lugar", "location")}, {_META("Subjects|Субъекты|Суб''єкти|Subjekte|Sujetos", "sub")} FROM h)
 SELECT doc_id, chapter, metric, location, len(list_filter(string_split(coalesce(sub, ''), ','), lambda x: trim(x) != ''))::INT AS subjects FROM m""",
-    "scene_cards_by_scene": f"""WITH l AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS no, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)),
-h AS (SELECT *, regexp_matches(line, '^#{{1,6}}[ \\t]+\\S') AS head, regexp_matches(line, '^#[ \\t]+\\S') AS h1, nullif(regexp_extract(replace(line, chr(13), ''), '^#{{1,6}}[ \\t]+(\\S.*?)[ \\t]*$', 1), '') AS title FROM l),
-s AS (SELECT *, sum(head::INT) OVER w AS scene, sum(h1::INT) OVER w AS part FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY no ROWS UNBOUNDED PRECEDING)),
-top AS (SELECT doc_id, arg_min(title, no) AS top FROM h WHERE title IS NOT NULL GROUP BY doc_id),
-part AS (SELECT doc_id, part, min(title) AS chapter FROM s WHERE h1 GROUP BY ALL),
-g AS (SELECT doc_id, part, scene, array_to_string(list(line ORDER BY no)[1:60], chr(10)) AS head, bool_or(regexp_matches(line, '\\S')) AS filled FROM s GROUP BY ALL),
-m AS (SELECT g.doc_id, coalesce(chapter, top) AS chapter, {_META("Metric|Метрика|Metrik|Métrica", "metric")}, {_META("Location|Локация|Локація|Ort|Lugar", "location")}, {_META("Subjects|Субъекты|Суб''єкти|Subjekte|Sujetos", "sub")} FROM g LEFT JOIN part USING (doc_id, part) LEFT JOIN top USING (doc_id) WHERE scene > 0 OR filled OR top IS NULL)
-SELECT doc_id, chapter, metric, location, len(list_filter(string_split(coalesce(sub, ''), ','), lambda x: trim(x) != ''))::INT AS subjects FROM m""",
+    "scene_cards_by_scene": SCENES_SQL + " SELECT doc_id, chapter, metric, location, len(list_filter(string_split(coalesce(sub, ''), ','), lambda x: trim(x) != ''))::INT AS subjects FROM m",
     "code_calls": f"SELECT path, line_no::INT AS line_no, callee FROM (SELECT path, line_no, unnest(regexp_extract_all(line, '([A-Za-z_][A-Za-z0-9_]*)\\(', 1)) AS callee FROM ({_LN.format(k='path', t='text', f='source_files')})) WHERE callee NOT IN ('if', 'for', 'while', 'match', 'return', 'fn', 'def', 'func', 'function', 'switch', 'catch')",
     "code_imports": f"""WITH l AS (SELECT path, regexp_replace(line, '\\r$', '') AS line FROM ({_LN.format(k='path', t='text', f='source_files')})), m AS (SELECT path, coalesce(nullif(regexp_extract(line, '^use ([\\w:]+);', 1), ''), nullif(regexp_extract(line, '^import ([\\w.]+)$', 1), ''), nullif(regexp_extract(line, '^import \\{{[^}}]*\\}} from "([^"]+)";', 1), ''), nullif(regexp_extract(line, '^import "([^"]+)"$', 1), '')) AS module FROM l)
 SELECT path, module FROM m WHERE module IS NOT NULL""",
