@@ -188,18 +188,27 @@ def scene_heads(docs: DataFrame, key: str, text: str) -> DataFrame:
     return d.where(~lead).select(key, "part", "scene", "chapter", F.substring_index("body", "\n", CARD_LINES).alias("head"))
 
 
+#: Blanks that are trimmed off the values of cards: spaces of every width, no tabs or line ends.
+_SPACES = " \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"
+
+
+def _trimmed(value: Column) -> Column:
+    return F.btrim(value, F.lit(_SPACES))
+
+
 def card_field(head: str, names: str) -> Column:
-    """The value after one of the names in the head of a scene."""
-    return F.nullif(F.trim(F.regexp_extract(head, rf"(?im)^\*{{0,2}}(?:{names})\s*:\s*([^*\n]+)\*{{0,2}}\s*$", 1)), F.lit(""))
+    """The value after one of the names, in any case, in the head of a scene. Only line feeds end lines."""
+    plain = names.replace("i", "(?-i:[iI])")  # the i of Turkish is another letter
+    s = r"[\t\n\f\r ]*"
+    return F.nullif(_trimmed(F.regexp_extract(head, rf"(?imud)^\*{{0,2}}(?:{plain}){s}:{s}([^*\n]+)\*{{0,2}}{s}$", 1)), F.lit(""))
 
 
 def card_subjects(head: str) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(card_field(head, SUBJECTS), F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(card_field(head, SUBJECTS), F.lit("")), ","), _trimmed), lambda x: x != "")
 
 
-def scene_cards(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, chapter, metric, location, subjects) from the head of each scene."""
-    return scene_heads(docs, key, text).select(
+def _cards(heads: DataFrame, key: str) -> DataFrame:
+    return heads.select(
         key,
         "chapter",
         card_field("head", "Metric|Метрика|Metrik|Métrica").alias("metric"),
@@ -208,6 +217,18 @@ def scene_cards(docs: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
+def scene_cards(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, chapter, metric, location, subjects) from the head of each scene."""
+    return _cards(scene_heads(docs, key, text), key)
+
+
+def document_cards(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, chapter, metric, location, subjects) of each text as a whole: the first heading and the first card in
+    its first lines, one row a text. The cards of its later scenes are in :func:`scene_cards`."""
+    d = docs.where(F.col(text).isNotNull()).select(key, F.substring_index(text, "\n", CARD_LINES).alias("head"))
+    return _cards(d.withColumn("chapter", F.nullif(_trimmed(F.regexp_extract("head", r"(?md)^#{1,6}[ \t]+(.+?)[ \t]*$", 1)), F.lit(""))), key)
+
+
 def call_lines(files: DataFrame, key: str, text: str) -> DataFrame:
     """(key, line_no, callee): names followed by an opening bracket, keywords left out."""
     ln = T.lines(files.select(key, text), key, text)

@@ -49,10 +49,18 @@ def context_json(s, d):
     return m.select("id", "byte", F.to_json(F.struct(F.struct("id", F.col("line_no").alias("line"), "byte").alias("at"), "preview", F.struct("section", "heading").alias("scene"))).alias("j"))
 
 
+def _tagged(cards):
+    return cards.where(F.col("metric").isNull() | F.col("metric").like("Т-9%")).select("doc_id", "metric")
+
+
 def temporal(s, d):
     """Scenes whose tag is missing or the one asked for."""
-    c = C.scene_cards(_docs(s, d), "doc_id", "text")
-    return c.where(F.col("metric").isNull() | F.col("metric").like("Т-9%")).select("doc_id", "metric")
+    return _tagged(C.scene_cards(_docs(s, d), "doc_id", "text"))
+
+
+def document_temporal(s, d):
+    """Texts whose tag, the first in their head, is missing or the one asked for."""
+    return _tagged(C.document_cards(_docs(s, d), "doc_id", "text"))
 
 
 def scan_diff(s, d):
@@ -94,7 +102,7 @@ def digest_report(s, d):
 
 
 QUERIES = {
-    "scan_matches": matched_lines, "scan_line_of_byte": line_of_byte, "scan_scene": scene_of_match, "scan_context_json": context_json, "scan_temporal": temporal, "scan_temporal_by_scene": temporal, "scan_cooccurrence_by_scene": cooccurrence, "scan_diff": scan_diff,
+    "scan_matches": matched_lines, "scan_line_of_byte": line_of_byte, "scan_scene": scene_of_match, "scan_context_json": context_json, "scan_temporal": document_temporal, "scan_temporal_by_scene": temporal, "scan_cooccurrence_by_scene": cooccurrence, "scan_diff": scan_diff,
     "scan_cooccurrence": cooccurrence, "scan_stride_sample": stride_sample, "scan_stop_terms": stop_terms, "scan_digest": digest_report,
 }
 
