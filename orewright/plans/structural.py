@@ -79,7 +79,7 @@ QUERIES = {
     "sections": lambda s, d: C.sections_of(_specs(s, d), "id", "text"),
     "paragraphs": lambda s, d: C.paragraph_rows(_specs(s, d), "id", "text"),
     "sentence_counts": lambda s, d: texts(s, d, "documents").where("text is not null").select("doc_id", C.sentence_count(F.col("text")).alias("n")),
-    "scene_cards": lambda s, d: C.scene_cards(texts(s, d, "documents"), "doc_id", "text"),
+    "scene_cards": lambda s, d: C.document_cards(texts(s, d, "documents"), "doc_id", "text"),
     "scene_cards_by_scene": lambda s, d: C.scene_cards(texts(s, d, "documents"), "doc_id", "text"),
     "code_calls": lambda s, d: C.call_lines(texts(s, d, "source_files"), "path", "text"),
     "code_imports": lambda s, d: C.import_lines(texts(s, d, "source_files"), "path", "text"),
